@@ -143,10 +143,9 @@ def selection_score(metrics: DataFrame) -> DataFrame:
 
 def pick_l2(candidates: DataFrame) -> DataFrame:
     """The best candidate; scores equal within machine epsilon go to the smaller ``l2``. The grid is tiny."""
-    best = candidates.agg(F.max("validation_score").alias("best"))  # one row
-    return (
-        candidates.join(F.broadcast(best), F.col("best") - F.col("validation_score") <= TIE)
-        .agg(F.min("l2").alias("selected_l2"), F.max("best").alias("validation_score"))
+    best = candidates.agg(F.max("validation_score")).scalar()
+    return candidates.where(best - F.col("validation_score") <= TIE).agg(
+        F.min("l2").alias("selected_l2"), F.max("validation_score").alias("validation_score")
     )
 
 

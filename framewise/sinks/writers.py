@@ -23,10 +23,16 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def metric_text(value: Column) -> Column:
-    """Shortest single-precision text; NULL stays NULL, +inf is ``inf``, whole numbers have no fraction."""
+    """Shortest single-precision decimal text, never in exponent form; NULL stays NULL, +inf is ``inf``."""
     f = value.cast("float")
-    whole = (f == F.floor(f)) & (F.abs(f) < 1e7)
-    return F.when(f == F.lit(float("inf")), "inf").when(whole, f.cast("bigint").cast("string")).otherwise(f.cast("string"))
+    text, size = f.cast("string"), F.abs(f.cast("double"))
+    small = F.regexp_replace(text.try_cast("decimal(38,37)").cast("string"), r"0+$", "")
+    return (
+        F.when(F.isnan(f) | (size == F.lit(float("inf"))), F.when(f > 0, "inf").otherwise(text))
+        .when((size < 1e-3) & (size > 0), small)
+        .when(size >= 1e7, text.try_cast("decimal(38,0)").cast("string"))
+        .otherwise(F.regexp_replace(text, r"\.0$", ""))
+    )
 
 
 def eval_csv_rows(sample_eval: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators.ordered import first_k, first_per_key, running
@@ -174,12 +174,8 @@ def fetch_plan(
         .withColumn("available", F.coalesce("available", F.lit(0).cast("bigint")))
         .withColumn("take", F.least(F.coalesce("requested", "available"), "available"))
     )
-    smaller = budget.select(F.col("split_order").alias("o"), F.col("take").alias("t"))
-    offsets = (
-        budget.join(smaller, F.col("o") < F.col("split_order"), "left")
-        .groupBy("split", "take")
-        .agg(F.coalesce(F.sum("t"), F.lit(0)).alias("offset"))
-    )
+    earlier = Window.orderBy("split_order").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = budget.select("split", "take", F.coalesce(F.sum("take").over(earlier), F.lit(0)).alias("offset"))
     plan = (
         ranked.join(F.broadcast(offsets), "split")
         .where(F.col("split_rank") <= F.col("take"))
