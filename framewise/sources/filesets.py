@@ -80,16 +80,17 @@ def companions(files: DataFrame, components: list[str], out_dir: str, order: str
     A companion swaps the component part of ``scheme://bucket/split/component/rest``; shorter URIs have none.
     """
     parts = _parts(F.col("uri"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(components)])
     extra = (
         files.where(F.size(parts) == 6)
-        .withColumn("component", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c")) for i, c in enumerate(components)])))
+        .withColumn("__to", F.explode(wanted))
         .select(
             *[F.col(c) for c in files.columns if c not in ("uri", "size_bytes")],
             F.concat_ws(
-                "/", F.slice(parts, 1, 4), F.col("component")["c"], F.get(parts, 5)
+                "/", F.slice(parts, 1, 4), F.col("__to")["c"], F.get(parts, 5)
             ).alias("uri"),
             F.lit(None).cast("bigint").alias("size_bytes"),
-            (F.col("component")["i"] + 1).alias("pass"),
+            (F.col("__to")["i"] + 1).alias("pass"),
         )
     )
     everything = files.withColumn("pass", F.lit(0)).unionByName(extra)
