@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def literal_doubles(values: Iterable[float]) -> Column:
+    """A constant ``array<double>`` from one string literal that is folded at planning time."""
+    return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
+
+
 def doubles(values: Column) -> Column:
     return values.cast("array<double>")
 

@@ -11,7 +11,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import doubles
+from framewise.functions.arrays import doubles, literal_doubles
 from framewise.operators.baselines import binary_cross_entropy, class_weights, log_loss, standardize
 from framewise.operators.ranking import macro, per_class, regression
 
@@ -104,7 +104,7 @@ def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[
     plain = _prepared(df.where(F.col("part").isin("train", eval_part)), config)
 
     def dot(weights: list[float], bias: float):
-        products = F.zip_with(doubles(F.col("features")), F.lit(weights), lambda a, b: a * b)
+        products = F.zip_with(doubles(F.col("features")), literal_doubles(weights), lambda a, b: a * b)
         return F.aggregate(products, F.lit(bias), lambda acc, x: acc + x)
 
     scores = counts = None

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewise.functions import int8
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
@@ -38,33 +41,32 @@ def raw_bytes(values: Column) -> Column:
     return (F.size(values) * 4).cast("bigint")
 
 
-def deflated_bytes(codes: Column, meta: Column, policy: str = "asymmetric", level: int = 6) -> Column:
-    """Raw-deflate size of the serialised payload; deflate has no SQL form, so bytes go through Arrow."""
-    tag = int8.POLICIES.index(policy)
-
-    @F.pandas_udf("bigint")
-    def size(q: pd.Series, scale: pd.Series, zero: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-        def one(codes_, s, z, lo, hi):
-            head = struct.pack("<fbffBQ", s, z, lo, hi, tag, len(codes_))
-            squeeze = zlib.compressobj(level, zlib.DEFLATED, -15)
-            body = bytes(int(c) & 0xFF for c in codes_)
-            return len(squeeze.compress(head + body) + squeeze.flush())
-
-        return pd.Series([one(*row) for row in zip(q, scale, zero, low, high)])
+def payload_sizes(
+    df: DataFrame, col: str = "embedding", policy: str = "asymmetric", keep: tuple[str, ...] = (), level: int = 6
+) -> DataFrame:
+    """``keep`` columns with raw, payload and raw-deflate bytes per vector.
 
-    return size(codes, meta["scale"], meta["zero_point"], meta["min_value"], meta["max_value"])
+    Deflate has no SQL form, so codes and their header fields (a few dozen bytes per row) go through Arrow.
+    """
+    tag = int8.POLICIES.index(policy)
+    fields = ("scale", "zero_point", "min_value", "max_value")
 
+    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sizes = []
+            for codes, *head in zip(batch["codes"], *(batch[f] for f in fields)):
+                payload = struct.pack("<fbffBQ", *head, tag, len(codes)) + np.asarray(codes, dtype=np.int8).tobytes()
+                packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+                sizes.append(len(packer.compress(payload) + packer.flush()))
+            yield batch.drop(columns=["codes", *fields]).assign(deflated_bytes=sizes)
 
-def payload_sizes(df: DataFrame, col: str = "embedding", policy: str = "asymmetric") -> DataFrame:
-    """Raw, payload and deflated bytes per vector."""
     q = quantized(df, col, policy)
-    return q.withColumns(
-        {
-            "raw_bytes": raw_bytes(F.col(col)),
-            "payload_bytes": payload_bytes(F.col("codes")),
-            "deflated_bytes": deflated_bytes(F.col("codes"), F.col("meta"), policy),
-        }
+    narrow = q.select(
+        *keep, raw_bytes(F.col(col)).alias("raw_bytes"), payload_bytes(F.col("codes")).alias("payload_bytes"),
+        "codes", *[F.col(f"meta.{f}") for f in fields],
     )
+    out = T.StructType([f for f in narrow.schema.fields if f.name not in ("codes", *fields)] + [T.StructField("deflated_bytes", T.LongType())])
+    return narrow.mapInPandas(squeeze, out)
 
 
 def bpp(total_bytes: Column, samples: Column, pixels_per_sample: int) -> Column:

@@ -44,7 +44,7 @@ def escape_pipes(text: Column) -> Column:
 
 
 def _fixed(value: Column) -> Column:
-    """Six decimals, ``inf`` for infinity, ``-`` for NULL."""
+    """Six decimals, ``inf`` for infinity, ``-`` for NULL. Evaluation metrics are single precision."""
     return (
         F.when(value.isNull(), "-")
         .when(value == F.lit(float("inf")), "inf")
@@ -72,7 +72,7 @@ def comparison(runs: DataFrame, evals: DataFrame) -> DataFrame:
         return joined.select(*base)
     return joined.select(
         *base, F.coalesce(escape_pipes(F.col("eval_split")), F.lit("-")).alias("eval_split"),
-        *[_fixed(F.col(c)).alias(c) for c in EVAL_COLUMNS[1:]],
+        *[_fixed(F.col(c).cast("float")).alias(c) for c in EVAL_COLUMNS[1:]],
     )
 
 
@@ -85,9 +85,14 @@ def report_rows(evals: DataFrame) -> DataFrame:
         return F.when(
             F.col(mse).isNotNull(),
             F.struct(
-                F.lit(i).alias("modality_order"), F.lit(name).alias("modality"), _fixed(F.col(mse)).alias("mean_mse"),
-                _fixed(F.col(psnr)).alias("mean_psnr"), _fixed(similarity).alias("mean_ssim"),
-                _fixed(depth).alias("mean_depth_mae_m"), _fixed(valid).alias("mean_valid_fraction"),
+                F.lit(i).alias("modality_order"), F.lit(name).alias("modality"),
+                *[
+                    _fixed(v.cast("float")).alias(n)
+                    for n, v in (
+                        ("mean_mse", F.col(mse)), ("mean_psnr", F.col(psnr)), ("mean_ssim", similarity),
+                        ("mean_depth_mae_m", depth), ("mean_valid_fraction", valid),
+                    )
+                ],
             ),
         )
 

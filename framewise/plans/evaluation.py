@@ -269,8 +269,8 @@ def label_artifact_rows(spark, d):
     )
 
 
-QSTEP = """b AS (SELECT vec_id, embedding AS v, list_min(embedding) AS lo, list_max(embedding) AS hi, ((list_max(embedding) - list_min(embedding)) / 255::FLOAT)::FLOAT AS scale FROM embeddings),
-  z AS (SELECT *, least(greatest(sign(q) * floor(abs(q) + 0.5), -128), 127)::INT AS zp FROM (SELECT *, ((-128)::FLOAT - (lo / scale)::FLOAT)::DOUBLE AS q FROM b)),
+QSTEP = """qb AS (SELECT vec_id, embedding AS v, list_min(embedding) AS lo, list_max(embedding) AS hi, ((list_max(embedding) - list_min(embedding)) / 255::FLOAT)::FLOAT AS scale FROM embeddings),
+  z AS (SELECT *, least(greatest(sign(q) * floor(abs(q) + 0.5), -128), 127)::INT AS zp FROM (SELECT *, ((-128)::FLOAT - (lo / scale)::FLOAT)::DOUBLE AS q FROM qb)),
   k AS (SELECT *, list_transform(v, lambda e: least(greatest(sign(((e / scale)::FLOAT + zp::FLOAT)::DOUBLE) * floor(abs(((e / scale)::FLOAT + zp::FLOAT)::DOUBLE) + 0.5), -128), 127)::INT) AS codes FROM z),
   p AS (SELECT vec_id, list_transform(v, lambda e: (e::DOUBLE + 1) / 2) AS t,
     list_transform(codes, lambda c: (least(greatest((c - zp)::FLOAT * scale, lo), hi)::DOUBLE + 1) / 2) AS q,

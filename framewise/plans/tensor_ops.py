@@ -268,7 +268,7 @@ def int8_restored(spark, d):
 )
 def payload_sizes(spark, d):
     """Deflate sizes depend on the encoder; a constant vector must shrink and no payload may grow by more than a block header."""
-    out = ratedist.payload_sizes(vectors(spark, d))
+    out = ratedist.payload_sizes(vectors(spark, d), keep=("vec_id",))
     ok = F.when(F.col("vec_id") % 50 == 0, F.col("deflated_bytes") < F.col("payload_bytes")).otherwise(
         F.col("deflated_bytes").between(1, F.col("payload_bytes") + 5)
     )
@@ -277,7 +277,7 @@ def payload_sizes(spark, d):
 
 @reg.add("deflated_sizes")
 def deflated_sizes(spark, d):
-    return ratedist.payload_sizes(vectors(spark, d)).select("vec_id", "deflated_bytes")
+    return ratedist.payload_sizes(vectors(spark, d), keep=("vec_id",)).select("vec_id", "deflated_bytes")
 
 
 @reg.add(
