@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import running, seq_bucket
+from framewise.operators.ordered import rank_by_seq, running
 from framewise.session import stage
 
 KEY = ["file_name", "segment", "timestamp_micros"]
@@ -24,14 +24,8 @@ MAX_FOLD_ROWS = 256
 
 def exact(camera: DataFrame, lidar: DataFrame) -> DataFrame:
     """Pair the k-th camera (arrival order) with the k-th last lidar of the same segment and time."""
-    cams = running(
-        camera.select(*KEY, F.col("seq").alias("camera_seq")), KEY, [F.col("camera_seq")],
-        bucket=seq_bucket("camera_seq"), rank="k",
-    )
-    lids = running(
-        lidar.select(*KEY, F.col("seq").alias("lidar_seq")), KEY, [F.col("lidar_seq").desc()],
-        bucket=seq_bucket("lidar_seq", descending=True), rank="k",
-    )
+    cams = rank_by_seq(camera.select(*KEY, F.col("seq").alias("camera_seq")), KEY, "camera_seq", "k")
+    lids = rank_by_seq(lidar.select(*KEY, F.col("seq").alias("lidar_seq")), KEY, "lidar_seq", "k", descending=True)
     return cams.join(lids, [*KEY, "k"]).select(
         *KEY, "camera_seq", "lidar_seq",
         F.col("timestamp_micros").alias("lidar_timestamp_micros"),
@@ -48,13 +42,15 @@ def islands(camera: DataFrame, lidar: DataFrame, max_delta_micros: int) -> DataF
     sides = camera.select(*KEY, F.lit(1).alias("c"), F.lit(0).alias("l")).unionByName(
         lidar.select(*KEY, F.lit(0).alias("c"), F.lit(1).alias("l"))
     )
-    times = sides.groupBy(*KEY).agg(
-        F.sum("c").cast("bigint").alias("cams"), F.sum("l").cast("bigint").alias("lids")
+    # narrow and needed several times over: written once instead of scanning the sources again
+    times = stage(
+        sides.groupBy(*KEY)
+        .agg(F.sum("c").cast("bigint").alias("cams"), F.sum("l").cast("bigint").alias("lids"))
+        .withColumn("hour", F.floor(F.col("timestamp_micros") / F.lit(TIME_BUCKET_MICROS)).cast("bigint"))
     )
-    bucket = F.floor(F.col("timestamp_micros") / F.lit(TIME_BUCKET_MICROS)).cast("bigint")
     order = [F.col("timestamp_micros")]
     with_previous = running(
-        times, SCOPE, order, bucket=bucket,
+        times, SCOPE, order, bucket="hour",
         sums={"lidar_pos": (F.col("lids") > 0).cast("bigint")},
         max_before={"previous": F.col("timestamp_micros")},
     )
@@ -62,7 +58,7 @@ def islands(camera: DataFrame, lidar: DataFrame, max_delta_micros: int) -> DataF
         F.col("previous").isNull() | (F.col("timestamp_micros") - F.col("previous") > F.lit(max_delta_micros)),
         F.col("timestamp_micros"),
     )
-    return running(with_previous, SCOPE, order, bucket=bucket, max_through={"island": starts}).drop("previous")
+    return running(with_previous, SCOPE, order, bucket="hour", max_through={"island": starts}).drop("previous", "hour")
 
 
 def nearest(camera: DataFrame, lidar: DataFrame, max_delta_micros: int, max_fold_rows: int = MAX_FOLD_ROWS) -> DataFrame:
@@ -171,7 +167,7 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
             )
         )
         held = state.where(F.col("slot").isNotNull()).unionByName(proposed.where(~F.col("done")))
-        ranked = running(held, [*SCOPE, "slot"], [F.col("seq")], bucket=seq_bucket("seq"), rank="k")
+        ranked = rank_by_seq(held, [*SCOPE, "slot"], "seq", "k")
         room = slots.select(*SCOPE, F.col("pos").alias("slot"), "room")
         kept = ranked.join(room, [*SCOPE, "slot"]).withColumn(
             "slot", F.when(F.col("k") <= F.col("room"), F.col("slot"))
@@ -182,12 +178,10 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
             .unionByName(state.where("done"))
         )
 
-    placed = running(
-        state.where(F.col("slot").isNotNull()), [*SCOPE, "slot"], [F.col("seq")], bucket=seq_bucket("seq"), rank="k"
-    ).join(slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"])
-    lids = running(
+    placed = rank_by_seq(state.where(F.col("slot").isNotNull()), [*SCOPE, "slot"], "seq", "k").join(slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"])
+    lids = rank_by_seq(
         lidar.select(*SCOPE, F.col("timestamp_micros").alias("slot_time"), F.col("seq").alias("lidar_seq")),
-        [*SCOPE, "slot_time"], [F.col("lidar_seq").desc()], bucket=seq_bucket("lidar_seq", descending=True), rank="k",
+        [*SCOPE, "slot_time"], "lidar_seq", "k", descending=True,
     )
     return placed.join(lids, [*SCOPE, "slot_time", "k"]).select(
         *KEY, F.col("seq").alias("camera_seq"), "lidar_seq", F.col("slot_time").alias("lidar_timestamp_micros"),

@@ -2,8 +2,8 @@
 
 A window over a hot group runs in a single task. Here every group is cut into consecutive pieces that follow
 the sort order, the window runs inside each piece, and a table with one row per (piece, group) carries the
-totals of the earlier pieces. Pieces come from an integer that grows with the order (``bucket``, lazy) or,
-for arbitrary orders, from a range partitioning that is staged once (``bucket=None``).
+totals of the earlier pieces. Pieces come from an integer that grows with the order (lazy, see ``seq_bucket``) or,
+for arbitrary orders, from a range partitioning that is staged once (``pieces_of``).
 """
 
 from __future__ import annotations
@@ -19,6 +19,20 @@ PIECE = "__piece"
 POSITION = "__position"
 SEQ_WIDTH = 1 << 17
 GROUP_LIMIT = 1000  # Spark prunes rank <= k before the shuffle up to this k
+HOT_ROWS = 1 << 20
+TRACKED_KEYS = 8192
+TOP_KEYS = 100
+
+
+def pieces_of(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Range-partitioned rows in (group, order) order, staged once, with ``__piece`` and ``__position`` in it."""
+    keys = [F.col(c) for c in by] + list(order)
+    return stage(
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn(PIECE, F.spark_partition_id().cast("bigint"))
+        .withColumn(POSITION, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    )
 
 
 def running(
@@ -26,7 +40,7 @@ def running(
     by: Sequence[str],
     order: Sequence[Column],
     *,
-    bucket: Column | None = None,
+    bucket: Column | str | None = None,
     rank: str | None = None,
     sums: dict[str, Column] | None = None,
     max_before: dict[str, Column] | None = None,
@@ -35,28 +49,24 @@ def running(
     """Add ``rank`` (from 1), inclusive running sums, and running maxima before / through each row.
 
     ``bucket`` must be non-decreasing along ``order`` inside a group and hold a bounded number of rows per
-    value, such as ``seq div 131072`` for a unique ``seq``. ``by`` columns must not be null.
+    value, such as ``seq div 131072`` for a unique ``seq``. Given as a column name it stays in the result, so that
+    a second call reuses the same partitioning. ``by`` columns must not be null.
     """
     by = list(by)
+    inner = list(order)
     if bucket is None:
-        keys = [F.col(c) for c in by] + list(order)
-        pieces = stage(
-            df.repartitionByRange(*keys)
-            .sortWithinPartitions(*keys)
-            .withColumn(PIECE, F.spark_partition_id())
-            .withColumn(POSITION, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-        )
-        inner: list[Column] = [F.col(POSITION)]
+        pieces, piece, inner = pieces_of(df, by, order), PIECE, [F.col(POSITION)]
+    elif isinstance(bucket, str):
+        pieces, piece = df, bucket
     else:
-        pieces = df.withColumn(PIECE, bucket.cast("bigint"))
-        inner = list(order)
+        pieces, piece = df.withColumn(PIECE, bucket.cast("bigint")), PIECE
 
     totals: list[Column] = []
     carried: list[Column] = []
     local: dict[str, Column] = {}
     merged: dict[str, Column] = {}
-    earlier = Window.partitionBy(*by).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    piece_window = Window.partitionBy(PIECE, *by).orderBy(*inner)
+    earlier = Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    piece_window = Window.partitionBy(piece, *by).orderBy(*inner)
     through = piece_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = piece_window.rowsBetween(Window.unboundedPreceding, -1)
 
@@ -78,10 +88,10 @@ def running(
     for name, value in (max_through or {}).items():
         add(name, F.max(value).over(through), F.max(value), F.max, F.greatest)
 
-    carry = pieces.groupBy(PIECE, *by).agg(*totals).select(PIECE, *by, *carried)
+    carry = pieces.groupBy(piece, *by).agg(*totals).select(piece, *by, *carried)
     return (
         pieces.select("*", *[c.alias(n) for n, c in local.items()])
-        .join(carry, [PIECE, *by])
+        .join(carry, [piece, *by])
         .select(*df.columns, *[c.alias(n) for n, c in merged.items()])
     )
 
@@ -92,6 +102,30 @@ def seq_bucket(seq: str, descending: bool = False, width: int = SEQ_WIDTH) -> Co
     return -piece if descending else piece
 
 
+def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of keys that may hold more than ``rows`` rows: at most TOP_KEYS of them.
+
+    One frequent-items sketch over the key columns, merged map-side, so nothing is shuffled. The sketch never
+    undercounts by more than its error, and the answer only picks the plan: results do not depend on it.
+    """
+    top = df.agg(F.call_function("approx_top_k", F.xxhash64(*by), F.lit(TOP_KEYS), F.lit(TRACKED_KEYS)).alias("t")).first()["t"] or []
+    return [e["item"] for e in top if e["count"] > rows]
+
+
+def rank_by_seq(
+    df: DataFrame, by: Sequence[str], seq: str, rank: str, descending: bool = False, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Rank by a unique integer inside each group: a plain window, with hot groups ranked in pieces instead."""
+    order = F.col(seq).desc() if descending else F.col(seq).asc()
+    hot = hot_keys(df, by, hot_rows)
+    window = Window.partitionBy(*by).orderBy(order)
+    if not hot:
+        return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
+    is_hot = F.xxhash64(*by).isin(hot)
+    cold = df.where(~is_hot).withColumn(rank, F.row_number().over(window).cast("bigint"))
+    return cold.unionByName(running(df.where(is_hot), by, [order], bucket=seq_bucket(seq, descending), rank=rank))
+
+
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each group, with their rank.
 

@@ -16,7 +16,7 @@ from framewise.functions import int8
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
 from framewise.functions.tensors import pack_range_u8, pack_rgb_u8, unpack_u8
 from framewise.operators.evaluate import combine
-from framewise.operators.ordered import first_per_key, running
+from framewise.operators.ordered import PIECE, first_per_key, pieces_of, running
 
 RATE_EPS = 1e-12
 PSNR_EPS = 1e-9
@@ -96,43 +96,45 @@ def operating_points(
     Out: one row per point and modality, plus modality ``combined``.
     """
     rgb_px, range_px = rgb_hw[0] * rgb_hw[1], range_hw[0] * range_hw[1]
-    head = min(range_channels, 2)
-
-    def cut(c: str) -> Column:
-        return F.slice(F.col(c), 1, head * range_px)
-
-    def errors(p: Column, t: Column, similarity: Column | None = None) -> Column:
-        e = error_metrics(p, t)
-        s = similarity if similarity is not None else F.lit(None).cast("double")
-        return F.struct(e["mse"].alias("mse"), e["psnr_db"].alias("psnr_db"), s.alias("ssim"))
-
-    q = quantized(df, policy=policy).withColumns({"rgb_u8": _u8_rgb(F.col("rgb")), "range_u8": _u8_range(F.col("range"), range_px)})
-    entries = []
-    for point, size in (("raw_f32", raw_bytes(F.col("embedding"))), ("quantized", payload_bytes(F.col("codes")))):
-        tail = "raw" if point == "raw_f32" else "quant"
-        rgb_hat, range_hat = F.col(f"rgb_{tail}"), F.col(f"range_{tail}")
-        rgb_hat_u8, range_hat_u8 = _u8_rgb(rgb_hat), _u8_range(range_hat, range_px)
-        for modality, u8, f32, depth in (
-            (
-                "rgb", errors(rgb_hat_u8, F.col("rgb_u8"), ssim(rgb_hat_u8, F.col("rgb_u8"), *rgb_hw)),
-                errors(rgb_hat, F.col("rgb"), ssim(rgb_hat, F.col("rgb"), *rgb_hw)), F.lit(None).cast("double"),
-            ),
-            (
-                "range", errors(range_hat_u8, F.col("range_u8")), errors(cut(f"range_{tail}"), cut("range")),
-                depth_metrics(cut(f"range_{tail}"), cut("range"), range_px)["mae_m"],
-            ),
-        ):
-            entries.append(
-                F.struct(
-                    F.lit(point).alias("point"), F.lit(modality).alias("modality"), size.alias("bytes"),
-                    u8.alias("u8"), f32.alias("f32"), depth.alias("depth_mae_m"),
-                )
-            )
-    long = q.select(F.inline(F.array(*entries)))
+    head = min(range_channels, 2) * range_px
+    q = quantized(df, policy=policy)
+
+    def entry(point: str, tail: str, modality: str, size: Column) -> Column:
+        return F.struct(
+            F.lit(point).alias("point"), F.lit(modality).alias("modality"), size.alias("bytes"),
+            F.col(f"{modality}_{tail}").cast("array<double>").alias("p"), F.col(modality).cast("array<double>").alias("t"),
+        )
+
+    # one row per point and modality first, so that every metric is written (and planned) once
+    sizes = {"raw": raw_bytes(F.col("embedding")), "quant": payload_bytes(F.col("codes"))}
+    entries = [
+        entry(point, tail, modality, sizes[tail])
+        for point, tail in (("raw_f32", "raw"), ("quantized", "quant")) for modality in ("rgb", "range")
+    ]
+    is_rgb = F.col("modality") == "rgb"
+
+    def u8(c: str) -> Column:
+        return F.when(is_rgb, _u8_rgb(F.col(c))).otherwise(_u8_range(F.col(c), range_px))
+
+    def measured(c: str) -> Column:
+        return F.when(is_rgb, F.col(c)).otherwise(F.slice(F.col(c), 1, head))
+
+    wide = q.select(F.inline(F.array(*entries))).select(
+        "point", "modality", "bytes", measured("p").alias("p"), measured("t").alias("t"), u8("p").alias("p8"), u8("t").alias("t8")
+    )
+
+    def rgb_ssim(p: str, t: str) -> Column:
+        return ssim(F.when(is_rgb, F.col(p)), F.when(is_rgb, F.col(t)), *rgb_hw)
+
+    long = wide.select(
+        "point", "modality", "bytes", error_metrics(F.col("p8"), F.col("t8")).alias("u8"), error_metrics(F.col("p"), F.col("t")).alias("f32"),
+        rgb_ssim("p8", "t8").alias("u8_ssim"), rgb_ssim("p", "t").alias("f32_ssim"),
+        F.when(~is_rgb, depth_metrics(F.col("p"), F.col("t"), range_px)["mae_m"]).alias("depth_mae_m"),
+    )
     per_modality = long.groupBy("point", "modality").agg(
         F.count(F.lit(1)).alias("samples"), F.sum("bytes").alias("latent_bytes"),
-        F.avg("u8.mse").alias("mse"), F.avg("u8.psnr_db").alias("psnr_db"), F.avg("u8.ssim").alias("ssim"),
-        F.avg("f32.mse").alias("f32_mse"), F.avg("f32.psnr_db").alias("f32_psnr_db"), F.avg("f32.ssim").alias("f32_ssim"),
+        F.avg("u8.mse").alias("mse"), F.avg("u8.psnr_db").alias("psnr_db"), F.avg("u8_ssim").alias("ssim"),
+        F.avg("f32.mse").alias("f32_mse"), F.avg("f32.psnr_db").alias("f32_psnr_db"), F.avg("f32_ssim").alias("f32_ssim"),
         F.avg("depth_mae_m").alias("depth_mae_m"),
     )
     # at most four rows from here on
@@ -163,29 +165,27 @@ def frontier(points: DataFrame, by: str = "curve") -> DataFrame:
     Equal rates keep their best PSNR; a point stays when it beats every cheaper point by more than 1e-9.
     """
     best = check_points(points).groupBy(by, "rate").agg(F.max("psnr_db").alias("psnr_db"))
-    merged = _merge_close_rates(best, by)
-    ranked = running(merged, [by], [F.col("rate")], max_before={"best_before": F.col("psnr_db")})
+    merged = _merge_close_rates(pieces_of(best, [by], [F.col("rate")]), by)
+    order = [F.col("rate")]
+    ranked = running(merged, [by], order, bucket=PIECE, max_before={"best_before": F.col("psnr_db")})
     kept = ranked.where(F.col("best_before").isNull() | (F.col("psnr_db") > F.col("best_before") + PSNR_EPS))
     linked = running(
-        kept.select(by, "rate", "psnr_db"), [by], [F.col("rate")],
+        kept.select(by, "rate", "psnr_db", PIECE), [by], order, bucket=PIECE,
         max_before={"previous_rate": F.col("rate"), "previous_psnr_db": F.col("psnr_db")},
     )
-    return linked
-
+    return linked.drop(PIECE)
 
-def _merge_close_rates(best: DataFrame, by: str) -> DataFrame:
-    """Rates within 1e-12 (relative) of the cheapest rate of their run count as that rate.
 
-    Distinct doubles that close share their 13-digit decimal grid cell or sit in neighbouring ones, so the
-    common case is one aggregate over exact rates; runs are found with the previous rate.
-    """
-    step = running(best, [by], [F.col("rate")], max_before={"__prev": F.col("rate")})
+def _merge_close_rates(pieces: DataFrame, by: str) -> DataFrame:
+    """Runs of rates that each lie within 1e-12 (relative) of the one before count as the first rate of the run."""
+    order = [F.col("rate")]
+    step = running(pieces, [by], order, bucket=PIECE, max_before={"__prev": F.col("rate")})
     near = F.col("rate") - F.col("__prev") <= F.greatest(F.col("rate"), F.lit(1.0)) * RATE_EPS
-    heads = running(
-        step, [by], [F.col("rate")],
-        max_through={"__head": F.when(F.col("__prev").isNull() | ~near, F.col("rate"))},
+    starts = F.when(F.col("__prev").isNull() | ~near, F.col("rate"))
+    heads = running(step, [by], order, bucket=PIECE, max_through={"__head": starts})
+    return heads.groupBy(by, F.col("__head").alias("rate")).agg(
+        F.max("psnr_db").alias("psnr_db"), F.min(PIECE).alias(PIECE)
     )
-    return heads.groupBy(by, F.col("__head").alias("rate")).agg(F.max("psnr_db").alias("psnr_db"))
 
 
 def _target_array(targets: list[float]) -> Column:

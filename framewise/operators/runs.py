@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.arrays import let, positions, round_half_away
-from framewise.operators.ordered import first_per_key
+from framewise.operators.ordered import first_per_key, running
 
 EVAL_PRIORITY = ("val", "test", "train")
 REPORT_ORDER = ("train", "val", "test")
@@ -109,16 +109,16 @@ def report_rows(evals: DataFrame) -> DataFrame:
 def curve_buckets(epochs: DataFrame, by: list[str], epoch: str = "epoch", value: str = "loss", width: int = 10, levels: int = 8) -> DataFrame:
     """``width`` evenly spaced epochs as bucket numbers ``0 .. levels-1`` between their smallest and largest value.
 
-    Only the sampled epochs are collected per curve: their positions follow from the epoch count.
+    Epochs are ranked in pieces; only the ``width`` sampled ones of a curve are collected.
     """
-    sized = epochs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min(epoch).alias("__first"))
+    ranked = running(epochs.select(*by, epoch, value), by, [F.col(epoch)], rank="__at")
+    sized = epochs.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     spots = F.transform(
-        positions(width), lambda i: round_half_away(i * (F.col("__n") - 1) / F.lit(float(width - 1))).cast("bigint")
+        positions(width), lambda i: round_half_away(i * (F.col("__n") - 1) / F.lit(float(width - 1))).cast("bigint") + 1
     )
-    wanted = sized.select(*by, F.col("__first"), F.posexplode(spots).alias("__slot", "__at"))
+    wanted = sized.select(*by, F.posexplode(spots).alias("__slot", "__at"))
     picked = (
-        epochs.withColumn("__e", F.col(epoch).cast("bigint"))
-        .join(wanted.withColumn("__e", F.col("__first") + F.col("__at")), [*by, "__e"])
+        ranked.join(wanted, [*by, "__at"])
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(F.struct("__slot", F.col(value).cast("double").alias("v")))).alias("s"))
     )

@@ -30,7 +30,7 @@ def scores(spark, d):
 
 
 def rows(spark, d):
-    return views.probe_rows(views.table(spark, d, "embeddings"))
+    return views.probe_rows(views.array_table(spark, d, "embeddings", "vec_id"))
 
 
 @reg.add("average_precision", f"WITH {SCORES}, {AP} SELECT class, round(value, 6) AS value, CASE WHEN value IS NULL THEN 'requires at least one positive label' END AS na_reason FROM ap")

@@ -53,7 +53,7 @@ NORMED = "list_transform(it, lambda e: CASE WHEN list_max(it) > 0 THEN least(gre
 
 
 def emb(spark, d):
-    return views.table(spark, d, "embeddings")
+    return views.array_table(spark, d, "embeddings", "vec_id")
 
 
 def raw(spark, d):

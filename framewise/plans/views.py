@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def array_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of array rows for per-row array work. A table with fewer scan tasks than cores is spread over them;
+    a large table already has more tasks than that and is left as it is, without a shuffle."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a zone-less timestamp, whatever the session zone."""
     of_day = F.hour(ts).cast("bigint") * 3600 + F.minute(ts) * 60
