@@ -112,16 +112,15 @@ def log_to_count(pred_log: Column) -> Column:
 def regression(rows: DataFrame, by: str = "target") -> DataFrame:
     """Long rows ``target, metric, value, na_reason`` (mae, rmse, r2) from ``target, truth, pred_log``.
 
-    Variance is the two-pass sum around the exact mean: the mean table has one row per target.
+    The total sum of squares comes from the numerically stable variance aggregate, so one pass is enough.
     """
     work = rows.select(
         by, F.greatest(F.col("truth").cast("double"), F.lit(0.0)).alias("t"), log_to_count(F.col("pred_log")).alias("p")
     )
-    means = work.groupBy(by).agg(F.avg("t").alias("m"))
-    diff, spread = F.col("t") - F.col("p"), F.col("t") - F.col("m")
-    wide = work.join(means, by).groupBy(by).agg(
+    diff = F.col("t") - F.col("p")
+    wide = work.groupBy(by).agg(
         F.avg(F.abs(diff)).alias("mae"), F.sqrt(F.avg(diff * diff)).alias("rmse"),
-        F.sum(diff * diff).alias("res"), F.sum(spread * spread).alias("tot"),
+        F.sum(diff * diff).alias("res"), (F.var_pop("t") * F.count(F.lit(1))).alias("tot"),
     )
     r2 = F.when(F.col("tot") > EPSILON, F.lit(1.0) - F.try_divide("res", "tot"))
     entries = F.array(

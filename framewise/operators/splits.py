@@ -52,14 +52,18 @@ def split_size_table(df: DataFrame, ratios: tuple[float, float, float]) -> DataF
     return df.sparkSession.createDataFrame(list(sizes.items()), "split string, n bigint")
 
 
-def _checked(df: DataFrame, column: str) -> DataFrame:
-    """Blank ids raise while rows flow; duplicate ids are found with one aggregate."""
-    repeated = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"duplicate sample id: {repeated[0][0]}")
-    value = F.col(column)
-    blank = value.isNull() | (F.trim(value) == "")
-    return df.withColumn(column, F.when(blank, F.raise_error(F.lit("sample id must not be empty"))).otherwise(value))
+def _checked_count(ids: DataFrame, column: str) -> int:
+    """Number of ids; blank or repeated ones raise. One aggregate answers all three questions."""
+    per_id = ids.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    blank = F.col(column).isNull() | (F.trim(F.col(column)) == "")
+    seen = per_id.agg(
+        F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by(column, "n").alias("which"), F.count_if(blank).alias("blank")
+    ).first()
+    if seen["blank"]:
+        raise ValueError("sample id must not be empty")
+    if (seen["most"] or 0) > 1:
+        raise ValueError(f"duplicate sample id: {seen['which']}")
+    return int(seen["rows"] or 0)
 
 
 def assign(
@@ -67,12 +71,11 @@ def assign(
 ) -> DataFrame:
     """``id, split``: ids ordered by seeded hash, the first rows train, the next val, the rest test."""
     ids = df.select(id_col)
-    if check:
-        ids = _checked(ids, id_col)
+    rows = _checked_count(ids, id_col) if check else ids.count()
     hashed = ids.withColumn("__h", split_hash(F.col(id_col), seed))
     flat = hashed.select(id_col, F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
     ranked = running(flat, [], [F.col("__hi"), F.col("__lo"), F.col(id_col)], rank="__rank")
-    sizes = split_sizes(ids.count(), ratios)
+    sizes = split_sizes(rows, ratios)
     edge = sizes["train"]
     split = (
         F.when(F.col("__rank") <= edge, "train").when(F.col("__rank") <= edge + sizes["val"], "val").otherwise("test")

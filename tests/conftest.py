@@ -12,7 +12,7 @@ from framewise.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, shuffle_partitions=4, app="tests")
+    session = local_session(8, shuffle_partitions=4, app="tests")
     yield session
 
 

@@ -39,8 +39,8 @@ def test_assign_is_deterministic_and_ordered_by_hash(spark):
 def test_assign_rejects_blank_and_duplicate_ids(spark):
     with pytest.raises(ValueError, match="duplicate"):
         splits.assign(ids(spark, ["a", "a"]), "sample_id", 1, R)
-    with pytest.raises(Exception, match="must not be empty"):
-        splits.assign(ids(spark, ["a", " "]), "sample_id", 1, R).collect()
+    with pytest.raises(ValueError, match="must not be empty"):
+        splits.assign(ids(spark, ["a", " "]), "sample_id", 1, R)
 
 
 def test_groups_never_cross_splits(spark):
