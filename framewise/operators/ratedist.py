@@ -16,7 +16,8 @@ from framewise.functions import int8
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
 from framewise.functions.tensors import pack_range_u8, pack_rgb_u8, unpack_u8
 from framewise.operators.evaluate import combine
-from framewise.operators.ordered import PIECE, first_per_key, pieces_of, running
+from framewise.operators.ordered import PIECE, POSITION, first_per_key, pieces_of, running
+from framewise.session import stage
 
 RATE_EPS = 1e-12
 PSNR_EPS = 1e-9
@@ -165,9 +166,9 @@ def frontier(points: DataFrame, by: str = "curve") -> DataFrame:
     Equal rates keep their best PSNR; a point stays when it beats every cheaper point by more than 1e-9.
     """
     best = check_points(points).groupBy(by, "rate").agg(F.max("psnr_db").alias("psnr_db"))
-    merged = _merge_close_rates(pieces_of(best, [by], [F.col("rate")]), by)
+    pieces = _merge_close_rates(pieces_of(best, [by], [F.col("rate")]), by)
     order = [F.col("rate")]
-    ranked = running(merged, [by], order, bucket=PIECE, max_before={"best_before": F.col("psnr_db")})
+    ranked = running(pieces, [by], order, bucket=PIECE, max_before={"best_before": F.col("psnr_db")})
     kept = ranked.where(F.col("best_before").isNull() | (F.col("psnr_db") > F.col("best_before") + PSNR_EPS))
     linked = running(
         kept.select(by, "rate", "psnr_db", PIECE), [by], order, bucket=PIECE,
@@ -177,14 +178,19 @@ def frontier(points: DataFrame, by: str = "curve") -> DataFrame:
 
 
 def _merge_close_rates(pieces: DataFrame, by: str) -> DataFrame:
-    """Runs of rates that each lie within 1e-12 (relative) of the one before count as the first rate of the run."""
+    """Runs of rates that each lie within 1e-12 (relative) of the one before count as the first rate of the run.
+
+    Such neighbours are rare, so one look at the ordered rates decides whether there is anything to merge.
+    """
     order = [F.col("rate")]
-    step = running(pieces, [by], order, bucket=PIECE, max_before={"__prev": F.col("rate")})
     near = F.col("rate") - F.col("__prev") <= F.greatest(F.col("rate"), F.lit(1.0)) * RATE_EPS
+    step = running(pieces.drop(POSITION), [by], order, bucket=PIECE, max_before={"__prev": F.col("rate")})
+    if step.where(near).isEmpty():
+        return pieces.drop(POSITION)
     starts = F.when(F.col("__prev").isNull() | ~near, F.col("rate"))
-    heads = running(step, [by], order, bucket=PIECE, max_through={"__head": starts})
-    return heads.groupBy(by, F.col("__head").alias("rate")).agg(
-        F.max("psnr_db").alias("psnr_db"), F.min(PIECE).alias(PIECE)
+    heads = running(stage(step), [by], order, bucket=PIECE, max_through={"__head": starts})
+    return stage(
+        heads.groupBy(by, F.col("__head").alias("rate")).agg(F.max("psnr_db").alias("psnr_db"), F.min(PIECE).alias(PIECE))
     )
 
 
@@ -205,9 +211,9 @@ def rate_at(points: DataFrame, targets: list[float], by: str = "curve") -> DataF
     """Rate of every curve at every target PSNR, linear in log rate; NULL with a reason outside the curve.
 
     Targets are a short literal list: each frontier segment looks up the ones inside it, so no join with them
-    is needed.
+    is needed. The frontier is read twice, so it is staged.
     """
-    front = frontier(points, by)
+    front = stage(frontier(points, by))
     low, high = F.col("previous_psnr_db"), F.col("psnr_db")
     inside = front.where(low.isNotNull()).select(
         by, "rate", "psnr_db", "previous_rate", "previous_psnr_db",

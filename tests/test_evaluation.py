@@ -98,17 +98,20 @@ def test_close_rates_merge(spark):
 
 
 def test_rate_at_edges(spark):
-    def at(pts, t):
-        return ratedist.rate_at(points(spark, pts), [t]).first()
-
-    assert math.isclose(at([(1, 30), (4, 40)], 35.0)["rate"], 2.0)
-    outside = [(100, 30), (200, 35)]
-    assert at(outside, 40.0)["reason"] and at(outside, 25.0)["reason"] and at(outside, 40.0)["rate"] is None
-    assert at(outside, 30.0)["rate"] == 100 and at(outside, 35.0)["rate"] == 200
-    assert at([(1, 30)], 30.0)["reason"] == "not enough points: 1"
-    assert at(outside, float("nan"))["reason"] == "target is not finite"
+    curves = {"two": [(1, 30), (4, 40)], "edge": [(100, 30), (200, 35)], "lone": [(1, 30)]}
+    every = None
+    for name, pts in curves.items():
+        one = points(spark, pts, name)
+        every = one if every is None else every.unionByName(one)
+    rows = ratedist.rate_at(every, [25.0, 30.0, 35.0, 40.0, float("nan")]).collect()
+    got = {(r["curve"], r["target"]): r for r in rows if r["target"] == r["target"]}
+    assert math.isclose(got["two", 35.0]["rate"], 2.0)
+    assert got["edge", 40.0]["reason"] and got["edge", 25.0]["reason"] and got["edge", 40.0]["rate"] is None
+    assert got["edge", 30.0]["rate"] == 100 and got["edge", 35.0]["rate"] == 200
+    assert got["lone", 30.0]["reason"] == "not enough points: 1"
+    assert {r["reason"] for r in rows if r["target"] != r["target"]} == {"target is not finite"}
     with pytest.raises(Exception, match="invalid rate-distortion point"):
-        at([(-1, 30), (2, 31)], 30.5)
+        ratedist.rate_at(points(spark, [(-1, 30), (2, 31)]), [30.5]).collect()
 
 
 def test_matched_targets_and_bpp(spark):
