@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import rank_by_seq, running
+from framewise.operators.ordered import hot_keys, rank_by_seq
 from framewise.session import stage
 
 KEY = ["file_name", "segment", "timestamp_micros"]
@@ -24,8 +24,9 @@ MAX_FOLD_ROWS = 256
 
 def exact(camera: DataFrame, lidar: DataFrame) -> DataFrame:
     """Pair the k-th camera (arrival order) with the k-th last lidar of the same segment and time."""
-    cams = rank_by_seq(camera.select(*KEY, F.col("seq").alias("camera_seq")), KEY, "camera_seq", "k")
-    lids = rank_by_seq(lidar.select(*KEY, F.col("seq").alias("lidar_seq")), KEY, "lidar_seq", "k", descending=True)
+    hot = hot_keys(camera.select(*KEY).unionByName(lidar.select(*KEY)), KEY)
+    cams = rank_by_seq(camera.select(*KEY, F.col("seq").alias("camera_seq")), KEY, "camera_seq", "k", hot=hot)
+    lids = rank_by_seq(lidar.select(*KEY, F.col("seq").alias("lidar_seq")), KEY, "lidar_seq", "k", descending=True, hot=hot)
     return cams.join(lids, [*KEY, "k"]).select(
         *KEY, "camera_seq", "lidar_seq",
         F.col("timestamp_micros").alias("lidar_timestamp_micros"),
@@ -42,23 +43,47 @@ def islands(camera: DataFrame, lidar: DataFrame, max_delta_micros: int) -> DataF
     sides = camera.select(*KEY, F.lit(1).alias("c"), F.lit(0).alias("l")).unionByName(
         lidar.select(*KEY, F.lit(0).alias("c"), F.lit(1).alias("l"))
     )
+    ts = F.col("timestamp_micros")
     # narrow and needed several times over: written once instead of scanning the sources again
     times = stage(
         sides.groupBy(*KEY)
         .agg(F.sum("c").cast("bigint").alias("cams"), F.sum("l").cast("bigint").alias("lids"))
-        .withColumn("hour", F.floor(F.col("timestamp_micros") / F.lit(TIME_BUCKET_MICROS)).cast("bigint"))
+        .withColumn("hour", F.floor(ts / F.lit(TIME_BUCKET_MICROS)).cast("bigint"))
     )
-    order = [F.col("timestamp_micros")]
-    with_previous = running(
-        times, SCOPE, order, bucket="hour",
-        sums={"lidar_pos": (F.col("lids") > 0).cast("bigint")},
-        max_before={"previous": F.col("timestamp_micros")},
+
+    def after_gap(previous: Column) -> Column:
+        return ts - previous > F.lit(max_delta_micros)
+
+    # inside one hour of a scope everything but the link to earlier hours is known
+    hour = Window.partitionBy(*SCOPE, "hour").orderBy("timestamp_micros")
+    through = hour.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = (
+        times.withColumn("previous", F.lag("timestamp_micros").over(hour))
+        .withColumn("start", F.when(after_gap(F.col("previous")), ts))
+        .withColumn("own_island", F.max("start").over(through))
+        .withColumn("own_pos", F.sum((F.col("lids") > 0).cast("bigint")).over(through))
+    )
+    # one row per scope and hour: what the hours before it hand over
+    before = Window.partitionBy(*SCOPE).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = local.groupBy(*SCOPE, "hour").agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.max("start").alias("last_start"), F.max("own_pos").alias("n_pos")
+    )
+    opened = F.when(
+        F.col("earlier").isNull() | (F.col("first") - F.col("earlier") > F.lit(max_delta_micros)), F.col("first")
+    )
+    carry = (
+        hours.withColumn("earlier", F.max("last").over(before))
+        .withColumn("opened", opened)
+        .withColumn("newest", F.coalesce("last_start", "opened"))
+        .select(
+            *SCOPE, "hour", F.coalesce("opened", F.max("newest").over(before)).alias("open_island"),
+            F.coalesce(F.sum("n_pos").over(before), F.lit(0)).alias("pos_before"),
+        )
     )
-    starts = F.when(
-        F.col("previous").isNull() | (F.col("timestamp_micros") - F.col("previous") > F.lit(max_delta_micros)),
-        F.col("timestamp_micros"),
+    return local.join(carry, [*SCOPE, "hour"]).select(
+        *KEY, "cams", "lids", (F.col("own_pos") + F.col("pos_before")).alias("lidar_pos"),
+        F.coalesce("own_island", "open_island").alias("island"),
     )
-    return running(with_previous, SCOPE, order, bucket="hour", max_through={"island": starts}).drop("previous", "hour")
 
 
 def nearest(camera: DataFrame, lidar: DataFrame, max_delta_micros: int, max_fold_rows: int = MAX_FOLD_ROWS) -> DataFrame:
@@ -70,7 +95,7 @@ def nearest(camera: DataFrame, lidar: DataFrame, max_delta_micros: int, max_fold
     tolerance = max(int(max_delta_micros), 0)
     if tolerance == 0:
         return exact(camera, lidar)
-    timeline = islands(camera, lidar, tolerance)
+    timeline = stage(islands(camera, lidar, tolerance))
     sizes = (
         timeline.groupBy(*SCOPE, "island")
         .agg(F.sum("cams").alias("n_cams"), F.sum("lids").alias("n_lids"))
@@ -78,12 +103,11 @@ def nearest(camera: DataFrame, lidar: DataFrame, max_delta_micros: int, max_fold
         .withColumn("fold", F.col("n_cams") + F.col("n_lids") <= F.lit(max_fold_rows))
         .select(*SCOPE, "island", "fold")
     )
-    places = stage(timeline.join(sizes, [*SCOPE, "island"]))
+    places = timeline.join(sizes, [*SCOPE, "island"])
     folded = _fold(camera, lidar, places.where("fold"), tolerance)
-    long_places = places.where(~F.col("fold"))
-    if long_places.isEmpty():
+    if sizes.where(~F.col("fold")).isEmpty():
         return folded
-    return folded.unionByName(_propose(camera, lidar, long_places, tolerance))
+    return folded.unionByName(_propose(camera, lidar, stage(places.where(~F.col("fold"))), tolerance))
 
 
 def _fold(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance: int) -> DataFrame:

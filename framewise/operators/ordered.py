@@ -113,11 +113,11 @@ def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> list[int
 
 
 def rank_by_seq(
-    df: DataFrame, by: Sequence[str], seq: str, rank: str, descending: bool = False, hot_rows: int = HOT_ROWS
+    df: DataFrame, by: Sequence[str], seq: str, rank: str, descending: bool = False, hot: list[int] | None = None
 ) -> DataFrame:
-    """Rank by a unique integer inside each group: a plain window, with hot groups ranked in pieces instead."""
+    """Rank by a unique integer inside each group: a plain window, with ``hot`` groups ranked in pieces instead."""
     order = F.col(seq).desc() if descending else F.col(seq).asc()
-    hot = hot_keys(df, by, hot_rows)
+    hot = hot_keys(df, by) if hot is None else hot
     window = Window.partitionBy(*by).orderBy(order)
     if not hot:
         return df.withColumn(rank, F.row_number().over(window).cast("bigint"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -18,6 +20,7 @@ from framewise.operators.ranking import macro, per_class, regression
 # Default regularisation grid.
 L2_GRID = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 TIE = 2.220446049250313e-16
+TASK_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -67,10 +70,13 @@ def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[
     try:
         train = ready.where("part = 'train'")
         widths = train.agg(
-            F.max(F.size("presence")).alias("p"), F.max(F.size("counts")).alias("c"), F.count(F.lit(1)).alias("n")
+            F.max(F.size("presence")).alias("p"), F.max(F.size("counts")).alias("c"), F.max(F.size("features")).alias("d"),
+            F.count(F.lit(1)).alias("n"),
         ).first()
         if not widths["n"]:
             raise ValueError("train_features must not be empty")
+        # solvers run one job per step: tasks should hold a fair share of the rows, not a handful each
+        train = train.coalesce(int(widths["n"] * max(widths["d"], 1) * 8 // TASK_BYTES) + 1)
         n_classes, n_targets = max(widths["p"] or 0, 0), max(widths["c"] or 0, 0)
         weights = {r["class"]: r["weight"] for r in class_weights(df).collect()} if n_classes else {}
 
@@ -101,8 +107,6 @@ def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[
     finally:
         ready.unpersist()
 
-    plain = _prepared(df.where(F.col("part").isin("train", eval_part)), config)
-
     def dot(weights: list[float], bias: float):
         products = F.zip_with(doubles(F.col("features")), literal_doubles(weights), lambda a, b: a * b)
         return F.aggregate(products, F.lit(bias), lambda acc, x: acc + x)
@@ -118,7 +122,7 @@ def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[
                 for k, (w, b, cw) in enumerate(classes)
             ]
         )
-        scores = plain.select("part", "idx", F.inline(entries))
+        scores = ready.select("part", "idx", F.inline(entries))
     if targets:
         entries = F.array(
             *[
@@ -129,7 +133,7 @@ def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[
                 for k, (w, b) in enumerate(targets)
             ]
         )
-        counts = plain.select("part", "idx", F.inline(entries))
+        counts = ready.select("part", "idx", F.inline(entries))
     return scores, counts
 
 
@@ -151,22 +155,24 @@ def pick_l2(candidates: DataFrame) -> DataFrame:
 
 def select_l2(df: DataFrame, grid: tuple[float, ...] = L2_GRID, config: ProbeConfig = ProbeConfig()) -> DataFrame:
     """``l2, validation_score, selected`` over the grid, each candidate scored on the ``val`` part."""
-    import dataclasses
-    import math
-
     grid = grid or L2_GRID
     for l2 in grid:
         if not math.isfinite(l2) or l2 < 0:
             raise ValueError(f"invalid L2 candidate: {l2}")
-    rows = []
-    for l2 in grid:
-        measured = linear(df, dataclasses.replace(config, l2=l2), eval_part="val").collect()  # a dozen rows
-        value = {r["metric"]: r["value"] for r in measured}
-        parts = [(value.get("average precision"), 1), (value.get("balanced accuracy"), 1), (value.get("rmse"), -1), (value.get("mae"), -1)]
-        defined = [v * s for v, s in parts if v is not None]
+    # features are scaled once for all candidates
+    ready = standardize(df) if config.standardize else df
+    signs = {"average precision": 1, "balanced accuracy": 1, "rmse": -1, "mae": -1}
+
+    def score(l2: float) -> tuple[float, float]:
+        candidate = dataclasses.replace(config, l2=l2, standardize=False)
+        measured = linear(ready, candidate, eval_part="val").collect()  # a dozen rows
+        defined = [r["value"] * signs[r["metric"]] for r in measured if r["metric"] in signs and r["value"] is not None]
         if not defined:
             raise ValueError("cannot score validation result without defined metrics")
-        rows.append((float(l2), sum(defined) / len(defined)))
+        return float(l2), sum(defined) / len(defined)
+
+    with ThreadPoolExecutor(config.parallelism) as pool:
+        rows = list(pool.map(score, grid))
     best = None
     for l2, score in rows:
         if best is None or score > best[1] + TIE or (abs(score - best[1]) <= TIE and l2 < best[0]):

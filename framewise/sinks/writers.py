@@ -26,12 +26,13 @@ def metric_text(value: Column) -> Column:
     """Shortest single-precision decimal text, never in exponent form; NULL stays NULL, +inf is ``inf``."""
     f = value.cast("float")
     text, size = f.cast("string"), F.abs(f.cast("double"))
-    small = F.regexp_replace(text.try_cast("decimal(38,37)").cast("string"), r"0+$", "")
+    small = F.rtrim(text.try_cast("decimal(38,37)").cast("string"), F.lit("0"))
     return (
         F.when(F.isnan(f) | (size == F.lit(float("inf"))), F.when(f > 0, "inf").otherwise(text))
         .when((size < 1e-3) & (size > 0), small)
         .when(size >= 1e7, text.try_cast("decimal(38,0)").cast("string"))
-        .otherwise(F.regexp_replace(text, r"\.0$", ""))
+        .when(text.endswith(".0"), F.substring_index(text, ".", 1))
+        .otherwise(text)
     )
 
 

@@ -54,7 +54,7 @@ def test_hot_keys_are_found_and_ranks_stay_exact(skewed):
     assert len(hot_keys(df, ["g"], rows=1000)) == 1
     assert hot_keys(df, ["g"], rows=10_000) == []
     for rows in (1000, 10_000):
-        out = rank_by_seq(df, ["g"], "seq", "r", descending=True, hot_rows=rows).toPandas().sort_values("seq")
+        out = rank_by_seq(df, ["g"], "seq", "r", descending=True, hot=hot_keys(df, ["g"], rows)).toPandas().sort_values("seq")
         want = pdf.sort_values("seq").groupby("g")["seq"].rank(ascending=False).astype(int)
         assert out["r"].tolist() == want.tolist()
 
