@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import hot_keys, rank_by_seq
+from framewise.operators.ordered import hot_keys, rank_by_seq, running, seq_bucket
 from framewise.session import stage
 
 KEY = ["file_name", "segment", "timestamp_micros"]
@@ -23,11 +23,28 @@ MAX_FOLD_ROWS = 256
 
 
 def exact(camera: DataFrame, lidar: DataFrame) -> DataFrame:
-    """Pair the k-th camera (arrival order) with the k-th last lidar of the same segment and time."""
-    hot = hot_keys(camera.select(*KEY).unionByName(lidar.select(*KEY)), KEY)
-    cams = rank_by_seq(camera.select(*KEY, F.col("seq").alias("camera_seq")), KEY, "camera_seq", "k", hot=hot)
-    lids = rank_by_seq(lidar.select(*KEY, F.col("seq").alias("lidar_seq")), KEY, "lidar_seq", "k", descending=True, hot=hot)
-    return cams.join(lids, [*KEY, "k"]).select(
+    """Pair the k-th camera (arrival order) with the k-th last lidar of the same segment and time.
+
+    Both sides go through one exchange on the frame key; ranking and pairing then happen in place. Keys that a
+    sketch finds hot are ranked in pieces instead.
+    """
+    side = [*KEY, "is_camera"]
+    rows = camera.select(*KEY, F.lit(True).alias("is_camera"), "seq", F.col("seq").alias("arrival")).unionByName(
+        lidar.select(*KEY, F.lit(False).alias("is_camera"), "seq", (-F.col("seq")).alias("arrival"))
+    )
+    hot = hot_keys(rows, KEY)
+    is_hot = F.xxhash64(*KEY).isin(hot)
+    by_arrival = Window.partitionBy(*side).orderBy("arrival")
+    cold = (rows.where(~is_hot) if hot else rows).repartition(*KEY)
+    ranked = cold.withColumn("k", F.row_number().over(by_arrival).cast("bigint"))
+    if hot:
+        pieces = running(rows.where(is_hot), side, [F.col("arrival")], bucket=seq_bucket("arrival"), rank="k")
+        ranked = ranked.unionByName(pieces)
+    paired = ranked.groupBy(*KEY, "k").agg(
+        F.max(F.when(F.col("is_camera"), F.col("seq"))).alias("camera_seq"),
+        F.max(F.when(~F.col("is_camera"), F.col("seq"))).alias("lidar_seq"),
+    )
+    return paired.where("camera_seq is not null and lidar_seq is not null").select(
         *KEY, "camera_seq", "lidar_seq",
         F.col("timestamp_micros").alias("lidar_timestamp_micros"),
         F.lit(0).cast("bigint").alias("abs_delta_micros"),

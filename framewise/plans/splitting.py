@@ -77,19 +77,31 @@ def split_counts(spark, d):
     return splits.counts(splits.assign(ids(spark, d), "sample_id", SEED, RATIOS, check=False))
 
 
+# largest remainder for shares 1/2, 1/4, 1/4 depends on the group count modulo 4 only
 GROUPS = f"""g AS (SELECT DISTINCT user_id::VARCHAR AS segment FROM events),
   gh AS (SELECT segment, {_hash_sql('segment', SEED)} AS h FROM g),
-  ga AS (SELECT segment, CASE WHEN rn <= floor(n * 0.5) THEN 'train' WHEN rn <= floor(n * 0.75) THEN 'val' ELSE 'test' END AS split
+  ga AS (SELECT segment, CASE WHEN rn <= n // 2 + (n % 4 = 1)::INT THEN 'train'
+      WHEN rn <= n // 2 + (n % 4 = 1)::INT + n // 4 + (n % 4 IN (2, 3))::INT THEN 'val' ELSE 'test' END AS split
     FROM (SELECT segment, row_number() OVER (ORDER BY h, segment) AS rn, count(*) OVER () AS n FROM gh))"""
+HALVES = (0.5, 0.25, 0.25)
 
 
 def _segments(spark, d):
     return views.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("segment"))
 
 
-@reg.add("group_holdout_leakage", """SELECT false AS leakage_detected, 0.0::DOUBLE AS overlap_fraction, 0::BIGINT AS overlapping_groups FROM events LIMIT 1""")
+@reg.add("group_holdout", f"WITH {GROUPS} SELECT event_id, user_id::VARCHAR AS segment, split FROM events JOIN ga ON ga.segment = user_id::VARCHAR")
+def group_holdout(spark, d):
+    return splits.assign_groups(_segments(spark, d), "segment", SEED, HALVES).select("event_id", "segment", "split")
+
+
+@reg.add(
+    "group_holdout_leakage",
+    f"""WITH {GROUPS}, x AS (SELECT ga.segment, count(DISTINCT split) > 1 AS crosses FROM events JOIN ga ON ga.segment = user_id::VARCHAR GROUP BY 1)
+    SELECT bool_or(crosses) AS leakage_detected, avg(crosses::INT) AS overlap_fraction, count(*) FILTER (crosses) AS overlapping_groups FROM x""",
+)
 def group_holdout_leakage(spark, d):
-    held = splits.assign_groups(_segments(spark, d), "segment", SEED, (0.5, 0.25, 0.25))
+    held = splits.assign_groups(_segments(spark, d), "segment", SEED, HALVES)
     return splits.leakage(held, "segment")
 
 

@@ -48,3 +48,12 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
     assert "text" not in plan
     plan = plan_of(QUERIES["align_exact"](spark, sf_dir))
     assert "props" not in plan and "value" not in plan
+
+
+def test_exact_alignment_needs_one_exchange(spark):
+    from framewise.operators import align
+
+    frames = spark.range(100).select(
+        F.lit("f").alias("file_name"), F.lit("s").alias("segment"), F.col("id").alias("timestamp_micros"), F.col("id").alias("seq")
+    )
+    assert plan_of(align.exact(frames, frames)).count("Exchange ") == 1
