@@ -217,7 +217,7 @@ def label_attach(spark, d):
     v AS (SELECT DISTINCT segment, timestamp_micros, 1::BIGINT AS valid_pixels FROM pairs WHERE lidar_seq % 7 <> 0)
     SELECT *, {PRESENT} FROM (SELECT c.seq, c.segment, c.timestamp_micros, {FILLED},
        coalesce(valid_pixels, 0) AS valid_pixels, 2::BIGINT AS total_pixels,
-       CASE WHEN valid_pixels = 1 THEN 0.5 ELSE 0.0 END AS valid_fraction
+       (CASE WHEN valid_pixels = 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS valid_fraction
        FROM cam c LEFT JOIN last USING (segment, timestamp_micros) LEFT JOIN v USING (segment, timestamp_micros))""",
 )
 def label_backfill(spark, d):

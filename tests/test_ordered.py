@@ -64,3 +64,11 @@ def test_first_per_key_keeps_first_and_last(skewed):
     first = {r["g"]: r["seq"] for r in first_per_key(df, ["g"], F.col("seq")).collect()}
     last = {r["g"]: r["seq"] for r in first_per_key(df, ["g"], F.col("seq"), last=True).collect()}
     assert first == pdf.groupby("g")["seq"].min().to_dict() and last == pdf.groupby("g")["seq"].max().to_dict()
+
+
+def test_staged_tables_are_released(spark):
+    from framewise import session
+
+    session.release_staged(spark)
+    kept = session.stage(spark.range(5))
+    assert kept.count() == 5 and session.release_staged(spark) == 1 and session.release_staged(spark) == 0
