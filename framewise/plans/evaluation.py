@@ -224,7 +224,7 @@ def eval_csv_rows(spark, d):
     q = F.col("l_quantity") / 4
     none = F.lit(None).cast("double")
     modality = lambda mse, psnr: F.struct(mse.alias("mse"), mse.alias("mae"), mse.alias("rmse"), psnr.alias("psnr_db"), none.alias("ssim"))
-    rows = views.table(spark, d, "lineitem").select(
+    rows = views.array_table(spark, d, "lineitem", "l_orderkey").select(
         F.concat_ws(",", "l_orderkey", "l_linenumber").alias("sample_id"),
         F.when(F.col("l_linenumber") != 3, modality(q, F.when(q == 1, F.lit(float("inf"))).otherwise(q * 2))).alias("rgb"),
         modality(q, q + 0.5).alias("range"),

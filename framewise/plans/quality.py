@@ -136,7 +136,7 @@ def frame_records(spark, d):
     index = F.floor(i / 150).cast("int")
     rgb = F.concat(F.lit("rgb/s_"), s, F.lit(".bin"))
     folder = F.when(i % 3 == 0, "Training").when(i % 3 == 1, F.when(i % 79 == 0, "valid").otherwise("val")).otherwise("testing")
-    return views.table(spark, d, "events").select(
+    return views.array_table(spark, d, "events", "event_id").select(
         i.alias("idx"),
         F.when(i % 97 == 1, "s_0").otherwise(F.concat(F.lit("s_"), s)).alias("sample_id"),
         F.when(i % 89 == 2, "seg:bad").otherwise(F.format_string("%d:%06d", "user_id", index)).alias("frame_id"),

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def array_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of array rows for per-row array work. A table with fewer scan tasks than cores is spread over them;
+    """A table for costly per-row work. A table with fewer scan tasks than cores is spread over them;
     a large table already has more tasks than that and is left as it is, without a shuffle."""
     df = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
