@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,3 +29,10 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def document_shape(df: DataFrame) -> DataFrame:
     """The columns of ``documents`` in their order; the character count is taken again from the text."""
     return df.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long")).select(*DOCUMENT_COLUMNS)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a task builds from one batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

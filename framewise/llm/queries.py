@@ -5,13 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import line_rules, sharding
+from framewise.llm import bpe_dp, cdc, line_rules, packing, quality_cnn, sharding, simhash, token_counts
 from framewise.llm.common import documents
 from framewise.plans.registry import Registry
 
 reg = Registry()
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file; every operator takes the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@reg.add("op1_chunk_fingerprints")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cdc.edited_pairs(documents(spark, sf_dir))
+
+
+@reg.add("op2_prefix_bpe")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_dp.encode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), decoded=True)
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@reg.add("op4_byte_cnn")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality_cnn.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_cnn.score(docs, model).select(
+        "doc_id", quality_cnn.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@reg.add("op5_gray_simhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @reg.add("op6_line_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge(documents(spark, sf_dir))
@@ -29,4 +65,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@reg.add("op9_binary_packing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+@reg.add("op10_two_tier_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES, SQL = reg.queries, reg.sql
