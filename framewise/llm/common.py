@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewise.session import shared_dir
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The six ASCII white-space characters as a regular-expression class body.
 BLANKS = r"\x20\x09-\x0D"
@@ -36,3 +39,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """Writes ``df`` to the shared folder and reads it back; the path is for ``remove_table`` once it is not needed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
