@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import hot_keys, rank_by_seq, running, seq_bucket
+from framewise.operators.ordered import rank_by_seq, running, seq_bucket
 from framewise.session import stage
 
 KEY = ["file_name", "segment", "timestamp_micros"]
@@ -25,21 +25,14 @@ MAX_FOLD_ROWS = 256
 def exact(camera: DataFrame, lidar: DataFrame) -> DataFrame:
     """Pair the k-th camera (arrival order) with the k-th last lidar of the same segment and time.
 
-    Both sides go through one exchange on the frame key; ranking and pairing then happen in place. Keys that a
-    sketch finds hot are ranked in pieces instead.
+    Both sides are ranked together, each frame key in pieces of its arrival order, so a key may hold any number of
+    frames. A frame without a complete key has no partner.
     """
     side = [*KEY, "is_camera"]
     rows = camera.select(*KEY, F.lit(True).alias("is_camera"), "seq", F.col("seq").alias("arrival")).unionByName(
         lidar.select(*KEY, F.lit(False).alias("is_camera"), "seq", (-F.col("seq")).alias("arrival"))
     )
-    hot = hot_keys(rows, KEY)
-    is_hot = F.xxhash64(*KEY).isin(hot)
-    by_arrival = Window.partitionBy(*side).orderBy("arrival")
-    cold = (rows.where(~is_hot) if hot else rows).repartition(*KEY)
-    ranked = cold.withColumn("k", F.row_number().over(by_arrival).cast("bigint"))
-    if hot:
-        pieces = running(rows.where(is_hot), side, [F.col("arrival")], bucket=seq_bucket("arrival"), rank="k")
-        ranked = ranked.unionByName(pieces)
+    ranked = running(rows.dropna(subset=KEY), side, [F.col("arrival")], bucket=seq_bucket("arrival"), rank="k")
     paired = ranked.groupBy(*KEY, "k").agg(
         F.max(F.when(F.col("is_camera"), F.col("seq"))).alias("camera_seq"),
         F.max(F.when(~F.col("is_camera"), F.col("seq"))).alias("lidar_seq"),
@@ -221,7 +214,7 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
 
     placed = rank_by_seq(state.where(F.col("slot").isNotNull()), [*SCOPE, "slot"], "seq", "k").join(slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"])
     lids = rank_by_seq(
-        lidar.select(*SCOPE, F.col("timestamp_micros").alias("slot_time"), F.col("seq").alias("lidar_seq")),
+        lidar.dropna(subset=KEY).select(*SCOPE, F.col("timestamp_micros").alias("slot_time"), F.col("seq").alias("lidar_seq")),
         [*SCOPE, "slot_time"], "lidar_seq", "k", descending=True,
     )
     return placed.join(lids, [*SCOPE, "slot_time", "k"]).select(
@@ -269,8 +262,18 @@ def matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def with_payload(pairs: DataFrame, camera: DataFrame, lidar: DataFrame) -> DataFrame:
-    """Join image and range values back to aligned keys."""
-    cam = camera.select("file_name", F.col("seq").alias("camera_seq"), "image")
+def with_ranges(pairs: DataFrame, lidar: DataFrame) -> DataFrame:
+    """Join range values back to aligned keys."""
     lid = lidar.select("file_name", F.col("seq").alias("lidar_seq"), "range_values", "shape")
-    return pairs.join(cam, ["file_name", "camera_seq"]).join(lid, ["file_name", "lidar_seq"])
+    return pairs.join(lid, ["file_name", "lidar_seq"])
+
+
+def with_images(pairs: DataFrame, camera: DataFrame) -> DataFrame:
+    """Join images back to aligned keys; call it last, so that images cross the network once."""
+    cam = camera.select("file_name", F.col("seq").alias("camera_seq"), "image")
+    return pairs.join(cam, ["file_name", "camera_seq"])
+
+
+def with_payload(pairs: DataFrame, camera: DataFrame, lidar: DataFrame) -> DataFrame:
+    """Range values and images joined back to aligned keys."""
+    return with_images(with_ranges(pairs, lidar), camera)

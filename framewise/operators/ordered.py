@@ -19,9 +19,6 @@ PIECE = "__piece"
 POSITION = "__position"
 SEQ_WIDTH = 1 << 17
 GROUP_LIMIT = 1000  # Spark prunes rank <= k before the shuffle up to this k
-HOT_ROWS = 1 << 20
-TRACKED_KEYS = 8192
-TOP_KEYS = 100
 
 
 def pieces_of(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -50,10 +47,11 @@ def running(
 
     ``bucket`` must be non-decreasing along ``order`` inside a group and hold a bounded number of rows per
     value, such as ``seq div 131072`` for a unique ``seq``. Given as a column name it stays in the result, so that
-    a second call reuses the same partitioning. ``by`` columns must not be null.
+    a second call reuses the same partitioning. A null in a ``by`` column is an error.
     """
     by = list(by)
     inner = list(order)
+    df = _keyed(df, by)
     if bucket is None:
         pieces, piece, inner = pieces_of(df, by, order), PIECE, [F.col(POSITION)]
     elif isinstance(bucket, str):
@@ -96,34 +94,26 @@ def running(
     )
 
 
-def seq_bucket(seq: str, descending: bool = False, width: int = SEQ_WIDTH) -> Column:
+def seq_bucket(seq: str, descending: bool = False, width: int | None = None) -> Column:
     """Pieces of at most ``width`` rows for a unique integer order column."""
-    piece = F.floor(F.col(seq) / F.lit(width)).cast("bigint")
+    piece = F.floor(F.col(seq) / F.lit(width or SEQ_WIDTH)).cast("bigint")
     return -piece if descending else piece
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of keys that may hold more than ``rows`` rows: at most TOP_KEYS of them.
-
-    One frequent-items sketch over the key columns, merged map-side, so nothing is shuffled. The sketch never
-    undercounts by more than its error, and the answer only picks the plan: results do not depend on it.
-    """
-    top = df.agg(F.call_function("approx_top_k", F.xxhash64(*by), F.lit(TOP_KEYS), F.lit(TRACKED_KEYS)).alias("t")).first()["t"] or []
-    return [e["item"] for e in top if e["count"] > rows]
+def _keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The same rows; a null key raises, as the join with the totals would lose its rows."""
+    if not by:
+        return df
+    missing = F.lit(False)
+    for c in by:
+        missing = missing | F.col(c).isNull()
+    return df.where(F.when(missing, F.raise_error(F.lit(f"null in a key of {', '.join(by)}")).cast("boolean")).otherwise(True))
 
 
-def rank_by_seq(
-    df: DataFrame, by: Sequence[str], seq: str, rank: str, descending: bool = False, hot: list[int] | None = None
-) -> DataFrame:
-    """Rank by a unique integer inside each group: a plain window, with ``hot`` groups ranked in pieces instead."""
+def rank_by_seq(df: DataFrame, by: Sequence[str], seq: str, rank: str, descending: bool = False) -> DataFrame:
+    """Rank by a unique integer inside each group; every group is ranked in pieces, however many rows it holds."""
     order = F.col(seq).desc() if descending else F.col(seq).asc()
-    hot = hot_keys(df, by) if hot is None else hot
-    window = Window.partitionBy(*by).orderBy(order)
-    if not hot:
-        return df.withColumn(rank, F.row_number().over(window).cast("bigint"))
-    is_hot = F.xxhash64(*by).isin(hot)
-    cold = df.where(~is_hot).withColumn(rank, F.row_number().over(window).cast("bigint"))
-    return cold.unionByName(running(df.where(is_hot), by, [order], bucket=seq_bucket(seq, descending), rank=rank))
+    return running(df, by, [order], bucket=seq_bucket(seq, descending), rank=rank)
 
 
 def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from framewise.functions import int8
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
@@ -42,32 +35,11 @@ def raw_bytes(values: Column) -> Column:
     return (F.size(values) * 4).cast("bigint")
 
 
-def payload_sizes(
-    df: DataFrame, col: str = "embedding", policy: str = "asymmetric", keep: tuple[str, ...] = (), level: int = 6
-) -> DataFrame:
-    """``keep`` columns with raw, payload and raw-deflate bytes per vector.
-
-    Deflate has no SQL form, so codes and their header fields (a few dozen bytes per row) go through Arrow.
-    """
-    tag = int8.POLICIES.index(policy)
-    fields = ("scale", "zero_point", "min_value", "max_value")
-
-    def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sizes = []
-            for codes, *head in zip(batch["codes"], *(batch[f] for f in fields)):
-                payload = struct.pack("<fbffBQ", *head, tag, len(codes)) + np.asarray(codes, dtype=np.int8).tobytes()
-                packer = zlib.compressobj(level, zlib.DEFLATED, -15)
-                sizes.append(len(packer.compress(payload) + packer.flush()))
-            yield batch.drop(columns=["codes", *fields]).assign(deflated_bytes=sizes)
-
-    q = quantized(df, col, policy)
-    narrow = q.select(
-        *keep, raw_bytes(F.col(col)).alias("raw_bytes"), payload_bytes(F.col("codes")).alias("payload_bytes"),
-        "codes", *[F.col(f"meta.{f}") for f in fields],
+def payload_sizes(df: DataFrame, col: str = "embedding", policy: str = "asymmetric", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns with raw and payload bytes per vector."""
+    return quantized(df, col, policy).select(
+        *keep, raw_bytes(F.col(col)).alias("raw_bytes"), payload_bytes(F.col("codes")).alias("payload_bytes")
     )
-    out = T.StructType([f for f in narrow.schema.fields if f.name not in ("codes", *fields)] + [T.StructField("deflated_bytes", T.LongType())])
-    return narrow.mapInPandas(squeeze, out)
 
 
 def bpp(total_bytes: Column, samples: Column, pixels_per_sample: int) -> Column:
@@ -178,20 +150,38 @@ def frontier(points: DataFrame, by: str = "curve") -> DataFrame:
 
 
 def _merge_close_rates(pieces: DataFrame, by: str) -> DataFrame:
-    """Runs of rates that each lie within 1e-12 (relative) of the one before count as the first rate of the run.
+    """A rate within 1e-12 (relative) of the last rate that was kept counts as that one, with the better PSNR.
 
-    Such neighbours are rare, so one look at the ordered rates decides whether there is anything to merge.
+    Only rates that lie that close to the one before can be merged, and such neighbours are rare: one look at the
+    ordered rates decides whether there are any, and only runs of them, a few doubles wide, are folded in order.
     """
     order = [F.col("rate")]
-    near = F.col("rate") - F.col("__prev") <= F.greatest(F.col("rate"), F.lit(1.0)) * RATE_EPS
+    near = _near(F.col("__prev"), F.col("rate"))
     step = running(pieces.drop(POSITION), [by], order, bucket=PIECE, max_before={"__prev": F.col("rate")})
     if step.where(near).isEmpty():
         return pieces.drop(POSITION)
     starts = F.when(F.col("__prev").isNull() | ~near, F.col("rate"))
     heads = running(stage(step), [by], order, bucket=PIECE, max_through={"__head": starts})
-    return stage(
-        heads.groupBy(by, F.col("__head").alias("rate")).agg(F.max("psnr_db").alias("psnr_db"), F.min(PIECE).alias(PIECE))
-    )
+    run = F.sort_array(F.collect_list(F.struct("rate", "psnr_db")))
+    folded = heads.groupBy(by, "__head").agg(_fold_close(run).alias("kept"), F.min(PIECE).alias(PIECE))
+    return stage(folded.select(by, F.inline("kept"), PIECE))
+
+
+def _near(kept: Column, rate: Column) -> Column:
+    return rate - kept <= F.greatest(rate, F.lit(1.0)) * RATE_EPS
+
+
+def _fold_close(run: Column) -> Column:
+    """Rates in order to kept rates, each compared with the last kept one."""
+    none = F.array().cast("array<struct<rate:double,psnr_db:double>>")
+
+    def add(kept: Column, point: Column) -> Column:
+        last = F.get(kept, F.size(kept) - 1)
+        better = F.struct(last["rate"].alias("rate"), F.greatest(last["psnr_db"], point["psnr_db"]).alias("psnr_db"))
+        joins = (F.size(kept) > 0) & _near(last["rate"], point["rate"])
+        return F.when(joins, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(better))).otherwise(F.concat(kept, F.array(point)))
+
+    return F.aggregate(run, none, add)
 
 
 def _target_array(targets: list[float]) -> Column:

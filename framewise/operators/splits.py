@@ -119,6 +119,11 @@ def only(df: DataFrame, split: str) -> DataFrame:
     return df.where(F.col("split") == ALIASES[name])
 
 
+def by_id(df: DataFrame, sample_id: str, name: str = "sample_id") -> DataFrame:
+    """The rows of one sample; an id that is not there gives none."""
+    return df.where(F.col(name) == F.lit(sample_id))
+
+
 def sequential_id(df: DataFrame, order: list[Column], start: int = 0, name: str = "sample_id") -> DataFrame:
     """One global counter over the given order, formatted ``sample_000000``."""
     ranked = running(df, [], order, rank="__rank")
@@ -137,8 +142,8 @@ def every_nth(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first ``n`` rows: a top-n per partition, then of those."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows: those of rank ``n`` or less in pieces of the order, so no task gathers them."""
+    return running(df, [], order, rank="__rank").where(F.col("__rank") <= n).drop("__rank")
 
 
 def batches(
@@ -153,7 +158,13 @@ def batches(
     else:
         work = df.withColumn("__key", F.xxhash64(F.lit(seed + epoch).cast("bigint"), F.col(id_col)))
         keys = [F.col("__key"), F.col(id_col)]
-    ranked = running(work, [], keys, rank="__rank").withColumns(
+    if order is None and df.columns != [id_col]:
+        # only ids are sorted; the payload is joined once to the ranks of its unique id
+        ranks = running(work.select(id_col, *(["__key"] if seed is not None else [])), [], keys, rank="__rank")
+        ranked = df.join(ranks.select(id_col, "__rank"), id_col)
+    else:
+        ranked = running(work, [], keys, rank="__rank")
+    ranked = ranked.withColumns(
         {
             "batch_index": F.floor((F.col("__rank") - 1) / size).cast("bigint"),
             "position": ((F.col("__rank") - 1) % size).cast("int"),

@@ -16,24 +16,25 @@ def prepare(
 ) -> DataFrame:
     """Aligned, labelled and normalised samples.
 
-    Matching and numbering move only key columns; images and range values are joined back at the end, and the
-    tensor columns are projections on top of that join.
+    Matching and numbering move only key columns. Pairs without a range image are left out before numbering, so ids
+    have no gaps. Range values are joined back first and reduced to tensors; images come last and are moved once.
     """
     pairs = align.nearest(camera, lidar, max_delta_micros)
-    numbered = splits.sequential_id(pairs, [F.col("file_name"), F.col("camera_seq")])
-    labelled = labels.attach(numbered, labels.box_counts(boxes))
-    full = align.with_payload(labelled, camera, lidar)
     if skip_empty_range:
-        full = full.where(F.size("range_values") > 0)
+        filled = lidar.where(F.size("range_values") > 0).select("file_name", F.col("seq").alias("lidar_seq"))
+        pairs = pairs.join(filled, ["file_name", "lidar_seq"], "left_semi")
+    numbered = splits.sequential_id(pairs, [F.col("file_name"), F.col("camera_seq")])
+    labelled = align.with_ranges(labels.attach(numbered, labels.box_counts(boxes)), lidar)
     dims = [F.get("shape", F.lit(i)) for i in range(3)]
     values = F.col("range_values")
     mask = tensors.validity(values, *dims, h, w)
-    return (
-        full.withColumn("range", tensors.range_chw(values, *dims, h, w, list(channels), max_range))
+    tensors_only = (
+        labelled.withColumn("range", tensors.range_chw(values, *dims, h, w, list(channels), max_range))
         .withColumn("__v", tensors.validity_stats(mask))
         .select("*", "__v.*")
         .drop("__v", "range_values", "shape")
     )
+    return align.with_images(tensors_only, camera)
 
 
 def align_report(camera: DataFrame, lidar: DataFrame, boxes: DataFrame) -> DataFrame:

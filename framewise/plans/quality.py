@@ -12,9 +12,15 @@ from framewise.plans.registry import Registry
 reg = Registry()
 
 
+def hinted(sql: str) -> str:
+    """The SQL of a table check with the hint of each kind."""
+    cases = " ".join(f"WHEN '{k}' THEN '{h}'" for k, h in rules.HINTS.items())
+    return f"SELECT *, CASE kind {cases} END AS hint FROM ({sql})"
+
+
 def _dup_sql(src: str, field: str, kind: str, table: str, order: str = "idx", value: str | None = None) -> str:
     v = value or field
-    return f"""SELECT '{kind}' AS kind, '{table}[' || idx || '].{field}' AS location, 'duplicate {field}: ' || {v} AS message
+    return f"""SELECT '{kind}' AS kind, '{table}[' || idx || '].{field}' AS location, '{field} again: ' || {v} AS message
       FROM (SELECT *, row_number() OVER (PARTITION BY {v} ORDER BY {order}) AS nth FROM {src} WHERE trim({v}) <> '') WHERE nth = 2"""
 
 
@@ -38,16 +44,18 @@ def raw_files(spark, d):
 def _local_sql(kind: str, table: str = "files", src: str = "r") -> str:
     return " UNION ALL ".join(
         [
-            f"SELECT '{kind}' AS kind, '{table}[' || idx || '].{c}' AS location, '{c} must not be empty' AS message FROM {src} WHERE trim({c}) = ''"
+            f"SELECT '{kind}' AS kind, '{table}[' || idx || '].{c}' AS location, '{c} is blank' AS message FROM {src} WHERE trim({c}) = ''"
             for c in ("object_uri", "object_path")
         ]
-        + [f"SELECT '{kind}', '{table}[' || idx || '].size_bytes', 'size_bytes must be greater than zero' FROM {src} WHERE size_bytes <= 0"]
+        + [f"SELECT '{kind}', '{table}[' || idx || '].size_bytes', 'size_bytes is not a positive number' FROM {src} WHERE size_bytes <= 0"]
     )
 
 
 @reg.add(
     "raw_file_rules",
-    f"WITH {RAW} {_local_sql('raw_files')} UNION ALL {_dup_sql('r', 'object_uri', 'raw_files', 'files')} UNION ALL {_dup_sql('r', 'object_path', 'raw_files', 'files')}",
+    hinted(
+    f"WITH {RAW} {_local_sql('raw_files')} UNION ALL {_dup_sql('r', 'object_uri', 'raw_files', 'files')} UNION ALL {_dup_sql('r', 'object_path', 'raw_files', 'files')}"
+    ),
 )
 def raw_file_rules(spark, d):
     return rules.raw_file_rules(raw_files(spark, d))
@@ -55,10 +63,12 @@ def raw_file_rules(spark, d):
 
 @reg.add(
     "download_plan_rules",
+    hinted(
     f"""WITH {RAW} {_local_sql('download_plan')} UNION ALL {_dup_sql('r', 'object_uri', 'download_plan', 'files')}
     UNION ALL {_dup_sql('r', 'object_path', 'download_plan', 'files')}
-    UNION ALL SELECT 'download_plan', 'files[' || pos || '].plan_index', 'expected plan_index ' || pos || ', found ' || plan_index
-    FROM (SELECT plan_index, row_number() OVER (ORDER BY idx) - 1 AS pos FROM r) WHERE plan_index <> pos""",
+    UNION ALL SELECT 'download_plan', 'files[' || pos || '].plan_index', 'plan_index at position ' || pos || ' is ' || plan_index
+    FROM (SELECT plan_index, row_number() OVER (ORDER BY idx) - 1 AS pos FROM r) WHERE plan_index <> pos"""
+    ),
 )
 def download_plan_rules(spark, d):
     return rules.plan_rules(raw_files(spark, d))
@@ -85,15 +95,17 @@ def downloads(spark, d):
 
 @reg.add(
     "downloaded_file_rules",
+    hinted(
     f"""WITH {DOWN} {_local_sql('downloaded_files', src='w')}
     UNION ALL {_dup_sql('w', 'object_uri', 'downloaded_files', 'files')} UNION ALL {_dup_sql('w', 'object_path', 'downloaded_files', 'files')}
     UNION ALL {_dup_sql('w', 'local_path', 'downloaded_files', 'files')}
-    UNION ALL SELECT 'downloaded_files', 'files[' || idx || '].sha256', 'sha256 must be a 64-character hexadecimal digest when present' FROM w WHERE sha256 = 'xyz'
+    UNION ALL SELECT 'downloaded_files', 'files[' || idx || '].sha256', 'sha256 is not 64 hexadecimal digits' FROM w WHERE sha256 = 'xyz'
     UNION ALL SELECT 'downloaded_files', 'files[' || idx || '].bytes_transferred',
-      'bytes_transferred ' || bytes_transferred || ' exceeds size_bytes ' || size_bytes FROM w WHERE bytes_transferred > size_bytes
-    UNION ALL SELECT 'downloaded_files', 'files[' || idx || '].error', CASE WHEN status = 'failed' THEN 'failed records must include a non-empty error'
-      ELSE 'error must be non-empty when present' END FROM w
-      WHERE (status = 'failed' AND coalesce(trim(error), '') = '') OR (status <> 'failed' AND trim(error) = '')""",
+      bytes_transferred || ' bytes transferred of a file of ' || size_bytes FROM w WHERE bytes_transferred > size_bytes
+    UNION ALL SELECT 'downloaded_files', 'files[' || idx || '].error', CASE WHEN status = 'failed' THEN 'a failed download names no error'
+      ELSE 'the error text is blank' END FROM w
+      WHERE (status = 'failed' AND coalesce(trim(error), '') = '') OR (status <> 'failed' AND trim(error) = '')"""
+    ),
 )
 def downloaded_file_rules(spark, d):
     return rules.download_rules(downloads(spark, d))
@@ -106,7 +118,7 @@ def sha256_format(spark, d):
 
 @reg.add(
     "duplicate_text_lines",
-    """SELECT 'documents' AS kind, 'documents[' || doc_id || '].text' AS location, 'duplicate text: ' || md5(text) AS message
+    """SELECT 'documents' AS kind, 'documents[' || doc_id || '].text' AS location, 'text again: ' || md5(text) AS message
     FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents WHERE trim(text) <> '') WHERE nth = 2""",
 )
 def duplicate_text_lines(spark, d):
@@ -153,30 +165,32 @@ def frame_records(spark, d):
 
 @reg.add(
     "frame_contract",
+    hinted(
     f"""WITH {FRAMES}, d AS (
-    SELECT 'frames[' || idx || '].timestamp_micros' AS location, 'timestamp_micros must be zero or greater' AS message FROM fr WHERE timestamp_micros < 0
-    UNION ALL SELECT 'frames[' || idx || '].frame_id', 'frame_id must match source segment/frame_index context: expected ' || segment_id || ':' || printf('%06d', frame_index) || ', found ' || frame_id
+    SELECT 'frames[' || idx || '].timestamp_micros' AS location, 'timestamp_micros is negative' AS message FROM fr WHERE timestamp_micros < 0
+    UNION ALL SELECT 'frames[' || idx || '].frame_id', 'frame_id does not follow from segment and index: ' || segment_id || ':' || printf('%06d', frame_index) || ' is not ' || frame_id
       FROM fr WHERE frame_id <> segment_id || ':' || printf('%06d', frame_index)
-    UNION ALL SELECT 'frames[' || idx || '].object_path', 'source path does not contain expected split token (val or validation)' FROM fr WHERE object_path = 'valid/x.parquet'
-    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'rgb artifact must be present for every extracted frame' FROM fr WHERE rgb_path = ''
-    UNION ALL SELECT 'frames[' || idx || '].artifacts', 'rgb and range artifacts must use distinct paths' FROM fr WHERE rgb_path = range_path
-    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'artifact path must be relative and must not contain parent-directory components' FROM fr WHERE rgb_path LIKE '../%'
-    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'rgb artifact path is outside configured rgb_dir rgb' FROM fr WHERE rgb_path LIKE '../%'
-    UNION ALL SELECT 'frames[' || idx || '].range_path', 'range artifact path is outside configured range_dir range' FROM fr WHERE range_path LIKE 'rgb/%'
-    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'rgb artifact filename stem must match sample_id ' || sample_id FROM fr
+    UNION ALL SELECT 'frames[' || idx || '].object_path', 'path names no folder of its split (val or validation)' FROM fr WHERE object_path = 'valid/x.parquet'
+    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'frame has no rgb file' FROM fr WHERE rgb_path = ''
+    UNION ALL SELECT 'frames[' || idx || '].artifacts', 'rgb and range share one file' FROM fr WHERE rgb_path = range_path
+    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'path leaves the dataset folder' FROM fr WHERE rgb_path LIKE '../%'
+    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'rgb file lies outside rgb' FROM fr WHERE rgb_path LIKE '../%'
+    UNION ALL SELECT 'frames[' || idx || '].range_path', 'range file lies outside range' FROM fr WHERE range_path LIKE 'rgb/%'
+    UNION ALL SELECT 'frames[' || idx || '].rgb_path', 'rgb file is not named after sample ' || sample_id FROM fr
       WHERE rgb_path <> '' AND regexp_replace(regexp_replace(rgb_path, '.*/', ''), '[.]bin$', '') <> sample_id
-    UNION ALL SELECT 'frames[' || idx || '].range_path', 'range artifact filename stem must match sample_id ' || sample_id FROM fr
+    UNION ALL SELECT 'frames[' || idx || '].range_path', 'range file is not named after sample ' || sample_id FROM fr
       WHERE regexp_replace(regexp_replace(range_path, '.*/', ''), '[.]bin$', '') <> sample_id
-    UNION ALL SELECT 'frames[' || idx || '].provenance', 'provenance differs from earlier extracted frame records' FROM fr
+    UNION ALL SELECT 'frames[' || idx || '].provenance', 'made by another extractor than the first frame' FROM fr
       WHERE extractor_name <> (SELECT min_by(extractor_name, idx) FROM fr)
-    UNION ALL SELECT 'frames[' || idx || '].' || field, 'duplicate artifact path: ' || path FROM (
+    UNION ALL SELECT 'frames[' || idx || '].' || field, 'artifact path again: ' || path FROM (
       SELECT *, row_number() OVER (PARTITION BY path ORDER BY idx, slot) AS nth FROM (
       SELECT idx, 0 AS slot, 'rgb_path' AS field, rgb_path AS path FROM fr UNION ALL SELECT idx, 1, 'range_path', range_path FROM fr) WHERE path <> '') WHERE nth = 2
-    UNION ALL SELECT 'frames[' || idx || '].sample_id', 'duplicate sample_id: ' || sample_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY idx) AS nth FROM fr) WHERE nth = 2
-    UNION ALL SELECT 'frames[' || idx || '].frame_id', 'duplicate frame_id: ' || frame_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx) AS nth FROM fr) WHERE nth = 2
-    UNION ALL SELECT 'frames[' || idx || '].frame_index', 'duplicate source segment/frame pair: ' || segment_id || '#' || frame_index
+    UNION ALL SELECT 'frames[' || idx || '].sample_id', 'sample_id again: ' || sample_id FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY idx) AS nth FROM fr) WHERE nth = 2
+    UNION ALL SELECT 'frames[' || idx || '].frame_id', 'frame_id again: ' || frame_id FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY idx) AS nth FROM fr) WHERE nth = 2
+    UNION ALL SELECT 'frames[' || idx || '].frame_index', 'segment and frame index again: ' || segment_id || '#' || frame_index
       FROM (SELECT *, row_number() OVER (PARTITION BY segment_id, frame_index ORDER BY idx) AS nth FROM fr) WHERE nth = 2)
-    SELECT 'extracted_frames' AS kind, location, message FROM d""",
+    SELECT 'extracted_frames' AS kind, location, message FROM d"""
+    ),
 )
 def frame_contract(spark, d):
     return rules.frame_contract(frame_records(spark, d), "rgb", "range")
@@ -203,16 +217,18 @@ def sample_records(spark, d):
 
 @reg.add(
     "sample_contract",
+    hinted(
     """WITH e AS (SELECT vec_id AS idx, label, vec_id // 2 AS fi FROM embeddings), d AS (
-    SELECT 'samples[' || idx || '].frame_id' AS location, 'frame_id must not be empty' AS message FROM e WHERE idx % 13 = 0
-    UNION ALL SELECT 'samples[' || idx || '].rgb_shape', 'tensor shape dimensions must be greater than zero' FROM e WHERE idx % 17 = 0 AND idx % 11 <> 0
-    UNION ALL SELECT 'samples[' || idx || '].rgb_shape', 'rgb tensor shape/layout is inconsistent: [' || CASE WHEN idx % 11 = 0 THEN '3, 4' ELSE '4, 0, 4' END || '] with chw' FROM e WHERE idx % 11 = 0 OR idx % 17 = 0
-    UNION ALL SELECT 'samples[' || idx || '].range_shape', 'range tensor shape/layout is inconsistent: [8, 8] with chw' FROM e WHERE idx % 7 = 0
-    UNION ALL SELECT 'samples[' || idx || '].previews', 'previews must contain at least one artifact' FROM e WHERE idx % 19 = 0
-    UNION ALL SELECT 'samples[' || idx || '].preview_path', 'preview artifact path is outside configured preview_dir preview/range/' FROM e WHERE idx % 23 = 0 AND idx % 19 <> 0
-    UNION ALL SELECT 'samples[' || idx || '].previews[1].path', 'duplicate artifact path: preview/rgb/v_' || idx || '.png' FROM e WHERE idx % 23 = 0 AND idx % 19 <> 0
-    UNION ALL SELECT 'samples[' || idx || '].frame_index', 'duplicate source segment/frame pair: seg' || label || '#' || fi FROM (SELECT *, row_number() OVER (PARTITION BY label, fi ORDER BY idx) AS nth FROM e) WHERE nth = 2)
-    SELECT 'processed_samples' AS kind, location, message FROM d""",
+    SELECT 'samples[' || idx || '].frame_id' AS location, 'frame_id is blank' AS message FROM e WHERE idx % 13 = 0
+    UNION ALL SELECT 'samples[' || idx || '].rgb_shape', 'shape has a dimension below one' FROM e WHERE idx % 17 = 0 AND idx % 11 <> 0
+    UNION ALL SELECT 'samples[' || idx || '].rgb_shape', 'rgb shape does not fit its layout: [' || CASE WHEN idx % 11 = 0 THEN '3, 4' ELSE '4, 0, 4' END || '] with chw' FROM e WHERE idx % 11 = 0 OR idx % 17 = 0
+    UNION ALL SELECT 'samples[' || idx || '].range_shape', 'range shape does not fit its layout: [8, 8] with chw' FROM e WHERE idx % 7 = 0
+    UNION ALL SELECT 'samples[' || idx || '].previews', 'sample has no preview' FROM e WHERE idx % 19 = 0
+    UNION ALL SELECT 'samples[' || idx || '].preview_path', 'preview lies outside preview/range/' FROM e WHERE idx % 23 = 0 AND idx % 19 <> 0
+    UNION ALL SELECT 'samples[' || idx || '].previews[1].path', 'artifact path again: preview/rgb/v_' || idx || '.png' FROM e WHERE idx % 23 = 0 AND idx % 19 <> 0
+    UNION ALL SELECT 'samples[' || idx || '].frame_index', 'segment and frame index again: seg' || label || '#' || fi FROM (SELECT *, row_number() OVER (PARTITION BY label, fi ORDER BY idx) AS nth FROM e) WHERE nth = 2)
+    SELECT 'processed_samples' AS kind, location, message FROM d"""
+    ),
 )
 def sample_contract(spark, d):
     return rules.sample_contract(sample_records(spark, d), "rgb", "range", "preview")
@@ -220,13 +236,15 @@ def sample_contract(spark, d):
 
 @reg.add(
     "run_rules",
+    hinted(
     """WITH r AS (SELECT o_orderkey AS idx, 'run-' || CASE WHEN o_orderkey % 40 = 0 THEN 0 ELSE o_orderkey END AS run_id,
       CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'running' WHEN 2 THEN 'succeeded' WHEN 3 THEN 'failed' ELSE 'cancelled' END AS status,
       o_orderdate AS s, CASE WHEN o_orderkey % 7 < 5 THEN o_orderdate + INTERVAL (CASE WHEN o_orderkey % 50 = 3 THEN -1 ELSE 1 END) DAY END AS e FROM orders)
-    SELECT 'run_index' AS kind, 'runs[' || idx || '].finished_at' AS location, 'finished_at must be greater than or equal to started_at' AS message FROM r WHERE e < s
-    UNION ALL SELECT 'run_index', 'runs[' || idx || '].finished_at', 'unfinished run statuses must not have finished_at set' FROM r WHERE status IN ('pending', 'running') AND e IS NOT NULL
-    UNION ALL SELECT 'run_index', 'runs[' || idx || '].finished_at', 'terminal run statuses must include finished_at' FROM r WHERE status IN ('succeeded', 'failed', 'cancelled') AND e IS NULL
-    UNION ALL SELECT 'run_index', 'runs[' || idx || '].run_id', 'duplicate run_id: ' || run_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS nth FROM r) WHERE nth = 2""",
+    SELECT 'run_index' AS kind, 'runs[' || idx || '].finished_at' AS location, 'run ends before it starts' AS message FROM r WHERE e < s
+    UNION ALL SELECT 'run_index', 'runs[' || idx || '].finished_at', 'open run has an end time' FROM r WHERE status IN ('pending', 'running') AND e IS NOT NULL
+    UNION ALL SELECT 'run_index', 'runs[' || idx || '].finished_at', 'closed run has no end time' FROM r WHERE status IN ('succeeded', 'failed', 'cancelled') AND e IS NULL
+    UNION ALL SELECT 'run_index', 'runs[' || idx || '].run_id', 'run_id again: ' || run_id FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) AS nth FROM r) WHERE nth = 2"""
+    ),
 )
 def run_rules(spark, d):
     k = F.col("o_orderkey")
@@ -241,10 +259,12 @@ def run_rules(spark, d):
 
 @reg.add(
     "latest_reference_rules",
+    hinted(
     """WITH r AS (SELECT s_suppkey AS idx, 'ref_' || s_suppkey AS name, CASE WHEN s_suppkey % 9 = 0 THEN '' WHEN s_suppkey % 8 = 1 THEN 'manifests/shared.json' ELSE 'manifests/' || s_name || '.json' END AS p, s_nationkey % 3 AS v FROM supplier)
-    SELECT 'latest' AS kind, name || '.manifest_path' AS location, 'manifest_path must not be empty' AS message FROM r WHERE p = ''
-    UNION ALL SELECT 'latest', name || '.schema_version', 'expected referenced schema version ' || CASE WHEN idx < 20 THEN '1' ELSE 'none' END || ', found ' || v FROM r WHERE idx >= 20 OR v <> 1
-    UNION ALL SELECT 'latest', name || '.manifest_path', 'duplicate manifest_path: ' || p FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY idx) AS nth FROM r WHERE p <> '') WHERE nth = 2""",
+    SELECT 'latest' AS kind, name || '.manifest_path' AS location, 'manifest_path is blank' AS message FROM r WHERE p = ''
+    UNION ALL SELECT 'latest', name || '.schema_version', 'reference should have schema version ' || CASE WHEN idx < 20 THEN '1' ELSE 'none' END || ', has ' || v FROM r WHERE idx >= 20 OR v <> 1
+    UNION ALL SELECT 'latest', name || '.manifest_path', 'manifest_path again: ' || p FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY idx) AS nth FROM r WHERE p <> '') WHERE nth = 2"""
+    ),
 )
 def latest_reference_rules(spark, d):
     k = F.col("s_suppkey")
@@ -258,9 +278,11 @@ def latest_reference_rules(spark, d):
 
 @reg.add(
     "extraction_count_rules",
+    hinted(
     """WITH u AS (SELECT user_id AS idx, count(*) FILTER (event_type = 'view') AS c, count(*) FILTER (event_type = 'click') AS l, count(*) FILTER (event_type = 'error') AS m FROM events GROUP BY 1)
-    SELECT 'extraction_summary' AS kind, 'files[' || idx || '].matched_pairs' AS location, 'matched_pairs exceeds camera_frames' AS message FROM u WHERE m > c
-    UNION ALL SELECT 'extraction_summary', 'files[' || idx || '].matched_pairs', 'matched_pairs exceeds lidar_frames' FROM u WHERE m > l""",
+    SELECT 'extraction_summary' AS kind, 'files[' || idx || '].matched_pairs' AS location, 'more pairs than camera_frames' AS message FROM u WHERE m > c
+    UNION ALL SELECT 'extraction_summary', 'files[' || idx || '].matched_pairs', 'more pairs than lidar_frames' FROM u WHERE m > l"""
+    ),
 )
 def extraction_count_rules(spark, d):
     t = F.col("event_type")
@@ -272,11 +294,13 @@ def extraction_count_rules(spark, d):
 
 @reg.add(
     "artifact_bytes",
+    hinted(
     """WITH b AS (SELECT doc_id AS idx, octet_length(encode(text)) AS len, sha256(text) AS h FROM documents)
-    SELECT 'artifacts' AS kind, 'refs[' || idx || '].path' AS location, 'missing file: doc_' || idx AS message FROM b WHERE idx % 21 = 0
-    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].shape', 'expected ' || (len + 2) || ' bytes from shape, found ' || len FROM b WHERE idx % 21 <> 0 AND idx % 16 = 1
-    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].size_bytes', 'declared ' || (len + 1) || ' bytes, found ' || len FROM b WHERE idx % 21 <> 0 AND idx % 15 = 2
-    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].sha256', 'sha256 does not match the stored bytes' FROM b WHERE idx % 21 <> 0 AND idx % 14 = 3""",
+    SELECT 'artifacts' AS kind, 'refs[' || idx || '].path' AS location, 'no such file: doc_' || idx AS message FROM b WHERE idx % 21 = 0
+    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].shape', 'shape needs ' || (len + 2) || ' bytes, file has ' || len FROM b WHERE idx % 21 <> 0 AND idx % 16 = 1
+    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].size_bytes', 'record says ' || (len + 1) || ' bytes, file has ' || len FROM b WHERE idx % 21 <> 0 AND idx % 15 = 2
+    UNION ALL SELECT 'artifacts', 'refs[' || idx || '].sha256', 'stored bytes have another sha256' FROM b WHERE idx % 21 <> 0 AND idx % 14 = 3"""
+    ),
 )
 def artifact_bytes(spark, d):
     """Texts stand in for stored tensor files: their whole bytes are measured and hashed."""
@@ -313,11 +337,13 @@ def suspicious_samples(spark, d):
 
 @reg.add(
     "probe_matrix_rules",
+    hinted(
     """WITH e AS (SELECT vec_id AS idx, CASE vec_id % 5 WHEN 3 THEN 'val' WHEN 4 THEN 'eval' ELSE 'train' END AS part FROM embeddings)
-    SELECT 'probe' AS kind, part || '_features[' || idx || ']' AS location, 'row width differs' AS message FROM e WHERE idx % 31 = 0
-    UNION ALL SELECT 'probe', part || '_features[' || idx || ']', 'row contains non-finite values' FROM e WHERE idx % 37 = 0 AND idx % 31 <> 0
-    UNION ALL SELECT 'probe', part || '_presence[' || idx || ']', 'row contains values outside [0, 1]' FROM e WHERE idx % 41 = 0
-    UNION ALL SELECT 'probe', part || '_class_names', 'class name count 3 does not match target dimension 10' FROM (SELECT DISTINCT part FROM e)""",
+    SELECT 'probe' AS kind, part || '_features[' || idx || ']' AS location, 'row is wider than the narrowest of its part' AS message FROM e WHERE idx % 31 = 0
+    UNION ALL SELECT 'probe', part || '_features[' || idx || ']', 'a value is not finite' FROM e WHERE idx % 37 = 0 AND idx % 31 <> 0
+    UNION ALL SELECT 'probe', part || '_presence[' || idx || ']', 'a value is neither 0 nor 1' FROM e WHERE idx % 41 = 0
+    UNION ALL SELECT 'probe', part || '_class_names', '3 class names for targets of width 10' FROM (SELECT DISTINCT part FROM e)"""
+    ),
 )
 def probe_matrix_rules(spark, d):
     rows = views.probe_rows(views.table(spark, d, "embeddings"))
@@ -335,9 +361,11 @@ def probe_matrix_rules(spark, d):
 
 @reg.add(
     "split_table_rules",
-    """SELECT 'splits' AS kind, 'assignments[' || doc_id || '].sample_id' AS location, 'sample_id must not be empty' AS message FROM documents WHERE doc_id % 99 = 0
-    UNION ALL SELECT 'splits', 'assignments[' || doc_id || '].sample_id', 'duplicate sample_id: ' || source FROM
-    (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE doc_id % 99 <> 0) WHERE nth = 2""",
+    hinted(
+    """SELECT 'splits' AS kind, 'assignments[' || doc_id || '].sample_id' AS location, 'sample_id is blank' AS message FROM documents WHERE doc_id % 99 = 0
+    UNION ALL SELECT 'splits', 'assignments[' || doc_id || '].sample_id', 'sample_id again: ' || source FROM
+    (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents WHERE doc_id % 99 <> 0) WHERE nth = 2"""
+    ),
 )
 def split_table_rules(spark, d):
     """Sources repeat often, so most of the table is one of a few values: only two rows per value leave a task."""
@@ -345,3 +373,17 @@ def split_table_rules(spark, d):
         F.col("doc_id").alias("idx"), F.when(F.col("doc_id") % 99 == 0, " ").otherwise(F.col("source")).alias("sample_id")
     )
     return rules.split_rules(rows)
+
+
+@reg.add(
+    "schema_version_rules",
+    hinted(
+    """SELECT 'tables' AS kind, 'tables[' || o_orderkey || '].schema_version' AS location,
+    'schema version should be 1, is ' || CASE WHEN o_orderkey % 7 = 0 THEN 'none' ELSE (o_orderkey % 3)::VARCHAR END AS message
+    FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 3 <> 1"""
+    ),
+)
+def schema_version_rules(spark, d):
+    k = F.col("o_orderkey")
+    tables = views.table(spark, d, "orders").select(k.alias("idx"), F.when(k % 7 != 0, k % 3).alias("schema_version"))
+    return rules.version_rules(tables, 1)

@@ -261,23 +261,9 @@ def int8_restored(spark, d):
     return ratedist.quantized(vectors(spark, d)).select("vec_id", *digest(F.col("restored")))
 
 
-@reg.add(
-    "payload_sizes",
-    """SELECT vec_id, (4 * len(embedding))::BIGINT AS raw_bytes, (22 + len(embedding))::BIGINT AS payload_bytes,
-    true AS deflated_ok FROM embeddings""",
-)
+@reg.add("payload_sizes", "SELECT vec_id, (4 * len(embedding))::BIGINT AS raw_bytes, (22 + len(embedding))::BIGINT AS payload_bytes FROM embeddings")
 def payload_sizes(spark, d):
-    """Deflate sizes depend on the encoder; a constant vector must shrink and no payload may grow by more than a block header."""
-    out = ratedist.payload_sizes(vectors(spark, d), keep=("vec_id",))
-    ok = F.when(F.col("vec_id") % 50 == 0, F.col("deflated_bytes") < F.col("payload_bytes")).otherwise(
-        F.col("deflated_bytes").between(1, F.col("payload_bytes") + 5)
-    )
-    return out.select("vec_id", "raw_bytes", "payload_bytes", ok.alias("deflated_ok"))
-
-
-@reg.add("deflated_sizes")
-def deflated_sizes(spark, d):
-    return ratedist.payload_sizes(vectors(spark, d), keep=("vec_id",)).select("vec_id", "deflated_bytes")
+    return ratedist.payload_sizes(vectors(spark, d), keep=("vec_id",))
 
 
 @reg.add(

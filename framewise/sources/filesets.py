@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators.ordered import first_k, first_per_key, running
+from framewise.operators.splits import first_n
 
 # Source split labels, component directories, split tokens and the object-store scheme.
 SOURCE_SPLITS = ("training", "validation", "testing")
@@ -37,7 +38,9 @@ def listing(lines: DataFrame, split: str, limit: int | None = None, text: str =
         .where(F.col("file_name") != "")
     )
     if limit is not None:
-        rows = rows.orderBy(order).limit(limit) if order else rows.limit(limit)
+        if order is None:
+            raise ValueError("a limit needs an order, else the rows are arbitrary")
+        rows = first_n(rows, limit, [F.col(order)])
     return rows
 
 

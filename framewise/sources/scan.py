@@ -60,10 +60,9 @@ def camera_frames(df: DataFrame, sensor: int = FRONT_CAMERA, max_per_file: int |
     """Frames of one camera: ``file_name, seq, segment, timestamp_micros, image``; cap applies after the filter."""
     segment, ts = find_column(df, SEGMENT), find_column(df, TIMESTAMP)
     name, image = find_column(df, CAMERA_NAME), find_column(df, IMAGE, T.BinaryType)
-    sensor_id(df, name)
     frames = (
         _located(df)
-        .where(F.col(name) == F.lit(sensor))
+        .where(sensor_id(df, name) == F.lit(sensor))
         .select(
             "file_name", "seq", F.col(segment).alias("segment"), F.col(ts).alias("timestamp_micros"),
             F.col(image).alias("image"),
@@ -79,6 +78,7 @@ def lidar_frames(df: DataFrame, sensor: int = TOP_LASER, max_per_file: int | Non
     values, shape = find_column(df, RANGE_VALUES, T.ArrayType), find_column(df, RANGE_SHAPE, T.ArrayType)
     sensor_id(df, name)
     short = F.col(shape).isNotNull() & (F.size(F.col(shape)) < 3)
+    whole = F.when(short, F.raise_error(F.lit("range shape needs three entries")).cast("boolean")).otherwise(True)
     zeros = F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<int>")
     frames = (
         _located(df)
@@ -86,9 +86,7 @@ def lidar_frames(df: DataFrame, sensor: int = TOP_LASER, max_per_file: int | Non
         .select(
             "file_name", "seq", F.col(segment).alias("segment"), F.col(ts).alias("timestamp_micros"),
             F.coalesce(F.col(values), F.array().cast("array<float>")).alias("range_values"),
-            F.when(short, F.raise_error(F.lit("range shape needs three entries")))
-            .otherwise(F.coalesce(F.slice(F.col(shape), 1, 3), zeros))
-            .alias("shape"),
+            F.coalesce(F.slice(F.col(shape), 1, 3), zeros).alias("shape"),
         )
     )
     return _capped(frames, max_per_file)
@@ -98,7 +96,7 @@ def box_rows(df: DataFrame, sensor: int = FRONT_CAMERA) -> DataFrame:
     """Object boxes of one camera: ``segment, timestamp_micros, type``."""
     name, kind = find_column(df, CAMERA_NAME), find_column(df, BOX_TYPE)
     extra = ["file_name"] if "file_name" in df.columns else []
-    return df.where(F.col(name) == F.lit(sensor)).select(
+    return df.where(sensor_id(df, name) == F.lit(sensor)).select(
         *extra,
         F.col(find_column(df, SEGMENT)).alias("segment"),
         F.col(find_column(df, TIMESTAMP)).alias("timestamp_micros"),

@@ -15,12 +15,16 @@ DTYPE_BYTES = {"f32": 4, "f16": 2, "u8": 1}
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str, version: int) -> DataFrame:
     """A JSON-lines table whose every row carries the expected ``schema_version``; another version raises on read."""
     df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    checked = F.when(F.col("schema_version") == version, F.col("schema_version")).otherwise(
-        F.raise_error(
-            F.concat(F.lit(f"expected schema version {version}, found "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))
+    # a filter is never pruned, so a plain count is checked too
+    return df.where(_checked_version(F.col("schema_version"), version))
+
+
+def _checked_version(found: Column, version: int) -> Column:
+    return F.when(found == version, F.lit(True)).otherwise(
+        F.raise_error(F.concat(F.lit(f"expected schema version {version}, found "), F.coalesce(found.cast("string"), F.lit("none")))).cast(
+            "boolean"
         )
     )
-    return df.withColumn("schema_version", checked)
 
 
 def write_table(df: DataFrame, path: str, version: int) -> None:
@@ -29,8 +33,8 @@ def write_table(df: DataFrame, path: str, version: int) -> None:
 
 
 def epoch_metrics(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Per-epoch JSON lines; blank lines are skipped."""
-    return spark.read.schema(schema).json(path)
+    """Per-epoch JSON lines; blank lines are skipped, a malformed line stops the read."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def corrupt_rows(spark: SparkSession, path: str, schema: T.StructType | str, version: int) -> DataFrame:

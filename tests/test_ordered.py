@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import first_k, first_per_key, hot_keys, rank_by_seq, running
+from framewise.operators.ordered import first_k, first_per_key, rank_by_seq, running
 
 
 @pytest.fixture(scope="module")
@@ -49,16 +49,29 @@ def test_first_k_beyond_the_group_limit(skewed):
         assert out["seq"].tolist() == want["seq"].tolist()
 
 
-def test_hot_keys_are_found_and_ranks_stay_exact(skewed):
+def test_ranks_of_hot_groups(skewed, monkeypatch):
+    from framewise.operators import ordered
+
     pdf, df = skewed
-    assert len(hot_keys(df, ["g"], rows=1000)) == 1
-    assert hot_keys(df, ["g"], rows=10_000) == []
-    for rows in (1000, 10_000):
-        out = rank_by_seq(df, ["g"], "seq", "r", descending=True, hot=hot_keys(df, ["g"], rows)).toPandas().sort_values("seq")
+    for width in (1 << 17, 100):
+        monkeypatch.setattr(ordered, "SEQ_WIDTH", width)
+        out = rank_by_seq(df, ["g"], "seq", "r", descending=True).toPandas().sort_values("seq")
         want = pdf.sort_values("seq").groupby("g")["seq"].rank(ascending=False).astype(int)
         assert out["r"].tolist() == want.tolist()
 
 
+def test_more_than_a_hundred_large_groups(spark):
+    df = spark.range(30_000).select(F.col("id").alias("seq"), (F.col("id") % 150).alias("g"))
+    out = rank_by_seq(df, ["g"], "seq", "r")
+    assert out.where("r != seq div 150 + 1").count() == 0 and out.count() == 30_000
+
+
+def test_null_keys_raise(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "g string, seq long")
+    with pytest.raises(Exception, match="null in a key"):
+        running(df, ["g"], [F.col("seq")], rank="r").collect()
+
+
 def test_first_per_key_keeps_first_and_last(skewed):
     pdf, df = skewed
     first = {r["g"]: r["seq"] for r in first_per_key(df, ["g"], F.col("seq")).collect()}

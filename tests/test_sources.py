@@ -129,7 +129,7 @@ def test_versioned_tables(spark, tmp_path):
 def test_duplicates_are_reported_once_at_the_second_place(spark):
     df = spark.createDataFrame([(0, "x"), (1, "x"), (2, "x"), (3, " "), (4, " "), (5, "y")], "idx int, v string")
     got = [tuple(r) for r in rules.duplicate_field(df, "v", "k", "t").collect()]
-    assert got == [("k", "t[1].v", "duplicate v: x")]
+    assert got == [("k", "t[1].v", "v again: x")]
 
 
 def test_latest_rules_on_nothing(spark):
@@ -140,4 +140,4 @@ def test_latest_rules_on_nothing(spark):
 def test_version_rule(spark):
     df = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "idx int, schema_version int")
     got = [r["message"] for r in rules.rules(df, [rules.version_is(1)], "k", "t").collect()]
-    assert got == ["expected schema version 1, found 2", "expected schema version 1, found none"]
+    assert got == ["schema version should be 1, is 2", "schema version should be 1, is none"]
