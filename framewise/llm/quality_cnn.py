@@ -60,15 +60,15 @@ class ByteCnn:
         """Largest response of each filter in each chunk; the chunks overlap by half and cover all bytes."""
         w = self.w
         raw = np.frombuffer(data.ljust(CHUNK, b"\0"), np.uint8)
-        per_block = STEP // STRIDE
+        per_block, per_slice = STEP // STRIDE, SLICE // STRIDE
+        total = -(-(len(raw) - WIDTH) // STRIDE) + 1
         blocks = []
-        for low in range(0, max(len(raw), 1), SLICE):
-            part = raw[low : low + SLICE + WIDTH - STRIDE]
-            own = min(len(raw) - low, SLICE)
-            positions = max(1, -(-(own - (WIDTH - STRIDE)) // STRIDE)) if low + SLICE >= len(raw) else SLICE // STRIDE
-            padded = np.zeros(positions * STRIDE + WIDTH, np.uint8)
+        for first in range(0, total, per_slice):
+            positions = min(per_slice, total - first)
+            padded = np.zeros((positions - 1) * STRIDE + WIDTH, np.uint8)
+            part = raw[first * STRIDE : first * STRIDE + len(padded)]
             padded[: len(part)] = part
-            windows = _windows(w["emb"][padded[: (positions - 1) * STRIDE + WIDTH]])
+            windows = _windows(w["emb"][padded])
             out = np.ascontiguousarray(windows) @ w["conv"]
             blocks.append(np.maximum.reduceat(out, np.arange(0, positions, per_block), axis=0))
         block = np.concatenate(blocks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe_dp, cdc, line_rules, packing, quality_cnn, sharding, simhash, token_counts
+from framewise.llm import bpe_dp, cdc, line_rules, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, url_classes
 from framewise.llm.common import documents
 from framewise.plans.registry import Registry
 
@@ -33,6 +33,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@reg.add("op3_sparse_suffixes")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.passages(documents(spark, sf_dir))
+
+
 @reg.add("op4_byte_cnn")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
@@ -57,6 +62,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@reg.add("op7_redirect_classes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_classes.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "class_id")
+
+
 @reg.add("op8_sampled_splitters")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(documents(spark, sf_dir), 8)
