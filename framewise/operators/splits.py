@@ -143,7 +143,7 @@ def every_nth(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 
 def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     """The first ``n`` rows: those of rank ``n`` or less in pieces of the order, so no task gathers them."""
-    return running(df, [], order, rank="__rank").where(F.col("__rank") <= n).drop("__rank")
+    return running(df, [], order, rank="__rank").where(F.col("__rank") <= n).orderBy("__rank").drop("__rank")
 
 
 def batches(

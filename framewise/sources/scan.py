@@ -76,13 +76,13 @@ def lidar_frames(df: DataFrame, sensor: int = TOP_LASER, max_per_file: int | Non
     segment, ts = find_column(df, SEGMENT), find_column(df, TIMESTAMP)
     name = find_column(df, LASER_NAME)
     values, shape = find_column(df, RANGE_VALUES, T.ArrayType), find_column(df, RANGE_SHAPE, T.ArrayType)
-    sensor_id(df, name)
     short = F.col(shape).isNotNull() & (F.size(F.col(shape)) < 3)
     whole = F.when(short, F.raise_error(F.lit("range shape needs three entries")).cast("boolean")).otherwise(True)
     zeros = F.array(F.lit(0), F.lit(0), F.lit(0)).cast("array<int>")
     frames = (
         _located(df)
-        .where(F.col(name) == F.lit(sensor))
+        .where(sensor_id(df, name) == F.lit(sensor))
+        .where(whole)
         .select(
             "file_name", "seq", F.col(segment).alias("segment"), F.col(ts).alias("timestamp_micros"),
             F.coalesce(F.col(values), F.array().cast("array<float>")).alias("range_values"),

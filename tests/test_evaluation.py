@@ -143,3 +143,9 @@ def test_run_index_upsert_and_ci(spark):
     assert sorted(tuple(r) for r in runs.upsert(old, new, order="v").collect()) == [("a", 1), ("b", 3), ("c", 2)]
     ci = runs.seed_ci(spark.createDataFrame([("m", 1.0), ("m", 3.0)], "k string, value double"), ["k"]).first()
     assert (ci["mean"], ci["lo"], ci["hi"], ci["n_seeds"]) == (2.0, 1.0, 3.0, 2)
+
+
+def test_close_rates_are_compared_with_the_kept_one(spark):
+    points = [("c", 1.0, 10.0), ("c", 1.0 + 0.9e-12, 11.0), ("c", 1.0 + 1.8e-12, 12.0), ("c", 2.0, 20.0)]
+    front = ratedist.frontier(spark.createDataFrame(points, "curve string, rate double, psnr_db double")).orderBy("rate").collect()
+    assert [(r["rate"], r["psnr_db"]) for r in front] == [(1.0, 11.0), (1.0 + 1.8e-12, 12.0), (2.0, 20.0)]

@@ -120,6 +120,10 @@ def test_versioned_tables(spark, tmp_path):
     assert tables.read_table(spark, path, schema, 3).first()["a"] == 1
     with pytest.raises(Exception, match="expected schema version 4, found 3"):
         tables.read_table(spark, path, schema, 4).collect()
+    with pytest.raises(Exception, match="expected schema version 4, found 3"):
+        tables.read_table(spark, path, schema, 4).count()
+    with pytest.raises(Exception, match="expected schema version 4, found 3"):
+        tables.read_table(spark, path, schema, 4).select("a").collect()
     broken = tmp_path / "broken.json"
     broken.write_text('{"a": 1, "schema_version": 3}\n\n{"a": \n{"a": 2, "schema_version": 9}\n')
     got = {r["kind"] for r in tables.corrupt_rows(spark, str(broken), schema, 3).collect()}
@@ -141,3 +145,21 @@ def test_version_rule(spark):
     df = spark.createDataFrame([(0, 1), (1, 2), (2, None)], "idx int, schema_version int")
     got = [r["message"] for r in rules.rules(df, [rules.version_is(1)], "k", "t").collect()]
     assert got == ["schema version should be 1, is 2", "schema version should be 1, is none"]
+
+
+def test_a_bad_metrics_line_stops_the_read(spark, tmp_path):
+    lines = tmp_path / "epochs.json"
+    lines.write_text('{"epoch": 0}\n\n{"epoch": 1}\n')
+    assert tables.epoch_metrics(spark, str(lines), "epoch int").count() == 2
+    lines.write_text('{"epoch": 0}\n{"epoch": \n')
+    with pytest.raises(Exception):
+        tables.epoch_metrics(spark, str(lines), "epoch int").collect()
+
+
+def test_a_sensor_id_out_of_range_raises(spark):
+    ddl = "`key.segment_context_name` string, `key.frame_timestamp_micros` bigint, `key.camera_name` int, `x[CameraBoxComponent].type` int, `c.image` binary, seq bigint, file_name string"
+    df = spark.createDataFrame([("s", 1, 300, 1, b"x", 0, "f")], ddl)
+    with pytest.raises(Exception, match="sensor id out of range"):
+        scan.camera_frames(df).count()
+    with pytest.raises(Exception, match="sensor id out of range"):
+        scan.box_rows(df).collect()
