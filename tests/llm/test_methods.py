@@ -374,7 +374,7 @@ def test_lines(spark):
         good: True, "Home | News | Sport | Weather | Video.": False, "BUY!! NOW!! CHEAP!! OFFERS!!": False, "a### b*** c$$$ d%%%.": False,
         "one two three four five six seven": False, "Read our privacy policy.": False, "See you": True, "  ": True,
     }
-    text = "\n".join([*lines, *[good + str(i) for i in range(9)]])
+    text = "\n".join([*lines, *[nasty.prose(9, 40 + i) for i in range(9)]])
     out = line_rules.judge(nasty.plain(spark, [text, "\n".join([good, *["x| y| z| u| v."] * 9])])).orderBy("doc_id").collect()
     assert out[0].kept and out[0].clean_text.split("\n")[: 3] == [good, "See you", "  "]
     assert not out[1].kept and out[1].lost_share > 0.5
