@@ -4,23 +4,22 @@ from __future__ import annotations
 
 import dataclasses
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import doubles, literal_doubles
+from framewise.functions.arrays import doubles
+from framewise.operators import heads as solver
 from framewise.operators.baselines import binary_cross_entropy, class_weights, log_loss, standardize
 from framewise.operators.ranking import macro, per_class, regression
+from framewise.session import stage
 
 # Default regularisation grid.
 L2_GRID = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 TIE = 2.220446049250313e-16
-TASK_BYTES = 32 << 20
+SIGNS = {"average precision": 1.0, "balanced accuracy": 1.0, "rmse": -1.0, "mae": -1.0}
 
 
 @dataclass(frozen=True)
@@ -30,13 +29,7 @@ class ProbeConfig:
     standardize: bool = True
     loss: str = "huber"
     huber_delta: float = 1.0
-    max_iter: int = 100
-    parallelism: int = 4
-
-
-def _prepared(df: DataFrame, config: ProbeConfig) -> DataFrame:
-    scaled = standardize(df) if config.standardize else df
-    return scaled.withColumn("__x", array_to_vector(doubles(F.col("features"))))
+    max_iter: int = 200
 
 
 def linear(df: DataFrame, config: ProbeConfig = ProbeConfig(), eval_part: str = "eval") -> DataFrame:
@@ -61,87 +54,72 @@ def linear(df: DataFrame, config: ProbeConfig = ProbeConfig(), eval_part: str =
     return out
 
 
-def heads(df: DataFrame, config: ProbeConfig, eval_part: str = "eval") -> tuple[DataFrame | None, DataFrame | None]:
+def heads(
+    df: DataFrame, config: ProbeConfig, eval_part: str = "eval", grid: tuple[float, ...] | None = None
+) -> tuple[DataFrame | None, DataFrame | None]:
     """Scores ``part, class, idx, label, score, weight`` and counts ``part, target, idx, truth, pred_log``.
 
-    Training data is cached while the heads are fitted: each fit is a distributed job over the same rows.
+    All classes, count targets and penalties of ``grid`` are fitted together: each step is one pass over the training
+    rows. With a grid both tables have ``l2`` too. The prepared rows are staged, as every pass reads them.
     """
-    ready = _prepared(df.where(F.col("part").isin("train", eval_part)), config).persist()
-    try:
-        train = ready.where("part = 'train'")
-        widths = train.agg(
-            F.max(F.size("presence")).alias("p"), F.max(F.size("counts")).alias("c"), F.max(F.size("features")).alias("d"),
-            F.count(F.lit(1)).alias("n"),
-        ).first()
-        if not widths["n"]:
-            raise ValueError("train_features must not be empty")
-        # solvers run one job per step: tasks should hold a fair share of the rows, not a handful each
-        train = train.coalesce(int(widths["n"] * max(widths["d"], 1) * 8 // TASK_BYTES) + 1)
-        n_classes, n_targets = max(widths["p"] or 0, 0), max(widths["c"] or 0, 0)
-        weights = {r["class"]: r["weight"] for r in class_weights(df).collect()} if n_classes else {}
-
-        def fit_class(k: int):
-            rows = train.select("__x", F.get("presence", F.lit(k)).cast("double").alias("y"))
-            w = weights[f"class_{k}"] if config.balance_classes else 1.0
-            model = LogisticRegression(
-                featuresCol="__x", labelCol="y", regParam=config.l2, maxIter=config.max_iter, standardization=False
-            ).fit(rows)
-            return [float(x) for x in model.coefficients.toArray()], float(model.intercept), w
-
-        def fit_target(k: int):
-            y = F.log1p(F.greatest(F.get("counts", F.lit(k)).cast("double"), F.lit(0.0)))
-            rows = train.select("__x", y.alias("y"))
-            if config.loss == "huber":
-                est = LinearRegression(
-                    featuresCol="__x", labelCol="y", regParam=config.l2, maxIter=config.max_iter, loss="huber",
-                    epsilon=max(config.huber_delta, 1.0 + 1e-6), standardization=False,
-                )
-            else:
-                est = LinearRegression(featuresCol="__x", labelCol="y", regParam=config.l2, solver="normal", standardization=False)
-            model = est.fit(rows)
-            return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
-
-        with ThreadPoolExecutor(config.parallelism) as pool:
-            classes = list(pool.map(fit_class, range(n_classes)))
-            targets = list(pool.map(fit_target, range(n_targets)))
-    finally:
-        ready.unpersist()
-
-    def dot(weights: list[float], bias: float):
-        products = F.zip_with(doubles(F.col("features")), literal_doubles(weights), lambda a, b: a * b)
-        return F.aggregate(products, F.lit(bias), lambda acc, x: acc + x)
-
-    scores = counts = None
-    if classes:
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(f"class_{k}").alias("class"), F.get("presence", F.lit(k)).cast("int").alias("label"),
-                    (F.lit(1.0) / (F.lit(1.0) + F.exp(-dot(w, b)))).alias("score"), F.lit(float(cw)).alias("weight"),
-                )
-                for k, (w, b, cw) in enumerate(classes)
-            ]
-        )
-        scores = ready.select("part", "idx", F.inline(entries))
-    if targets:
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(f"count_{k}").alias("target"), F.get("counts", F.lit(k)).cast("double").alias("truth"),
-                    dot(w, b).alias("pred_log"),
-                )
-                for k, (w, b) in enumerate(targets)
-            ]
-        )
-        counts = ready.select("part", "idx", F.inline(entries))
+    penalties = list(grid) if grid else [config.l2]
+    ready = standardize(df) if config.standardize else df
+    ready = ready.where(F.col("part").isin("train", eval_part)).withColumn("features", doubles(F.col("features")))
+    ready = stage(ready.select("part", "idx", "features", "presence", "counts"))
+    train = ready.where("part = 'train'")
+    widths = train.agg(
+        F.max(F.size("presence")).alias("p"), F.max(F.size("counts")).alias("c"), F.max(F.size("features")).alias("d"),
+        F.count(F.lit(1)).alias("n"),
+    ).first()
+    if not widths["n"]:
+        raise ValueError("probe training needs at least one row")
+    n_classes, n_targets, d = max(widths["p"] or 0, 0), max(widths["c"] or 0, 0), widths["d"]
+    if not n_classes + n_targets:
+        return None, None
+    weights = np.ones(n_classes + n_targets)
+    if n_classes and config.balance_classes:
+        found = {r["class"]: r["weight"] for r in class_weights(df).collect()}
+        weights[:n_classes] = [found[f"class_{k}"] for k in range(n_classes)]
+    labels = F.transform(F.col("presence"), lambda v: v.cast("double")) if n_classes else F.array().cast("array<double>")
+    logs = (
+        F.transform(F.col("counts"), lambda v: F.log1p(F.greatest(v.cast("double"), F.lit(0.0)))) if n_targets else F.array().cast("array<double>")
+    )
+    n_heads = n_classes + n_targets
+    head = np.tile(np.arange(n_heads), len(penalties))
+    share = np.where(head < n_classes, 1.0 / max(n_classes, 1), 1.0 / max(n_targets, 1))
+    w = solver.fit(
+        train.select("features", F.concat(labels, logs).alias("y")), d, ["logistic"] * n_classes + [config.loss] * n_targets, head, weights[head],
+        np.repeat(np.array(penalties, float), n_heads), share, max(config.huber_delta, 0.0), config.max_iter,
+    )
+    out = solver.mapped(F.col("features"), ready, w[:, :-1].T, np.zeros(d))
+    scored = ready.withColumn("z", out)
+
+    def entries(first: int, n: int, name: str, value, shown: str, with_weight: bool):
+        rows = []
+        for g, l2 in enumerate(penalties):
+            for k in range(n):
+                at = g * n_heads + first + k
+                z = F.get("z", F.lit(at)) + F.lit(float(w[at, -1]))
+                parts = [F.lit(float(l2)).alias("l2"), F.lit(f"{name}_{k}").alias("class" if with_weight else "target"), *value(k, z)]
+                rows.append(F.struct(*parts, *([F.lit(float(weights[first + k])).alias("weight")] if with_weight else [])))
+        return F.array(*rows)
+
+    def as_class(k: int, z):
+        return F.get("presence", F.lit(k)).cast("int").alias("label"), (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score")
+
+    def as_count(k: int, z):
+        return F.get("counts", F.lit(k)).cast("double").alias("truth"), z.alias("pred_log")
+
+    scores = scored.select("part", "idx", F.inline(entries(0, n_classes, "class", as_class, "score", True))) if n_classes else None
+    counts = scored.select("part", "idx", F.inline(entries(n_classes, n_targets, "count", as_count, "pred_log", False))) if n_targets else None
+    if grid is None:
+        scores, counts = (t.drop("l2") if t is not None else None for t in (scores, counts))
     return scores, counts
 
 
 def selection_score(metrics: DataFrame) -> DataFrame:
     """Mean of the defined ones of mAP, balanced accuracy, -RMSE and -MAE, per ``l2``."""
-    sign = F.when(F.col("metric").isin("average precision", "balanced accuracy"), 1.0).when(
-        F.col("metric").isin("rmse", "mae"), -1.0
-    )
+    sign = F.try_element_at(F.create_map(*[F.lit(x) for pair in SIGNS.items() for x in pair]), F.col("metric"))
     return metrics.groupBy("l2").agg(F.avg(F.col("value") * sign).alias("validation_score"))
 
 
@@ -153,30 +131,36 @@ def pick_l2(candidates: DataFrame) -> DataFrame:
     )
 
 
-def select_l2(df: DataFrame, grid: tuple[float, ...] = L2_GRID, config: ProbeConfig = ProbeConfig()) -> DataFrame:
-    """``l2, validation_score, selected`` over the grid, each candidate scored on the ``val`` part."""
-    grid = grid or L2_GRID
+def candidates(df: DataFrame, grid: tuple[float, ...] = L2_GRID, config: ProbeConfig = ProbeConfig()) -> DataFrame:
+    """``l2, metric, value``: macro metrics of every candidate on the ``val`` part, all fitted in the same passes."""
+    grid = tuple(grid or L2_GRID)
     for l2 in grid:
         if not math.isfinite(l2) or l2 < 0:
             raise ValueError(f"invalid L2 candidate: {l2}")
-    # features are scaled once for all candidates
-    ready = standardize(df) if config.standardize else df
-    signs = {"average precision": 1, "balanced accuracy": 1, "rmse": -1, "mae": -1}
-
-    def score(l2: float) -> tuple[float, float]:
-        candidate = dataclasses.replace(config, l2=l2, standardize=False)
-        measured = linear(ready, candidate, eval_part="val").collect()  # a dozen rows
-        defined = [r["value"] * signs[r["metric"]] for r in measured if r["metric"] in signs and r["value"] is not None]
-        if not defined:
-            raise ValueError("cannot score validation result without defined metrics")
-        return float(l2), sum(defined) / len(defined)
-
-    with ThreadPoolExecutor(config.parallelism) as pool:
-        rows = list(pool.map(score, grid))
-    best = None
-    for l2, score in rows:
-        if best is None or score > best[1] + TIE or (abs(score - best[1]) <= TIE and l2 < best[0]):
-            best = (l2, score)
-    return df.sparkSession.createDataFrame(
-        [(l2, s, l2 == best[0]) for l2, s in rows], "l2 double, validation_score double, selected boolean"
-    )
+    scores, counts = heads(df, config, "val", grid)
+    if scores is None and counts is None:
+        raise ValueError("probe rows need presence or counts")
+    found = []
+    for table, key, measure in ((scores, "class", per_class), (counts, "target", regression)):
+        if table is not None:
+            both = F.concat_ws(":", F.col("l2").cast("string"), F.col(key))
+            named = measure(stage(table.where("part = 'val'").withColumn(key, both).drop("part", "l2", "weight")))
+            found.append(named.select(F.substring_index(key, ":", 1).cast("double").alias("l2"), "metric", "value"))
+    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    return rows.groupBy("l2", "metric").agg(F.avg("value").alias("value"))
+
+
+def select_l2(df: DataFrame, grid: tuple[float, ...] = L2_GRID, config: ProbeConfig = ProbeConfig()) -> DataFrame:
+    """``l2, validation_score, selected`` over the grid, each candidate scored on the ``val`` part."""
+    rows = stage(selection_score(candidates(df, grid, config)))
+    chosen = pick_l2(rows.where("validation_score is not null")).first()["selected_l2"]  # one row
+    return rows.withColumn("selected", F.coalesce(F.col("l2") == F.lit(chosen), F.lit(False)))
+
+
+def regularised(df: DataFrame, grid: tuple[float, ...] = L2_GRID, config: ProbeConfig = ProbeConfig()) -> DataFrame:
+    """The winner of the grid fitted anew and measured on ``eval``: ``selected_l2, metric, value, na_reason``."""
+    chosen = select_l2(df, grid, config).where("selected").first()
+    if chosen is None:
+        raise ValueError("no candidate has a defined metric")
+    measured = linear(df, dataclasses.replace(config, l2=chosen["l2"]))
+    return measured.select(F.lit(chosen["l2"]).alias("selected_l2"), "metric", "value", "na_reason")

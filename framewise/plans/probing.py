@@ -201,21 +201,70 @@ def pca_components(spark, d):
     return baselines.pca(rows(spark, d), 4).select("idx", "part", *digest(F.col("features")))
 
 
+TWO = f"""{PROBE}, two AS (SELECT idx, part, label::DOUBLE AS y0, ln(1 + label) AS y, list_sum(list_transform(embedding, lambda e: e::DOUBLE)) AS a,
+  list_sum(list_transform(embedding, lambda e, i: e::DOUBLE * i / 64)) AS b FROM pr)"""
+
+
+def two_features(spark, d):
+    """Two features that each take in the whole vector, so that fits have a closed form in SQL."""
+    v = F.transform("features", lambda x: x.cast("double"))
+    a = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    b = F.aggregate(F.transform(v, lambda x, i: x * (i + 1) / 64), F.lit(0.0), lambda s, x: s + x)
+    return rows(spark, d).withColumn("features", F.array(a, b))
+
+
+@reg.add(
+    "ridge_probe",
+    f"""WITH {TWO}, m AS (SELECT count(*) AS n, sum(a * a) + 0.05 * count(*) AS aa, sum(a * b) AS ab, sum(a) AS sa, sum(b * b) + 0.05 * count(*) AS bb, sum(b) AS sb,
+      1.05 * count(*) AS nn, sum(a * y) AS ay, sum(b * y) AS by_, sum(y) AS sy FROM two WHERE part = 'train'),
+    q AS (SELECT *, aa * (bb * nn - sb * sb) - ab * (ab * nn - sb * sa) + sa * (ab * sb - bb * sa) AS det FROM m),
+    w AS (SELECT (ay * (bb * nn - sb * sb) - ab * (by_ * nn - sb * sy) + sa * (by_ * sb - bb * sy)) / det AS wa,
+      (aa * (by_ * nn - sb * sy) - ay * (ab * nn - sb * sa) + sa * (ab * sy - by_ * sa)) / det AS wb,
+      (aa * (bb * sy - by_ * sb) - ab * (ab * sy - by_ * sa) + ay * (ab * sb - bb * sa)) / det AS w0 FROM q)
+    SELECT idx, part, round(wa * a + wb * b + w0, 4) + 0.0 AS pred_log FROM two, w WHERE part IN ('train', 'eval')""",
+)
+def ridge_probe(spark, d):
+    """Squared loss on one target with penalty 0.1: the minimum solves three linear equations."""
+    one = two_features(spark, d).withColumn("presence", F.lit(None).cast("array<tinyint>")).withColumn("counts", F.slice("counts", 1, 1))
+    _, counts = probe.heads(one, probe.ProbeConfig(l2=0.1, standardize=False, loss="mse"))
+    return counts.select("idx", "part", (F.round("pred_log", 4) + F.lit(0.0)).alias("pred_log"))
+
+
+@reg.add(
+    "pca_two_features",
+    f"""WITH {TWO}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab FROM two WHERE part = 'train'),
+    e AS (SELECT *, (aa + bb) / 2 + sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS l1, (aa + bb) / 2 - sqrt((aa - bb) * (aa - bb) / 4 + ab * ab) AS l2 FROM m),
+    v AS (SELECT ma, mb, ab / sqrt(ab * ab + (l1 - aa) * (l1 - aa)) AS x1, (l1 - aa) / sqrt(ab * ab + (l1 - aa) * (l1 - aa)) AS y1,
+      ab / sqrt(ab * ab + (l2 - aa) * (l2 - aa)) AS x2, (l2 - aa) / sqrt(ab * ab + (l2 - aa) * (l2 - aa)) AS y2 FROM e),
+    s AS (SELECT ma, mb, x1 * sign(CASE WHEN abs(x1) >= abs(y1) THEN x1 ELSE y1 END) AS x1, y1 * sign(CASE WHEN abs(x1) >= abs(y1) THEN x1 ELSE y1 END) AS y1,
+      x2 * sign(CASE WHEN abs(x2) >= abs(y2) THEN x2 ELSE y2 END) AS x2, y2 * sign(CASE WHEN abs(x2) >= abs(y2) THEN x2 ELSE y2 END) AS y2 FROM v)
+    SELECT idx, part, round((a - ma) * x1 + (b - mb) * y1, 5) + 0.0 AS first, round((a - ma) * x2 + (b - mb) * y2, 5) + 0.0 AS second FROM two, s""",
+)
+def pca_two_features(spark, d):
+    out = baselines.pca(two_features(spark, d), 2)
+    first, second = (F.round(F.get("features", F.lit(k)), 5) + F.lit(0.0) for k in (0, 1))
+    return out.select("idx", "part", first.alias("first"), second.alias("second"))
+
+
 @reg.add("linear_probe")
 def linear_probe(spark, d):
-    return probe.linear(rows(spark, d), probe.ProbeConfig(max_iter=50))
+    return probe.linear(rows(spark, d))
 
 
 @reg.add("linear_probe_on_projection")
 def linear_probe_on_projection(spark, d):
-    return probe.linear(baselines.random_projection(rows(spark, d), K, SEED), probe.ProbeConfig(max_iter=50))
+    return probe.linear(baselines.random_projection(rows(spark, d), K, SEED))
 
 
 @reg.add("l2_grid_selection")
 def l2_grid_selection(spark, d):
-    """The count targets drive the choice, so each candidate is one pair of linear fits."""
-    counted = rows(spark, d).withColumn("presence", F.lit(None).cast("array<tinyint>"))
-    return probe.select_l2(counted, config=probe.ProbeConfig(loss="mse"))
+    """All classes, counts and penalties are fitted in the same passes."""
+    return probe.select_l2(rows(spark, d))
+
+
+@reg.add("l2_winner_metrics")
+def l2_winner_metrics(spark, d):
+    return probe.regularised(rows(spark, d))
 
 
 @reg.add(

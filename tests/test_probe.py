@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from framewise.operators import baselines, probe
 
@@ -104,3 +105,60 @@ def test_l2_selection(spark):
         probe.select_l2(synthetic(spark), (-1.0,))
     ties = spark.createDataFrame([(0.1, 0.5), (0.01, 0.5), (1.0, 0.4)], "l2 double, validation_score double")
     assert probe.pick_l2(ties).first()["selected_l2"] == 0.01
+
+
+def test_class_weights_change_the_fit(spark):
+    df = synthetic(spark, n=120)
+    fits = []
+    for balanced in (True, False):
+        scores, _ = probe.heads(df.withColumn("counts", F.lit(None).cast("array<double>")), probe.ProbeConfig(l2=0.1, balance_classes=balanced))
+        fits.append([r["score"] for r in scores.orderBy("class", "idx").collect()])
+    assert max(abs(a - b) for a, b in zip(*fits)) > 1e-4
+
+
+def test_heads_are_at_the_minimum(spark):
+    """Gradients of the stated value at the fitted weights, by differences in plain numpy."""
+    from framewise.operators import heads as solver
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 3))
+    y = np.column_stack([(x[:, 0] + rng.normal(size=90) > 0).astype(float), x[:, 1] * 2 + rng.standard_cauchy(90), x[:, 2]])
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "features array<double>, y array<double>").repartition(3)
+    heads, weights, l2, share = np.array([0, 1, 2, 1]), np.array([1.5, 1, 1, 1]), np.array([0.1, 0.0, 0.2, 1.0]), np.array([1, 0.5, 0.5, 0.5])
+    w = solver.fit(df, 3, ["logistic", "huber", "mse"], heads, weights, l2, share, 0.3, 200)
+    one = np.hstack([x, np.ones((90, 1))])
+
+    def value(j, v):
+        z, t = one @ v, y[:, heads[j]]
+        r = np.abs(z - t)
+        loss = [np.logaddexp(0, z) - t * z, np.where(r <= 0.3, r * r / 2, 0.3 * (r - 0.15)), r * r][heads[j]]
+        return share[j] * weights[j] * loss.mean() + 0.5 * l2[j] * (v * v).sum()
+
+    for j in range(4):
+        for k in range(4):
+            e = np.eye(4)[k] * 1e-5
+            assert abs(value(j, w[j] + e) - value(j, w[j] - e)) / 2e-5 < 1e-5
+
+
+def test_moments_far_from_zero(spark):
+    from framewise.operators.heads import moments
+
+    x = np.random.default_rng(0).normal(size=(500, 2)) + 1e6
+    n, mean, deviation = moments(spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(4), 2)
+    assert n == 500 and np.allclose(mean, x.mean(0), rtol=1e-12) and np.allclose(deviation, x.std(0), rtol=1e-6)
+
+
+def test_top_directions_without_the_whole_matrix(spark):
+    from framewise.operators.heads import top_directions
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 40)) * (0.7 ** np.arange(40)) @ np.linalg.qr(rng.normal(size=(40, 40)))[0]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(3)
+    got = top_directions(df, 40, 3, x.mean(0), 300)
+    want = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :3]
+    assert np.allclose(np.abs(np.sum(got * want, axis=0)), 1, atol=1e-8)
+
+
+def test_winner_is_measured_on_eval(spark):
+    rows = probe.regularised(synthetic(spark), (1e-4, 10.0), QUICK).collect()
+    assert {r["selected_l2"] for r in rows} == {1e-4} and "eval_classification_loss" in {r["metric"] for r in rows}
