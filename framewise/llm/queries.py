@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe_dp, cdc, line_rules, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, url_classes
+from framewise.llm import bpe_dp, cdc, line_rules, oracles, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, url_classes
 from framewise.llm.common import documents
 from framewise.plans.registry import Registry
 
@@ -53,7 +53,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-@reg.add("op6_line_rules")
+@reg.add("op6_line_rules", oracles.LINE_RULES)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.judge(documents(spark, sf_dir))
     return judged.select(
@@ -62,7 +62,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@reg.add("op7_redirect_classes")
+@reg.add("op7_redirect_classes", oracles.URL_CLASSES)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_classes.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "class_id")
