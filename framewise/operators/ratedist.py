@@ -104,13 +104,13 @@ def operating_points(
         rgb_ssim("p8", "t8").alias("u8_ssim"), rgb_ssim("p", "t").alias("f32_ssim"),
         F.when(~is_rgb, depth_metrics(F.col("p"), F.col("t"), range_px)["mae_m"]).alias("depth_mae_m"),
     )
-    per_modality = long.groupBy("point", "modality").agg(
+    # four rows, staged because they are read three times below
+    per_modality = stage(long.groupBy("point", "modality").agg(
         F.count(F.lit(1)).alias("samples"), F.sum("bytes").alias("latent_bytes"),
         F.avg("u8.mse").alias("mse"), F.avg("u8.psnr_db").alias("psnr_db"), F.avg("u8_ssim").alias("ssim"),
         F.avg("f32.mse").alias("f32_mse"), F.avg("f32.psnr_db").alias("f32_psnr_db"), F.avg("f32_ssim").alias("f32_ssim"),
         F.avg("depth_mae_m").alias("depth_mae_m"),
-    )
-    # at most four rows from here on
+    ))
     totals = per_modality.groupBy("point").agg(
         F.max("samples").alias("samples"), F.max("latent_bytes").alias("latent_bytes"),
         F.avg("f32_mse").alias("f32_mse"), F.avg("f32_psnr_db").alias("f32_psnr_db"), F.avg("f32_ssim").alias("f32_ssim"),

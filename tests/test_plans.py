@@ -47,13 +47,27 @@ def test_scans_read_only_needed_columns(spark, sf_dir):
     plan = plan_of(QUERIES["auroc"](spark, sf_dir))
     assert "text" not in plan
     plan = plan_of(QUERIES["align_exact"](spark, sf_dir))
-    assert "props" not in plan and "value" not in plan
+    read = " ".join(line.split("ReadSchema", 1)[1] for line in plan.split("\n") if "ReadSchema" in line)
+    assert read and "props" not in read and "value" not in read
 
 
-def test_exact_alignment_needs_one_exchange(spark):
+def test_exact_alignment_moves_frames_twice(spark):
+    """Once to rank them in pieces and once to pair them; the other exchanges carry one row for each piece."""
     from framewise.operators import align
 
     frames = spark.range(100).select(
         F.lit("f").alias("file_name"), F.lit("s").alias("segment"), F.col("id").alias("timestamp_micros"), F.col("id").alias("seq")
     )
-    assert plan_of(align.exact(frames, frames)).count("Exchange ") == 1
+    assert plan_of(align.exact(frames, frames)).count("Exchange hashpartitioning") == 4
+
+
+def test_prepare_moves_images_once(spark, sf_dir):
+    """Images come from the last join: nothing above their exchange is another exchange."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(QUERIES["prepare_samples"](spark, sf_dir)).split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    moved = [line for line in lines if "image" in line and "Exchange" in line]
+    assert len(moved) <= 1
