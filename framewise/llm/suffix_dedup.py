@@ -207,13 +207,15 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, str]:
     remove_table(spark, suffix_path)
     first = F.min(F.struct("doc_id", "doc", "start")).alias("first")
     shared = runs.groupBy("run_a", "run_b").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), first)
-    shared = shared.where(F.col("low") != F.col("high")).select("run_a", "run_b", "first")
+    # Written first: the join then deals both sides itself, and can split a run that very many documents share.
+    shared, shared_path = write_table(shared.where(F.col("low") != F.col("high")).select("run_a", "run_b", "first"))
     kept = (F.col("first.doc") == F.col("doc")) & (F.col("first.start") == F.col("start"))
     flagged = runs.join(shared, ["run_a", "run_b"]).select(
         "doc", "doc_id", "start", F.col("first.doc_id").alias("source_id"), kept.alias("kept")
     )
     result, path = write_table(flagged)
     remove_table(spark, run_path)
+    remove_table(spark, shared_path)
     return result, path
 
 
