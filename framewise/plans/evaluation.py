@@ -192,20 +192,30 @@ def combined_summary(spark, d):
     return out.select("split", F.round("mse", 8).alias("mse"), r6("psnr_db"), r6("ssim"))
 
 
+def _psnr_sql(mse: str) -> str:
+    return f"round(10 * log10(1 / nullif({mse}, 0)), 6)"
+
+
 @reg.add(
     "evaluate_predictions",
-    f"""WITH {SAMPLE} SELECT printf('sample_%06d', vec_id) AS sample_id, split, round(CASE WHEN has_rgb THEN gm END, 8) AS rgb_mse,
-    round(CASE WHEN has_rgb THEN ssim END, 6) AS rgb_ssim, round(CASE WHEN has_range THEN rm END, 8) AS range_mse,
-    round(CASE WHEN has_range THEN mae_m END, 6) AS depth_mae_m, round(CASE WHEN has_range THEN d125 END, 6) AS depth_d125 FROM full_""",
+    f"""WITH {SAMPLE}, g AS (SELECT *, CASE WHEN has_rgb THEN gm END AS g1, CASE WHEN has_range THEN rm END AS r1 FROM full_)
+    SELECT printf('sample_%06d', vec_id) AS sample_id, split, round(g1, 8) AS rgb_mse, round(CASE WHEN has_rgb THEN ga END, 6) AS rgb_mae,
+    round(sqrt(g1), 6) AS rgb_rmse, {_psnr_sql('g1')} AS rgb_psnr_db, round(CASE WHEN has_rgb THEN ssim END, 6) AS rgb_ssim, round(r1, 8) AS range_mse,
+    round(CASE WHEN has_range THEN ra END, 6) AS range_mae, round(sqrt(r1), 6) AS range_rmse, {_psnr_sql('r1')} AS range_psnr_db,
+    {', '.join(f'round(CASE WHEN has_range THEN {c} END, 6) AS depth_{c}' for c in DEPTH_COLS)} FROM g""",
 )
 def evaluate_predictions(spark, d):
     t = tens(spark, d)
     pred = t.select("sample_id", "rgb_hat", "range_hat")
     rows, _ = evaluate.evaluate(pred, t.select("sample_id", "split", "rgb", "range"), (4, 4), (4, 8))
-    return rows.select(
-        "sample_id", "split", F.round("rgb.mse", 8).alias("rgb_mse"), r6("rgb.ssim", "rgb_ssim"), F.round("range.mse", 8).alias("range_mse"),
-        r6("depth.mae_m", "depth_mae_m"), r6("depth.d125", "depth_d125"),
-    )
+    errors = [
+        c for m in ("rgb", "range")
+        for c in (
+            F.round(f"{m}.mse", 8).alias(f"{m}_mse"), r6(f"{m}.mae", f"{m}_mae"), r6(f"{m}.rmse", f"{m}_rmse"),
+            r6(finite_or_null(F.col(f"{m}.psnr_db")), f"{m}_psnr_db"),
+        )
+    ]
+    return rows.select("sample_id", "split", *errors, r6("rgb.ssim", "rgb_ssim"), *[r6(f"depth.{c}", f"depth_{c}") for c in DEPTH_COLS])
 
 
 def text_sql(v: str) -> str:
@@ -216,9 +226,12 @@ def text_sql(v: str) -> str:
 @reg.add(
     "eval_csv_rows",
     f"""WITH l AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS rn, l_quantity / 4 AS q FROM lineitem)
-    SELECT l_orderkey || ',' || l_linenumber AS sample_id, CASE WHEN l_linenumber <> 3 THEN {text_sql('q')} END AS rgb_mse,
-    CASE WHEN l_linenumber = 3 THEN NULL WHEN q = 1 THEN 'inf' ELSE {text_sql('q * 2')} END AS rgb_psnr_db, NULL::VARCHAR AS rgb_ssim,
-    {text_sql('q + 0.5')} AS range_proxy_psnr_db, {text_sql('q / 8')} AS range_delta_lt_1_25 FROM l""",
+    SELECT l_orderkey || ',' || l_linenumber AS sample_id,
+    {', '.join(f"CASE WHEN l_linenumber <> 3 THEN {text_sql('q')} END AS rgb_{c}" for c in ('mse', 'mae', 'rmse'))},
+    CASE WHEN l_linenumber = 3 THEN NULL WHEN q = 1 THEN 'inf' ELSE {text_sql('q * 2')} END AS rgb_psnr_db,
+    {', '.join(f"{text_sql('q')} AS {c}" for c in ('range_mse', 'range_mae', 'range_rmse', 'range_depth_mae_m', 'range_depth_rmse_m', 'range_delta_lt_1_25_sq', 'range_valid_pixel_fraction'))},
+    {', '.join(f"{text_sql('q + 0.5')} AS {c}" for c in ('range_psnr_db', 'range_proxy_psnr_db'))}, {text_sql('q / 8')} AS range_delta_lt_1_25,
+    {', '.join(f"NULL::VARCHAR AS {c}" for c in ('rgb_ssim', 'range_ssim', 'range_proxy_ssim'))} FROM l""",
 )
 def eval_csv_rows(spark, d):
     q = F.col("l_quantity") / 4
@@ -230,7 +243,7 @@ def eval_csv_rows(spark, d):
         modality(q, q + 0.5).alias("range"),
         F.struct(q.alias("mae_m"), q.alias("rmse_m"), (q / 8).alias("d125"), q.alias("d125_sq"), q.alias("valid_fraction")).alias("depth"),
     )
-    return writers.eval_csv_rows(rows).select("sample_id", "rgb_mse", "rgb_psnr_db", "rgb_ssim", "range_proxy_psnr_db", "range_delta_lt_1_25")
+    return writers.eval_csv_rows(rows)
 
 
 @reg.add(

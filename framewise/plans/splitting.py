@@ -135,7 +135,7 @@ def ordered_batches(spark, d):
 
 @reg.add(
     "seeded_batches",
-    """SELECT (SELECT count(*) FROM documents) AS samples, count(*) AS batches, sum(n)::BIGINT AS placed, 64::BIGINT AS largest,
+    """SELECT (SELECT count(*) FROM documents) AS samples, count(*) AS batches, sum(n)::BIGINT AS placed, max(n)::BIGINT AS largest,
     (SELECT sum(doc_id)::BIGINT FROM documents) AS id_sum FROM
     (SELECT rn // 64 AS b, count(*) AS n FROM (SELECT row_number() OVER () - 1 AS rn FROM documents) GROUP BY 1)""",
 )
@@ -151,6 +151,25 @@ def seeded_batches(spark, d):
     )
 
 
+@reg.add(
+    "full_batches",
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY printf('sample_%06d', doc_id)) - 1 AS rn FROM documents)
+    SELECT doc_id, rn // 64 AS batch_index, (rn % 64)::INT AS position FROM r WHERE rn // 64 < (SELECT count(*) // 64 FROM documents)""",
+)
+def full_batches(spark, d):
+    """The last batch is left out unless it is full."""
+    named = views.table(spark, d, "documents").select("doc_id", F.format_string("sample_%06d", "doc_id").alias("sample_id"))
+    return splits.batches(named, "sample_id", 64, drop_last=True).select("doc_id", "batch_index", "position")
+
+
+@reg.add("sample_by_id", "SELECT doc_id, source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def sample_by_id(spark, d):
+    """The sample of the highest id, looked up by its name in all samples."""
+    named = views.table(spark, d, "documents").withColumn("sample_id", F.format_string("sample_%06d", "doc_id"))
+    wanted = named.agg(F.max("sample_id")).first()[0]
+    return splits.by_id(named, wanted).select("doc_id", "source")
+
+
 @reg.add(
     "batch_assembly",
     """WITH r AS (SELECT *, row_number() OVER (ORDER BY printf('sample_%06d', vec_id)) - 1 AS rn FROM embeddings),

@@ -5,7 +5,7 @@ import pytest
 import check_queries
 from framewise.plans.catalog import QUERIES, SQL
 
-SLOW = {"linear_probe", "linear_probe_on_projection", "l2_grid_selection"}
+SLOW = {"linear_probe", "linear_probe_on_projection", "l2_grid_selection", "l2_winner_metrics"}
 
 
 @pytest.fixture(scope="module")
