@@ -252,18 +252,31 @@ def matched_quality(points: DataFrame, targets: list[float], by: str = "curve")
     rated = rate_at(points, targets, by).join(counted, by)
     near = nearest(points, targets, by).select(by, "target", F.col("psnr_db").alias("nearest_psnr_db"), F.col("rate").alias("nearest_rate"))
     note = F.when(
-        F.col("rd_points") < 2, F.concat(F.col(by), F.lit(": insufficient RD points for interpolation"))
+        F.col("rd_points") < 2, F.concat(F.col(by), F.lit(": too few points to interpolate"))
     ).otherwise(F.concat(F.col(by), F.lit(": "), F.col("reason")))
     return (
         rated.join(near, [by, "target"], "left")
         .select(
             by, "target", "rate", "nearest_psnr_db", "nearest_rate",
-            F.concat(F.lit("interp@psnr="), F.format_number("target", 2)).alias("quality_control"),
+            F.concat(
+                F.lit("interp@psnr="), F.when(F.col("target") == float("inf"), "inf").otherwise(F.format_string("%.2f", "target"))
+            ).alias("quality_control"),
             F.when(F.col("reason").isNotNull(), note).alias("note"),
         )
     )
 
 
+def matched_to(ops: DataFrame, points: DataFrame, by: str = "curve") -> DataFrame:
+    """``matched_quality`` at the combined PSNR of the raw and quantised operating points, with those two points beside."""
+    own = {r["point"]: r for r in ops.where("modality = 'combined'").collect()}  # two rows
+    raw, quantised = own["raw_f32"], own["quantized"]
+    out = matched_quality(points, matched_targets(raw["psnr_db"], quantised["psnr_db"]), by)
+    beside = {
+        f"{name}_{c}": F.lit(float(row[c])) for name, row in (("raw", raw), ("quantized", quantised)) for c in ("rate_bpp", "psnr_db")
+    }
+    return out.withColumns(beside)
+
+
 def summary_rows(ops: DataFrame, points: DataFrame, matched: DataFrame, by: str = "curve") -> DataFrame:
     """``method, mode, quality, rate_bpp, psnr_db, mse`` over operating points, curve points and matched points."""
     cols = ["method", "mode", "quality", "rate_bpp", "psnr_db", "mse"]

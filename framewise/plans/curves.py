@@ -70,3 +70,23 @@ def rd_summary_rows(spark, d):
     matched = ratedist.matched_quality(pts, [20.0, 40.0])
     out = ratedist.summary_rows(points_of(spark, d), pts, matched)
     return out.select("method", "mode", "quality", r6("rate_bpp"), F.round("psnr_db", 5).alias("psnr_db"), F.round("mse", 8).alias("mse"))
+
+
+OWN = f"{QSTEP}, o AS ({_op_sql('raw_f32', 'r', 256)} UNION ALL {_op_sql('quantized', 'q', 86)})"
+OWN_POINTS = "own AS (SELECT point, avg(psnr_db) AS p, max(latent_bytes) * 8.0::DOUBLE / (max(samples) * 48) AS b FROM o GROUP BY point)"
+
+
+@reg.add(
+    "matched_to_own_points",
+    f"""WITH {OWN}, {OWN_POINTS}, {RATED.replace(TGT, "tg AS (SELECT p AS target FROM own WHERE point = 'raw_f32' OR abs(p - (SELECT p FROM own WHERE point = 'raw_f32')) > 1e-4)")}, {NEAR}
+    SELECT curve, round(target, 5) AS target, CASE WHEN reason IS NULL THEN round(ra.rate, 4) END AS rate, ne.psnr_db AS nearest_psnr_db,
+      'interp@psnr=' || printf('%.2f', target) AS quality_control, (SELECT round(b, 6) FROM own WHERE point = 'raw_f32') AS raw_rate_bpp,
+      (SELECT round(p, 5) FROM own WHERE point = 'raw_f32') AS raw_psnr_db, (SELECT round(b, 6) FROM own WHERE point = 'quantized') AS quantized_rate_bpp,
+      (SELECT round(p, 5) FROM own WHERE point = 'quantized') AS quantized_psnr_db FROM ra JOIN ne USING (curve, target)""",
+)
+def matched_to_own_points(spark, d):
+    out = ratedist.matched_to(points_of(spark, d), points(spark, d))
+    five = [F.round(c, 5).alias(c) for c in ("target", "raw_psnr_db", "quantized_psnr_db")]
+    return out.select(
+        "curve", *five, F.round("rate", 4).alias("rate"), "nearest_psnr_db", "quality_control", r6("raw_rate_bpp"), r6("quantized_rate_bpp")
+    )
