@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from framewise.functions.arrays import digest
 from framewise.plans import views
 from framewise.plans.registry import Registry
-from framewise.session import shared_dir
+from framewise.session import shared_dir, remember
 from framewise.sources import filesets, tables
 
 reg = Registry()
@@ -28,7 +28,7 @@ def files(spark, d):
 
 
 def _scratch(spark) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/out-{uuid.uuid4().hex}"
+    return remember(f"{shared_dir(spark).rstrip('/')}/out-{uuid.uuid4().hex}")
 
 
 @reg.add(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Paths that were staged outside any scope, and those of the scope that is open in this thread.
 _staged: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("staging", default=None)
+
+
+def remember(path: str) -> str:
+    """A path below the shared folder that the open scope, or ``release_staged``, deletes."""
+    opened = _scope.get()
+    (_staged if opened is None else opened).append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Owns what is staged inside: it is deleted at the end, when results must have been written or collected."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        _delete(spark, own)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -49,14 +73,18 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append(path)
+    remember(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release_staged(spark: SparkSession) -> int:
-    """Delete the tables this process has staged; DataFrames built on them must no longer be used."""
+    """Delete the tables staged outside any scope; DataFrames built on them must no longer be used."""
+    return _delete(spark, _staged)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     released = 0
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         released += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return released

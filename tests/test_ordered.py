@@ -85,3 +85,17 @@ def test_staged_tables_are_released(spark):
     session.release_staged(spark)
     kept = session.stage(spark.range(5))
     assert kept.count() == 5 and session.release_staged(spark) == 1 and session.release_staged(spark) == 0
+
+
+def test_a_scope_deletes_what_it_staged(spark, sf_dir):
+    import os
+
+    from framewise import session
+    from framewise.plans.catalog import QUERIES
+
+    folder = session.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    for name in ("align_nearest", "rd_frontier", "sample_table_write", "epoch_metrics_scan"):
+        with session.staging(spark):
+            assert QUERIES[name](spark, sf_dir).count() > 0
+        assert set(os.listdir(folder)) <= before
