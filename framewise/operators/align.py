@@ -162,7 +162,8 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
 
     Cameras in arrival order taking their nearest free lidar is the stable matching in which every lidar time
     prefers earlier cameras. Each round all unplaced cameras propose to their next lidar time, and each time
-    keeps its earliest cameras up to the number of lidars it holds. The result does not depend on round order.
+    keeps its earliest cameras up to the number of lidars it holds. The result does not depend on round order. A camera
+    whose next time is out of reach has no partner and leaves the state.
     """
     slots = places.where("lids > 0").select(
         *SCOPE, F.col("lidar_pos").alias("pos"), F.col("timestamp_micros").alias("slot_time"), F.col("lids").alias("room")
@@ -175,10 +176,9 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
             F.col("lidar_pos").alias("below"),
             (F.col("lidar_pos") + 1).alias("above"),
             F.lit(None).cast("bigint").alias("slot"),
-            F.lit(False).alias("done"),
         )
     )
-    waiting = F.col("slot").isNull() & ~F.col("done")
+    waiting = F.col("slot").isNull()
     while not state.where(waiting).isEmpty():
         lower = slots.select(*SCOPE, F.col("pos").alias("below"), F.col("slot_time").alias("t_below"))
         upper = slots.select(*SCOPE, F.col("pos").alias("above"), F.col("slot_time").alias("t_above"))
@@ -190,27 +190,22 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
             state.where(waiting)
             .join(lower, [*SCOPE, "below"], "left")
             .join(upper, [*SCOPE, "above"], "left")
-            .withColumn("ok", F.coalesce(reach <= F.lit(tolerance), F.lit(False)))
+            .where(reach <= F.lit(tolerance))
             .withColumn("down", go_below)
             .select(
                 *KEY, "seq",
-                F.when(F.col("ok") & F.col("down"), F.col("below") - 1).otherwise(F.col("below")).alias("below"),
-                F.when(F.col("ok") & ~F.col("down"), F.col("above") + 1).otherwise(F.col("above")).alias("above"),
-                F.when(F.col("ok"), F.when(F.col("down"), F.col("below")).otherwise(F.col("above"))).alias("slot"),
-                (~F.col("ok")).alias("done"),
+                F.when(F.col("down"), F.col("below") - 1).otherwise(F.col("below")).alias("below"),
+                F.when(~F.col("down"), F.col("above") + 1).otherwise(F.col("above")).alias("above"),
+                F.when(F.col("down"), F.col("below")).otherwise(F.col("above")).alias("slot"),
             )
         )
-        held = state.where(F.col("slot").isNotNull()).unionByName(proposed.where(~F.col("done")))
+        held = state.where(F.col("slot").isNotNull()).unionByName(proposed)
         ranked = rank_by_seq(held, [*SCOPE, "slot"], "seq", "k")
         room = slots.select(*SCOPE, F.col("pos").alias("slot"), "room")
         kept = ranked.join(room, [*SCOPE, "slot"]).withColumn(
             "slot", F.when(F.col("k") <= F.col("room"), F.col("slot"))
         )
-        state = stage(
-            kept.select(*state.columns)
-            .unionByName(proposed.where("done"))
-            .unionByName(state.where("done"))
-        )
+        state = stage(kept.select(*state.columns))
 
     placed = rank_by_seq(state.where(F.col("slot").isNotNull()), [*SCOPE, "slot"], "seq", "k").join(slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"])
     lids = rank_by_seq(
