@@ -118,13 +118,14 @@ def _judged(base: DataFrame, max_lost_share: float) -> DataFrame:
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
     )
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= max_lost_share))
-    return df.drop("bare", "words", "lines", "content", "windows", "sorted")
+    # The optimiser would push a caller's filter on these columns below the steps above, and write each step out again
+    # for each of its uses. It leaves rows alone that come out of an explode, here of one struct each.
+    out = df.drop("bare", "words", "lines", "content", "windows", "sorted")
+    return out.select(F.explode(F.array(F.struct("*"))).alias("one")).select("one.*")
 
 
 def clean(docs: DataFrame, *, max_lost_share: float = MAX_LOST_SHARE) -> DataFrame:
     """The kept rows of ``docs`` with all their columns; ``text`` is the cleaned text."""
     packed = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
-    judged = _judged(packed, max_lost_share).where("kept")
-    return judged.select(
-        *[F.col("clean_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
-    )
+    kept = _judged(packed, max_lost_share).where("kept")
+    return kept.select(*[F.col("clean_text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
