@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so a hub with any number of links is pre-aggregated and never gathered in
-one task. Each round is written to the shared folder, which cuts the lineage.
+one task. Each round is written to the shared folder, which cuts the lineage, and the round
+before is deleted.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.session import stage
+from framewise.llm.common import remove_table, write_table
 
 MAX_ROUNDS = 60
 
@@ -43,15 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
     Rows with a null end are left out; loops and repeated links do nothing. Nodes may be of any ordered type.
     """
     clean = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    now = stage(_tidy(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
+    now, path = write_table(_tidy(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))))
     state = _state(now)
     for _ in range(MAX_ROUNDS):
         if not state[0]:
             break
-        after = stage(_tidy(_small_star(_tidy(_large_star(now)))))
+        after, after_path = write_table(_tidy(_small_star(_tidy(_large_star(now)))))
         new = _state(after)
-        now, same = after, new == state
-        state = new
+        remove_table(edges.sparkSession, path)
+        now, path, same, state = after, after_path, new == state, new
         if same:
             break
     else:
