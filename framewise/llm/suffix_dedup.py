@@ -2,11 +2,14 @@
 
 A text is a sequence of words. In every run of ``REACH`` positions the one whose next ``SEED_WORDS`` words hash lowest is
 retained, so texts that share a passage of ``MIN_WORDS`` words retain a position of it at the same place. The suffixes at
-retained positions are sorted by their first ``HEAD`` words, then by their first ``MIN_WORDS`` words, over the whole
-corpus, and each is compared with its neighbours. Suffixes whose head is like a neighbour's are extended: to the right,
-to ``MIN_WORDS`` words from the suffix; to the left, by starting up to ``REACH`` - 1 words earlier. Each start whose
-``MIN_WORDS`` words are found in another document too is part of a repeated passage, and overlapping ones are joined.
-The result is exact: a word is reported if and only if a run of ``MIN_WORDS`` words around it is in two documents.
+retained positions are sorted by their first ``HEAD`` words over the whole corpus, and each is compared with its
+neighbours. Suffixes whose head is like a neighbour's are extended: to the right, to ``MIN_WORDS`` words from the suffix; to
+the left, by starting up to ``REACH`` - 1 words earlier. Each start whose ``MIN_WORDS`` words are found in another document
+too is part of a repeated passage, and overlapping ones are joined. The result is exact: a word is reported if and only if
+a run of ``MIN_WORDS`` words around it is in two documents.
+
+Starts between two retained positions are left out where all suffixes of the heads around agree so far to the left and
+right that every text that shares a run starting there also shares the runs at both positions, which cover it.
 
 The sort is by range, with the document in the key, so a passage that a third of all documents share is cut into ranges.
 Words are compared by two independent 64-bit hashes of the run.
@@ -34,7 +37,7 @@ MIN_WORDS = 50
 REACH = 30
 SEED_WORDS = 8
 HEAD = MIN_WORDS - REACH + 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -84,18 +87,21 @@ class RunHashes:
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * up[: self.n], dtype=np.uint64)]))
             self.down.append(down)
 
-    def at(self, starts: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    def at(self, starts: np.ndarray, length: int | np.ndarray, which: int = 0) -> np.ndarray:
         x = (self.sums[which][starts + length] - self.sums[which][starts]) * self.down[which][starts]
         x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         return x ^ (x >> np.uint64(33))
 
 
-def retained(runs: RunHashes) -> np.ndarray:
-    """Content-selected positions: every passage of ``MIN_WORDS`` words holds one among its first ``REACH`` positions."""
+def lowest_seeds(runs: RunHashes) -> np.ndarray:
+    """For each start of ``MIN_WORDS`` words: the position among the first ``REACH`` whose seed hashes lowest.
+
+    It depends on the words of that run alone, so whoever shares the run has it too. These positions are the retained ones.
+    """
     last = runs.n - MIN_WORDS + REACH
     seeds = runs.at(np.arange(last), SEED_WORDS)
     lowest = np.lib.stride_tricks.sliding_window_view(seeds, REACH).argmin(axis=1)
-    return np.unique(lowest + np.arange(len(lowest)))
+    return lowest + np.arange(len(lowest))
 
 
 def words_of(text: str) -> list[bytes]:
@@ -108,63 +114,64 @@ def _doc_key(doc_id: Column, text: Column) -> Column:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Retained suffixes: ``left`` is the run from the position before to the head's end, ``right`` the one to the end of
+    ``MIN_WORDS`` words at the position after; 0 where there is none."""
     for batch in small_batches(batches):
-        heads, fulls, docs, places = [], [], [], []
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist()):
             words = words_of(text)
             if len(words) < MIN_WORDS:
                 continue
             runs = RunHashes(words)
-            at = retained(runs)
-            whole = at + MIN_WORDS <= runs.n
-            full = np.zeros(len(at), np.uint64)
-            full[whole] = runs.at(at[whole], MIN_WORDS)
-            heads.append(runs.at(at, HEAD))
-            fulls.append(full)
-            docs.append(np.full(len(at), doc, np.int64))
-            places.append(at.astype(np.int32))
-        if heads:
-            columns = [np.concatenate(heads).view(np.int64), np.concatenate(fulls).view(np.int64), np.concatenate(docs), np.concatenate(places)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["head", "full", "doc", "place"])
+            at = np.unique(lowest_seeds(runs))
+            left, right = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+            gap = at[1:] - at[:-1]
+            left[1:] = runs.at(at[:-1], gap + HEAD)
+            whole = np.flatnonzero(at[1:] + MIN_WORDS <= runs.n)
+            right[whole] = runs.at(at[whole], gap[whole] + MIN_WORDS)
+            columns = (runs.at(at, HEAD).view(np.int64), left.view(np.int64), right.view(np.int64), np.full(len(at), doc, np.int64), at.astype(np.int32))
+            for column, values in zip(out, columns):
+                column.append(values)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["head", "left", "right", "doc", "place"])
+    _hashes.clear()
 
 
 def _like_neighbour(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffixes whose head is a neighbour's too; ``sure`` if ``MIN_WORDS`` words are, in another document.
+    """Suffixes whose head is a neighbour's too, and whether all suffixes of the head agree on ``left`` and on ``right``.
 
-    The first and the last head of a batch may go on in another one, so their rows pass as not sure.
+    The first and the last head of a batch may go on in another one: their rows pass, and count as not agreeing.
     """
     for batch in batches:
         if not batch.num_rows:
             continue
-        head, full, doc = (batch.column(c).to_numpy() for c in ("head", "full", "doc"))
-        same = head[1:] == head[:-1]
-        passed = np.zeros(len(head), bool)
-        passed[1:] |= same
-        passed[:-1] |= same
-        passed |= (head == head[0]) | (head == head[-1])
+        head, left, right = (batch.column(c).to_numpy() for c in ("head", "left", "right"))
+        edge = (head == head[0]) | (head == head[-1])
         cut = np.ones(len(head), bool)
-        cut[1:] = ~same | (full[1:] != full[:-1])
-        starts = np.flatnonzero(cut)
-        two = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
-        sure = two[np.cumsum(cut) - 1] & (full != 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[passed]), pa.array(batch.column("place").to_numpy()[passed]), pa.array(sure[passed])], ["doc", "place", "sure"]
-        )
+        cut[1:] = head[1:] != head[:-1]
+        starts, run = np.flatnonzero(cut), np.cumsum(cut) - 1
+        passed = edge | (np.diff(np.append(starts, len(head))) > 1)[run]
+        agree = [(np.minimum.reduceat(v, starts) == np.maximum.reduceat(v, starts))[run] & (v != 0) & ~edge for v in (left, right)]
+        kept = [batch.column(c).to_numpy()[passed] for c in ("doc", "place")] + [v[passed] for v in agree]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in kept], ["doc", "place", "same_left", "same_right"])
 
 
-def extended_starts(n: int, places: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Starts of runs of ``MIN_WORDS`` words to compare: at each suffix and up to ``REACH`` - 1 words to its left.
+def extended_starts(lowest: np.ndarray, places: np.ndarray, same_left: np.ndarray, same_right: np.ndarray) -> np.ndarray:
+    """Starts of runs of ``MIN_WORDS`` words to compare: those whose lowest seed has a head found elsewhere.
 
-    Starts between two sure suffixes close to each other are left out, as all their words are covered by those two.
+    Left out is a start after a retained position p if all heads from the next one to the lowest seed agree on their left,
+    which leads whoever shares the run back to p, and p agrees on its right, which gives both runs that cover it.
     """
-    need = np.zeros(n + 1, bool)
-    for p in places:
-        need[max(0, p - REACH + 1) : p + 1] = True
-    known = places[sure]
-    for a, b in zip(known, known[1:]):
-        if b - a <= MIN_WORDS:
-            need[a + 1 : b] = False
-    return np.flatnonzero(need[: max(0, n - MIN_WORDS + 1)])
+    at = np.unique(lowest)
+    found = np.searchsorted(at, places)
+    alive, left, right = np.zeros(len(at), bool), np.zeros(len(at), bool), np.zeros(len(at), bool)
+    alive[found], left[found], right[found] = True, same_left, same_right
+    starts = np.arange(len(lowest))
+    seed, before = np.searchsorted(at, lowest), np.searchsorted(at, starts, side="right") - 1
+    loose = np.concatenate([[0], np.cumsum(~left)])
+    led_back = loose[seed + 1] == loose[before + 1]
+    covered = (before >= 0) & (at[before] != starts) & led_back & right[before]
+    return starts[alive[seed] & ~covered]
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +183,9 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, doc_id, text, found in zip(*columns):
             runs = RunHashes(words_of(text))
             places = np.array([f["place"] for f in found])
-            sure = np.array([f["sure"] for f in found])
-            order = np.argsort(places, kind="stable")
-            starts = extended_starts(runs.n, places[order], sure[order])
+            order = np.argsort(places)
+            agree = [np.array([f[c] for f in found])[order] for c in ("same_left", "same_right")]
+            starts = extended_starts(lowest_seeds(runs), places[order], *agree)
             for column, values in zip(
                 out, (runs.at(starts, MIN_WORDS, 0), runs.at(starts, MIN_WORDS, 1), np.full(len(starts), doc), starts.astype(np.int32))
             ):
@@ -188,6 +195,7 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b, doc, start = (np.concatenate(c) for c in out)
             arrays = [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(doc), pa.array(ids, pa.int64()), pa.array(start)]
             yield pa.RecordBatch.from_arrays(arrays, names)
+    _hashes.clear()
 
 
 def repeated_runs(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -198,10 +206,14 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, str]:
     """
     spark = docs.sparkSession
     keyed = keyed_texts(docs).withColumn("doc", _doc_key(F.col("doc_id"), F.col("text")))
-    suffixes, suffix_path = write_table(keyed.select("doc", "text").mapInArrow(_suffixes, "head long, full long, doc long, place int"))
-    sorted_suffixes = suffixes.repartitionByRange("head", "full", "doc", "place").sortWithinPartitions("head", "full", "doc", "place")
-    found = sorted_suffixes.mapInArrow(_like_neighbour, "doc long, place int, sure boolean")
-    by_doc = found.groupBy("doc").agg(F.collect_set(F.struct("place", "sure")).alias("found"))
+    suffixes, suffix_path = write_table(
+        keyed.select("doc", "text").mapInArrow(_suffixes, "head long, left long, right long, doc long, place int")
+    )
+    in_order = suffixes.repartitionByRange("head", "doc", "place").sortWithinPartitions("head", "doc", "place")
+    found = in_order.mapInArrow(_like_neighbour, "doc long, place int, same_left boolean, same_right boolean")
+    # Rows with equal id and text retain the same places; where they disagree on an edge, the cautious flags hold.
+    found = found.groupBy("doc", "place").agg(F.min("same_left").alias("same_left"), F.min("same_right").alias("same_right"))
+    by_doc = found.groupBy("doc").agg(F.collect_list(F.struct("place", "same_left", "same_right")).alias("found"))
     texts = keyed.join(by_doc, "doc").select("doc", "doc_id", "text", "found")
     runs, run_path = write_table(texts.mapInArrow(_extended, "run_a long, run_b long, doc long, doc_id long, start int"))
     remove_table(spark, suffix_path)

@@ -217,6 +217,19 @@ def test_passages_of_every_length(spark, seed):
     assert all(dict(left)[i] == dict(rows)[i] for i in untouched) and len(once) and texts
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_parts_of_larger_copies(spark, seed):
+    """Whole copies beside documents that share only a stretch of them, cut at any word."""
+    r = random.Random(seed)
+    bases = [nasty.prose(r.randint(150, 400), 700 + seed * 10 + k).replace("\n", " ") for k in range(3)]
+    rows = [(k, t) for k, t in enumerate([*bases, *bases, bases[0].replace("a", "e", 2)])]
+    for d in range(40):
+        words = r.choice(bases).split(" ")
+        at, n = r.randrange(len(words) - 50), r.randint(48, 90)
+        rows.append((100 + d, " ".join([nasty.prose(r.randint(0, 40), 900 + d), *words[at : at + n], nasty.prose(r.randint(0, 40), 950 + d)])))
+    check_passages(spark, rows)
+
+
 def test_first_occurrence_is_kept(spark):
     passage = nasty.prose(70, 1)
     df = nasty.plain(spark, [nasty.prose(60, 2) + " " + passage, passage + " " + nasty.prose(60, 3), passage])
