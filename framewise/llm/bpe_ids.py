@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 #: The splitting pattern of the byte-level pre-tokenizer (a fixed value of the vocabulary's format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces a worker remembers; when there are more, it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 _UNSAFE = re.compile(r"\s \s")
 #: Characters on whose classes every splitter agrees: printable ASCII, Latin letters with marks, and line ends.
 _PLAIN = re.compile(r"[\x20-\x7e\n\tÀ-ÖØ-öø-ſ]*")

@@ -199,7 +199,7 @@ def keep_good(docs: DataFrame, model: ByteCnn, threshold: float = 0.5) -> DataFr
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         model = shared.value
-        return pa.array([model.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([model.score(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()], pa.float64())
 
     packed = docs.select(F.struct("*").alias("row"), text_or_empty().alias("text"))
     return packed.where(scored("text") >= threshold).select("row.*")
