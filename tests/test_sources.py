@@ -163,3 +163,10 @@ def test_a_sensor_id_out_of_range_raises(spark):
         scan.camera_frames(df).count()
     with pytest.raises(Exception, match="sensor id out of range"):
         scan.box_rows(df).collect()
+
+
+def test_normalization_row(spark):
+    from framewise.sinks import writers
+
+    row = writers.normalization_row(spark, ["range", "intensity"]).first()
+    assert row["lidar_sensor"] == 1 and row["output_channels"] == ["range", "intensity"] and row["max_range_meters"] > 0
