@@ -274,7 +274,7 @@ def extraction_rows(spark, d):
 @reg.add(
     "prepare_samples",
     f"""WITH {CAM}, {LID}, {PAIRS}, {BOX}, {COUNTS}, {SAMPLES},
-    j AS (SELECT sample_id, s.file_name, s.segment, s.timestamp_micros,
+    j AS (SELECT printf('sample_%06d', row_number() OVER (ORDER BY s.file_name, s.camera_seq) - 1) AS sample_id, s.file_name, s.segment, s.timestamp_micros,
       octet_length(encode(c.props)) AS image_bytes, {FILLED},
       round(least(greatest(l.value::FLOAT::DOUBLE / 75, 0), 1), 6) AS first_depth, 2::BIGINT AS total_pixels,
       (l.value::FLOAT > 0)::BIGINT AS valid_pixels
@@ -284,7 +284,7 @@ def extraction_rows(spark, d):
     SELECT * FROM j""",
 )
 def prepare_samples(spark, d):
-    """The whole flow; frames whose range image is missing are left out here because they have no pixels."""
+    """The whole flow; frames whose range image is missing have no pixels and are left out before ids are given."""
     from framewise.plans.prepare import prepare
 
     out = prepare(camera(spark, d), lidar(spark, d), boxes(spark, d), h=1, w=2, skip_empty_range=True)
