@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewise.llm import shingles
 from framewise.llm.common import keyed_texts, small_batches, text_or_empty
 from framewise.llm.components import components
 from framewise.session import stage
@@ -266,12 +267,18 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, hot_file: int = H
     return fps.join(members, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, hot_file: int = HOT_FILE) -> DataFrame:
+def keep_one(docs: DataFrame, max_bits: int = MAX_BITS, hot_file: int = HOT_FILE, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component, with all its columns: the least ``doc_id``, null ids last.
 
-    Ties between different texts go to the least text hash, and of equal rows one stays.
+    Ties between different texts go to the least text hash, and of equal rows one stays. With ``similar``, components are
+    also joined by pairs of texts whose 5-word shingles are at least so similar (``shingles.links``).
     """
     fps, rooted = _grouped(docs, max_bits, hot_file)
+    if similar is not None:
+        rooted = stage(rooted)
+        nodes = fps.select(F.col("text_hash").alias("node"), "fp").distinct().join(rooted, "fp").select("node", "root")
+        joined = components(shingles.links(docs, stage(nodes), similar)).select(F.col("node").alias("root"), F.col("root").alias("joined"))
+        rooted = rooted.join(joined, "root", "left").select("fp", F.coalesce("joined", "root").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     best = fps.groupBy("fp").agg(F.min(order).alias("best")).join(rooted, "fp")
     chosen = best.groupBy("root").agg(F.min("best").alias("best")).select(
