@@ -4,8 +4,10 @@ Bytes are embedded, filters of eight bytes slide over the whole document two byt
 response is taken in overlapping chunks of 256 bytes. A small layer turns a chunk's responses into features; their mean
 over all chunks gives the document's probability of quality 1.
 
-Training uses a bounded sample: ``PER_CLASS`` documents of each label are expected, drawn by a hash of ``doc_id``, and
-never a row whose crc32(``doc_id`` as text) leaves 1 when divided by 3. Scoring reads every byte of every text.
+Training uses a bounded sample: of each label the ``PER_CLASS`` ids with the least hashes, or all if there are fewer, and
+never a row whose crc32(``doc_id`` as text) leaves 1 when divided by 3. One text stands for an id, and of one with over
+``CUT_CHUNKS`` chunks so many are cut out at random places on the executors, so the driver gets at most 2 * ``PER_CLASS``
+rows of 32 KiB. Scoring reads every byte of every text.
 
 Defined cases: a null or empty text is scored as one chunk of padding; without labels of both classes every score is the
 smoothed share of label 1 (0.5 without any); repeated rows get equal scores; an empty table gives an empty table.
@@ -14,6 +16,7 @@ smoothed share of label 1 (0.5 without any); repeated rows get equal scores; an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +31,8 @@ CHUNK, STEP = 256, 128
 WIDTH, STRIDE, DEPTH, FILTERS, HIDDEN = 8, 2, 6, 24, 12
 EPOCHS, DOCS_PER_BATCH, CHUNKS_PER_DOC, RATE, SHORT_SHARE = 14, 32, 8, 0.01, 0.2
 SLICE = 1 << 16
+#: Chunks that stand for a longer text in training, which looks at ``EPOCHS`` * ``CHUNKS_PER_DOC`` of them at most.
+CUT_CHUNKS = 128
 
 
 def _windows(embedded: np.ndarray) -> np.ndarray:
@@ -116,8 +121,11 @@ class ByteCnn:
         return loss, grad
 
 
-def train(rows: list[tuple[bytes, int]], seed: int = 11) -> ByteCnn:
-    """Fits a network by Adam on random chunks of each text; classes weigh the same."""
+def train(rows: list[tuple[bytes, int]], seed: int = 11, cut: set[int] = frozenset()) -> ByteCnn:
+    """Fits a network by Adam on random chunks of each text; classes weigh the same.
+
+    The texts with a position in ``cut`` are separate chunks laid end to end, of which whole ones are taken.
+    """
     model = ByteCnn()
     labels = np.array([q for _, q in rows], np.float32)
     if len(rows) == 0 or labels.min() == labels.max():
@@ -141,6 +149,8 @@ def train(rows: list[tuple[bytes, int]], seed: int = 11) -> ByteCnn:
                 n = min(CHUNKS_PER_DOC, room // STEP + 1)
                 short = r.random() < SHORT_SHARE  # a part of a text is as good as the text, so that short texts are learned too
                 for s in r.integers(0, room + 1, 1 if short else n):
+                    if i in cut:
+                        s = s * (len(texts[i]) // CHUNK) // (room + 1) * CHUNK
                     chunk = texts[i][s : s + CHUNK]
                     if short:
                         chunk = np.where(np.arange(CHUNK) < r.integers(4, CHUNK), chunk, 0).astype(np.uint8)
@@ -162,21 +172,39 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def excerpt(data: bytes) -> bytes:
+    """The bytes themselves, or of more than ``CUT_CHUNKS`` chunks so many from places that depend on the bytes alone."""
+    if len(data) <= CUT_CHUNKS * CHUNK:
+        return data
+    starts = np.random.default_rng(zlib.crc32(data)).integers(0, len(data) - CHUNK + 1, CUT_CHUNKS)
+    return b"".join(data[s : s + CHUNK] for s in starts.tolist())
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ByteCnn:
-    """Trains on about ``per_class`` labelled rows of each class, drawn by a hash of ``doc_id`` and collected."""
+    """Trains on ``per_class`` labelled ids of each class, those with the least hashes, or on all of a smaller class."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(
         F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))
     )
-    counts = {r.quality: r["count"] for r in usable.groupBy("quality").count().collect()}
-    ticket = F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 20))
-    drawn = F.lit(False)
-    for q, n in counts.items():
-        drawn = drawn | ((F.col("quality") == q) & (ticket < int(min(1.0, per_class / n) * (1 << 20))))
-    # About 2 * per_class rows whatever the size of the table, so the broadcast is bounded.
-    sample = usable.where(drawn).distinct()
-    rows = keyed_texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality").collect()
-    ordered = sorted((r.doc_id, r.text, r.quality) for r in rows)
-    return train([(t.encode("utf-8", "surrogatepass"), q) for _, t, q in ordered])
+    ticket = F.xxhash64("doc_id", F.lit("train"))
+    drawn = [
+        (r.doc_id, r.quality)
+        for q in (0, 1)
+        for r in usable.where(F.col("quality") == q).distinct().orderBy(ticket, "doc_id").limit(per_class).collect()
+    ]
+    # At most 2 * per_class rows whatever the size of the table, so the broadcast and what is collected are bounded.
+    sample = docs.sparkSession.createDataFrame(drawn, "doc_id long, quality int")
+
+    @F.arrow_udf("binary")
+    def excerpts(data: pa.Array) -> pa.Array:
+        return pa.array([excerpt(x.as_py()) for x in data], pa.binary())
+
+    found = keyed_texts(docs).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").select(
+        "doc_id", F.struct(F.xxhash64("text").alias("h"), (F.octet_length("text") > CUT_CHUNKS * CHUNK).alias("cut"), excerpts(F.col("text").cast("binary")).alias("part")).alias("x")
+    )
+    one = found.groupBy("doc_id").agg(F.min("x").alias("x"))
+    rows = one.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "x.cut", "x.part").collect()
+    ordered = sorted((r.doc_id, r.quality, bytes(r.part), r.cut) for r in rows)
+    return train([(part, q) for _, q, part, _ in ordered], cut={i for i, row in enumerate(ordered) if row[3]})
 
 
 def score(docs: DataFrame, model: ByteCnn) -> DataFrame:
