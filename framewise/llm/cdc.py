@@ -3,7 +3,8 @@
 A gear hash rolls over the UTF-8 bytes of a text. Chunk ends are chosen by its bits, with a strict mask before the
 normal size and a loose one after it, so sizes gather around the normal one and an edit moves only the chunks it
 touches. A fingerprint is the sorted set of chunk digests, each with its length; the containment of one set in another,
-weighted by length, tells how much of one text is found in the other.
+weighted by length, tells how much of one text is found in the other. Texts of up to ``SHORT`` characters, of which such
+chunks show little, carry the chunks of a second, finer level too, and two of them are compared by the level that shows more.
 
 Defined cases: a null text counts as empty; an empty text has the empty fingerprint, which is like another empty one (1)
 and unlike any other (0); equal texts have equal fingerprints. Rows follow each other by ``doc_id``, null first, and
@@ -25,7 +26,10 @@ from framewise.llm.common import keyed_texts, small_batches
 MIN_SIZE, NORMAL_SIZE, MAX_SIZE = 16, 48, 240
 STRICT_BITS, LOOSE_BITS = 7, 4
 DIGEST_BYTES = 6
-#: Hexadecimal digits of one entry: the digest and one byte of length (``MAX_SIZE`` is under 256).
+#: Characters up to which a text has fine chunks, which follow the bits of the last ``FINE_WINDOW`` bytes alone.
+SHORT, FINE_WINDOW = 400, 4
+FINE_MIN, FINE_MAX, FINE_BITS = 3, 12, 1
+#: Hexadecimal digits of one entry: the digest and one byte of length; that of a fine chunk is above ``MAX_SIZE``.
 ENTRY = 2 * DIGEST_BYTES + 2
 #: Bytes of text that one range of neighbouring documents should hold.
 RANGE_BYTES = 4 << 20
@@ -90,9 +94,30 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
+def fine_ends(data: bytes) -> list[int]:
+    """Ends of the fine chunks of a short byte string."""
+    h = gear_hashes(np.frombuffer(data, np.uint8))
+    hits = ((h >> np.uint32(FINE_WINDOW - FINE_BITS)) & np.uint32((1 << FINE_BITS) - 1)) == 0
+    ends, start = [], 0
+    for end, hit in enumerate(hits.tolist(), 1):
+        if end - start >= FINE_MIN and (hit or end - start == FINE_MAX):
+            ends.append(end)
+            start = end
+    return ends if start == len(data) else [*ends, len(data)]
+
+
+def _is_short(data: bytes) -> bool:
+    return len(data) <= 4 * SHORT and sum(b & 0xC0 != 0x80 for b in data) <= SHORT
+
+
 def chunk_digests(data: bytes) -> dict[bytes, int]:
-    """Digest of each different chunk, with its length."""
+    """Digest of each different chunk with its length, and for a fine one with ``MAX_SIZE`` more."""
     out: dict[bytes, int] = {}
+    if _is_short(data):
+        start = 0
+        for end in fine_ends(data):
+            out[hashlib.blake2b(data[start:end], digest_size=DIGEST_BYTES, person=b"fine").digest()] = MAX_SIZE + end - start
+            start = end
     start = 0
     for end in chunk_ends(data):
         out[hashlib.blake2b(data[start:end], digest_size=DIGEST_BYTES).digest()] = end - start
@@ -111,10 +136,13 @@ def decode(fingerprint: str) -> dict[bytes, int]:
 
 
 def containment(inner: dict[bytes, int], outer: dict[bytes, int]) -> float:
-    """Share of the length of ``inner``'s chunks that ``outer`` has too."""
+    """Share of the length of ``inner``'s chunks that ``outer`` has too; of two levels that both have, the larger share."""
     if not inner:
         return 0.0 if outer else 1.0
-    return sum(n for d, n in inner.items() if d in outer) / sum(inner.values())
+    coarse = {d: n for d, n in inner.items() if n <= MAX_SIZE}
+    fine = {d: n - MAX_SIZE for d, n in inner.items() if n > MAX_SIZE}
+    levels = [coarse, fine] if fine and any(n > MAX_SIZE for n in outer.values()) else [coarse]
+    return max(sum(n for d, n in level.items() if d in outer) / sum(level.values()) for level in levels)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
