@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewise.llm import line_rules, url_classes
+from framewise.llm import line_dedup, line_rules, url_classes
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -38,6 +38,15 @@ def _quoted(pattern: str) -> str:
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+LINE_DEDUP = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+  l AS (SELECT r, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM t),
+  x AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+  f AS (SELECT key FROM x WHERE length(key) >= {line_dedup.MIN_CHARS} GROUP BY key HAVING count(DISTINCT r) >= {line_dedup.MIN_DOCUMENTS}),
+  g AS (SELECT r, count(*) AS n_lines, count(f.key) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (f.key IS NULL), '') AS kept FROM x LEFT JOIN f USING (key) GROUP BY r)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM t JOIN g USING (r)"""
+
+
 def _rest(url: str) -> str:
     return f"coalesce(CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '')"
 
