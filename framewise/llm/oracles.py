@@ -104,3 +104,47 @@ URL_CLASSES = f"""WITH RECURSIVE p AS (SELECT page_id, url, {_host('url')} AS ho
   decided AS (SELECT class_id, min(action) AS class_action FROM said JOIN cl USING (node) WHERE action IS NOT NULL GROUP BY class_id)
 SELECT page_id, host, path, {_rule('host', 'path', 0)} AS rule, coalesce({_rule('host', 'path', 1)}, class_action, 'allow') AS verdict, class_id
 FROM p LEFT JOIN cl USING (node) LEFT JOIN decided USING (class_id)"""
+
+
+def _turn_repair() -> str:
+    """Damage, faults, and the cheapest edits worked out from each conversation's last row to its first."""
+    v = {s: f"v{s}" for s in range(4)}
+
+    def option(letter: str, cost: str, after: str, line: str = "''") -> str:
+        return f"{{'c': {cost} + {after}.c, 'a': '{letter}' || {after}.a, 'r': {line} || {after}.r}}"
+
+    def insert(after: str, role: str) -> str:
+        return option("I", "3", after, f"'{role}:' || chr(10)")
+
+    late = "CASE fault WHEN 'truncated' THEN 3 ELSE 0 END"
+    own, user, assistant = ("{0} || ':' || text || chr(10)".format(r) for r in ("role", "'user'", "'assistant'"))
+    keeps = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}
+    plain, final = [], []
+    for s in range(4):
+        stays = [f"CASE WHEN fault IN ('ok', 'truncated') AND left(role, 1) = '{x}' THEN {option('K', late, v[to], own)} END" for x, to in keeps[s]]
+        to, line = (3, assistant) if s == 2 else (2, user)
+        stays.append(f"CASE WHEN fault IN ('ok', 'truncated') THEN {option('R', f'3 + {late}', v[to], line)} END")
+        plain.append(f"list_min(list_filter([{option('D', '4', v[s])}, {', '.join(stays)}], lambda x: x IS NOT NULL)) AS p{s}")
+    two = f"least(p2, {insert('p3', 'assistant')})"
+    final = [f"least(p0, {insert(two, 'user')}) AS v0", f"least(p1, {insert(two, 'user')}) AS v1", f"{two} AS v2", f"least(p3, {insert('p2', 'user')}) AS v3"]
+    end = ["{'c': 0, 'a': '', 'r': ''}", "{'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:' || chr(10)}", "{'c': 3, 'a': 'I', 'r': 'assistant:' || chr(10)}", "{'c': 0, 'a': '', 'r': ''}"]
+    return rf"""WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  named AS (SELECT conv_id, coalesce(conv_id::VARCHAR, 'null') AS k, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT) AS codes FROM conversations),
+  ruled AS (SELECT k, turn, role, text, xor(list_reduce(list_prepend(4294967295, codes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS rule FROM named, tab),
+  damaged AS (SELECT k, turn, CASE rule WHEN 4 THEN 'user' ELSE role END AS role, CASE rule WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE rule WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM ruled WHERE rule <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+  marked AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY k, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE 'ok' END AS fault, left(lag(role) OVER (PARTITION BY k ORDER BY i), 1) || left(role, 1) AS pair FROM placed),
+  counts AS (SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY k),
+  walk AS (SELECT k, n AS i, {', '.join(f'{e} AS v{s}' for s, e in enumerate(end))} FROM counts
+    UNION ALL SELECT k, i, {', '.join(final)} FROM (SELECT w.k, w.i - 1 AS i, {', '.join(plain)} FROM walk w JOIN marked m ON w.k = m.k AND w.i = m.i)),
+  done AS (SELECT k, v0.c AS cost, v0.a AS audit, v0.r AS lines FROM walk WHERE i = 0)
+SELECT conv_id, {', '.join(f'coalesce({c}, 0)::BIGINT AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal', 'cost'))}, coalesce(audit, '') AS audit,
+  sha256(coalesce(left(lines, length(lines) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, k FROM named) LEFT JOIN counts USING (k) LEFT JOIN done USING (k)"""
+
+
+TURN_REPAIR = _turn_repair()

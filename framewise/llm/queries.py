@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe_dp, cdc, line_dedup, line_rules, oracles, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, url_classes
+from framewise.llm import bpe_dp, cdc, line_dedup, line_rules, oracles, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, turn_repair, url_classes
 from framewise.llm.common import documents
 from framewise.plans.registry import Registry
 
@@ -95,4 +95,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("input.doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@reg.add("op13_turn_repair", oracles.TURN_REPAIR)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turn_repair.repairs(turn_repair.damage(conversations), conversations)
+
+
 QUERIES, SQL = reg.queries, reg.sql
