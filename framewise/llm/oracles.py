@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from framewise.llm import line_dedup, line_rules, url_classes
+from framewise.llm import collocations, line_dedup, line_rules, url_classes
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -47,6 +47,23 @@ LINE_DEDUP = f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(t
 SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM t JOIN g USING (r)"""
 
 
+PHRASES = f"""WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
+  p AS (SELECT d, lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece, generate_subscripts(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]'), 1) AS i FROM t),
+  w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM p),
+  g AS (SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i : i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS k)),
+  f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+  n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+  c AS (SELECT lang, k, phrase, a, unnest(range(1, k)) AS cut, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= {collocations.MIN_COUNT}),
+  s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r, {collocations.SCALE} * c.a * c.a // (l.a * r.a) AS score FROM c
+    JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[cut + 1 :], ' ')),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  ends AS (SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase, a AS longer FROM b WHERE k = 3),
+  top AS (SELECT lang, phrase, max(longer) AS longer FROM ends GROUP BY ALL),
+  left_over AS (SELECT b.* FROM b LEFT JOIN top USING (lang, phrase) WHERE longer IS NULL OR k = 3 OR 100 * longer < {collocations.COVER_PERCENT} * a),
+  o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM o JOIN n USING (lang) WHERE rank <= {collocations.TOP}"""
+
+
 def _rest(url: str) -> str:
     return f"coalesce(CASE WHEN contains({url}, '://') THEN substr({url}, instr({url}, '://') + 3) ELSE '' END, '')"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bpe_dp, cdc, line_dedup, line_rules, oracles, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, turn_repair, url_classes
+from framewise.llm import bpe_dp, cdc, collocations, line_dedup, line_rules, oracles, packing, quality_cnn, sharding, simhash, suffix_dedup, token_counts, turn_repair, url_classes
 from framewise.llm.common import documents
 from framewise.plans.registry import Registry
 
@@ -89,6 +89,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+@reg.add("op11_phrase_growth", oracles.PHRASES)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 @reg.add("op12_line_dedup", oracles.LINE_DEDUP)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_frequent_lines(documents(spark, sf_dir))
