@@ -15,11 +15,27 @@ def _f(x: Column) -> Column:
     return x.cast("float")
 
 
-def int8_meta(values: Column, policy: str = "asymmetric") -> Column:
-    """``struct(scale, zero_point, min_value, max_value)``; empty or non-finite vectors raise."""
+def check_policy(policy: str) -> None:
     if policy not in POLICIES:
         raise ValueError(f"policy must be one of {POLICIES}")
 
+
+def _unfit(v: Column) -> Column:
+    return (F.size(v) < 1) | F.exists(v, lambda x: x.isNull() | ~is_finite(x))
+
+
+def payload_size(values: Column, policy: str = "asymmetric") -> Column:
+    """Bytes of a quantised vector: header and one byte for each value; what cannot be quantised raises."""
+    check_policy(policy)
+    return (
+        F.when(_unfit(values), F.raise_error(F.lit("vector must be non-empty and finite")).cast("int")).otherwise(F.size(values)) + HEADER_BYTES
+    ).cast("bigint")
+
+
+def int8_meta(values: Column, policy: str = "asymmetric") -> Column:
+    """``struct(scale, zero_point, min_value, max_value)``; empty or non-finite vectors raise."""
+    check_policy(policy)
+
     def unconstant(lo: Column, hi: Column) -> Column:
         if policy == "symmetric":
             peak = F.greatest(F.abs(lo), F.abs(hi))
@@ -55,9 +71,8 @@ def int8_meta(values: Column, policy: str = "asymmetric") -> Column:
         return F.when(b["lo"] == b["hi"], constant).otherwise(unconstant(b["lo"], b["hi"]))
 
     def from_values(v: Column) -> Column:
-        bad = (F.size(v) < 1) | F.exists(v, lambda x: x.isNull() | ~is_finite(x))
         bounds = F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi"))
-        return F.when(bad, F.raise_error(F.lit("vector must be non-empty and finite"))).otherwise(
+        return F.when(_unfit(v), F.raise_error(F.lit("vector must be non-empty and finite"))).otherwise(
             let(bounds, from_bounds)
         )
 

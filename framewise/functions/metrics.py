@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ DELTA = 1.25
 CHUNK_VALUES = 1 << 21
 
 
-def _shaped(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def shaped(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Rows where every column is there, by shape: their numbers, and one matrix per column.
 
     Rows of one length are handled together, so a table of frames is one matrix a batch. NaN ranks above all numbers.
@@ -46,6 +46,31 @@ def _structs(out: np.ndarray, names: tuple[str, ...]) -> pa.Array:
     return pa.StructArray.from_arrays(fields, list(names), mask=pa.array(missing.all(axis=1)))
 
 
+def error_rows(x: np.ndarray, y: np.ndarray, max_val: float = 1.0) -> np.ndarray:
+    """mse, mae, rmse and psnr of each row of two matrices."""
+    d = x - y
+    mse = np.einsum("ij,ij->i", d, d) / d.shape[1]
+    with np.errstate(divide="ignore"):
+        psnr = 10.0 * np.log10(float(max_val) ** 2 / mse)
+    return np.stack([mse, np.abs(d).mean(axis=1), np.sqrt(mse), psnr], axis=1)
+
+
+def depth_rows(x: np.ndarray, y: np.ndarray, pixels: int, validity_channel: int | None = None, max_range_m: float = MAX_RANGE_METERS) -> np.ndarray:
+    """mae_m, rmse_m, d125, d125_sq and valid fraction of each row; NaN where no pixel is valid."""
+    limit = 0.0 if validity_channel is None else 0.5
+    first = (validity_channel or 0) * pixels
+    guide, x, y = (np.where(np.isnan(v), np.inf, v) for v in (y[:, first : first + pixels], x[:, :pixels], y[:, :pixels]))
+    guide = np.pad(guide, ((0, 0), (0, y.shape[1] - guide.shape[1])), constant_values=-np.inf)
+    used = (guide > limit) & (y > 0)
+    x, y = np.clip(x, 0.0, 1.0) * max_range_m, np.where(used, np.clip(y, 0.0, 1.0) * max_range_m, 1.0)
+    d = np.where(used, x - y, 0.0)
+    ratio = np.maximum(np.abs(x / y), np.abs(y / np.maximum(np.abs(x), 1e-6)))
+    n = used.sum(axis=1)
+    some = np.where(n > 0, n, np.nan)
+    near, nearer = ((used & (ratio < bound)).sum(axis=1) for bound in (DELTA, DELTA * DELTA))
+    return np.stack([np.abs(d).sum(axis=1) / some, np.sqrt(np.einsum("ij,ij->i", d, d) / some), near / some, nearer / some, n / pixels], axis=1)
+
+
 def _once(measure):
     """The function as one that the optimiser neither copies into an aggregate nor evaluates twice."""
     return measure.asNondeterministic()
@@ -62,12 +87,8 @@ def error_metrics(pred: Column, truth: Column, max_val: float = 1.0) -> Column:
     @F.arrow_udf("struct<mse:double,mae:double,rmse:double,psnr_db:double>")
     def measured(p: pa.Array, t: pa.Array) -> pa.Array:
         out = np.full((len(p), 4), np.nan)
-        for rows, (x, y) in _shaped(p, t):
-            d = x - y
-            mse = np.einsum("ij,ij->i", d, d) / d.shape[1]
-            with np.errstate(divide="ignore"):
-                psnr = 10.0 * np.log10(float(max_val) ** 2 / mse)
-            out[rows] = np.stack([mse, np.abs(d).mean(axis=1), np.sqrt(mse), psnr], axis=1)
+        for rows, (x, y) in shaped(p, t):
+            out[rows] = error_rows(x, y, max_val)
         return _structs(out, ("mse", "mae", "rmse", "psnr_db"))
 
     return _once(measured)(doubles(pred), doubles(truth))
@@ -77,25 +98,11 @@ def depth_metrics(
     pred: Column, truth: Column, pixels: int, validity_channel: int | None = None, max_range_m: float = MAX_RANGE_METERS
 ) -> Column:
     """Metric errors of channel 0 over valid pixels; every metric but the fraction is NULL when none is valid."""
-    limit = 0.0 if validity_channel is None else 0.5
-    first = (validity_channel or 0) * pixels
-
     @F.arrow_udf("struct<mae_m:double,rmse_m:double,d125:double,d125_sq:double,valid_fraction:double>")
     def measured(p: pa.Array, t: pa.Array) -> pa.Array:
         out = np.full((len(p), 5), np.nan)
-        for rows, (x, y) in _shaped(p, t):
-            guide, x, y = (np.where(np.isnan(v), np.inf, v) for v in (y[:, first : first + pixels], x[:, :pixels], y[:, :pixels]))
-            guide = np.pad(guide, ((0, 0), (0, y.shape[1] - guide.shape[1])), constant_values=-np.inf)
-            used = (guide > limit) & (y > 0)
-            x, y = np.clip(x, 0.0, 1.0) * max_range_m, np.where(used, np.clip(y, 0.0, 1.0) * max_range_m, 1.0)
-            d = np.where(used, x - y, 0.0)
-            ratio = np.maximum(np.abs(x / y), np.abs(y / np.maximum(np.abs(x), 1e-6)))
-            n = used.sum(axis=1)
-            some = np.where(n > 0, n, np.nan)
-            near, nearer = ((used & (ratio < bound)).sum(axis=1) for bound in (DELTA, DELTA * DELTA))
-            out[rows] = np.stack(
-                [np.abs(d).sum(axis=1) / some, np.sqrt(np.einsum("ij,ij->i", d, d) / some), near / some, nearer / some, n / pixels], axis=1
-            )
+        for rows, (x, y) in shaped(p, t):
+            out[rows] = depth_rows(x, y, pixels, validity_channel, max_range_m)
         return _structs(out, ("mae_m", "rmse_m", "d125", "d125_sq", "valid_fraction"))
 
     return _once(measured)(doubles(pred), doubles(truth))
@@ -108,12 +115,11 @@ def window_starts(length: int, window: int, step: int = SSIM_STEP) -> list[int]:
     return sorted({*range(0, length - window, step), length - window})
 
 
-def ssim(pred: Column, truth: Column, h: int, w: int) -> Column:
-    """Mean windowed structural similarity of planar RGB tensors on luma.
+def ssim_scores(h: int, w: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Similarity of each row of two matrices of planar RGB frames of ``h x w``, on luma.
 
     A full frame visits every pixel four times in overlapping windows; window sums come from running totals.
     """
-    n = h * w
     if h <= SSIM_WINDOW and w <= SSIM_WINDOW:
         win_h, win_w, rows, cols = h, w, [0], [0]
     else:
@@ -134,6 +140,8 @@ def ssim(pred: Column, truth: Column, h: int, w: int) -> Column:
         return np.tensordot(values.reshape(-1, 3, h, w), weights, axes=(1, 0))
 
     def scores(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        if p.shape[1] != 3 * h * w:
+            raise ValueError(f"tensors must be planar RGB of {h}x{w}")
         x, y = luma(p), luma(t)
         mx, my = window_means(x), window_means(y)
         cov = window_means(x * y) - mx * my
@@ -141,12 +149,17 @@ def ssim(pred: Column, truth: Column, h: int, w: int) -> Column:
         top = (2 * mx * my + SSIM_C1) * (2 * cov + SSIM_C2)
         return (top / ((mx * mx + my * my + SSIM_C1) * (spread + SSIM_C2))).mean(axis=(1, 2))
 
+    return scores
+
+
+def ssim(pred: Column, truth: Column, h: int, w: int) -> Column:
+    """Mean windowed structural similarity of planar RGB tensors on luma."""
+    scores = ssim_scores(h, w)
+
     @F.arrow_udf("double")
     def similarity(p: pa.Array, t: pa.Array) -> pa.Array:
         out = np.full(len(p), np.nan)
-        for rows, (x, y) in _shaped(p, t):
-            if x.shape[1] != 3 * n:
-                raise ValueError(f"tensors must be planar RGB of {h}x{w}")
+        for rows, (x, y) in shaped(p, t):
             out[rows] = scores(x, y)
         return pa.array(out, mask=np.isnan(out))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from framewise.functions import resample
 from framewise.functions.arrays import clamp, doubles, let, positions, round_half_away
 
 # Fixed values of the sample format.
@@ -42,83 +44,30 @@ def rgb_chw(pixels: Column) -> Column:
     return let(pixels, planes)
 
 
-def _source_coordinate(i: Column, n_src: Column, n_dst: Column) -> Column:
-    return (i + F.lit(0.5)) * (n_src / n_dst) - F.lit(0.5)
-
-
-def _linear_taps(n_src: Column, n_dst: Column) -> Column:
-    """Per output index: the two source indices and the weight of the second one."""
-
-    def tap(s: Column) -> Column:
-        low = clamp(F.floor(s).cast("int"), F.lit(0), n_src - 1)
-        return let(
-            low,
-            lambda a: F.struct(
-                a.alias("a"),
-                F.least(a + 1, n_src - 1).alias("b"),
-                clamp(s - a, 0.0, 1.0).alias("t"),
-            ),
-        )
-
-    return F.transform(positions(n_dst), lambda i: let(_source_coordinate(i, n_src, n_dst), tap))
-
-
-def _nearest_taps(n_src: Column, n_dst: Column) -> Column:
-    return F.transform(
-        positions(n_dst),
-        lambda i: clamp(round_half_away(_source_coordinate(i, n_src, n_dst)).cast("int"), F.lit(0), n_src - 1),
-    )
-
-
-def _check_image(h_src: Column, w_src: Column, c_src: Column, result: Column, min_channels: int) -> Column:
-    bad = (h_src < 1) | (w_src < 1) | (c_src < min_channels)
-    reason = F.concat(F.lit("invalid range image shape "), F.concat_ws("x", h_src, w_src, c_src))
-    return F.when(bad, F.raise_error(reason)).otherwise(result)
-
-
 def bilinear(
-    values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: Column | int, w: Column | int,
-    channel: int,
+    values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: int, w: int, channel: int,
 ) -> Column:
     """One channel of an interleaved image resampled to ``h x w``: half-pixel centres, edge clamp, missing = 0."""
-    h_src, w_src, c_src, h, w = map(_col, (h_src, w_src, c_src, h, w))
-
-    def at(px: Column, y: Column, x: Column) -> Column:
-        return F.coalesce(F.get(px, (y * w_src + x) * c_src + channel).cast("double"), F.lit(0.0))
-
-    def row(px: Column, r: Column, x_taps: Column) -> Column:
-        def pixel(c: Column) -> Column:
-            top = let(at(px, r["a"], c["a"]), lambda v: v + c["t"] * (at(px, r["a"], c["b"]) - v))
-            bottom = let(at(px, r["b"], c["a"]), lambda v: v + c["t"] * (at(px, r["b"], c["b"]) - v))
-            return let(top, lambda v: v + r["t"] * (bottom - v))
 
-        return F.transform(x_taps, pixel)
+    def make(images: np.ndarray) -> np.ndarray:
+        if channel >= images.shape[3]:
+            return np.zeros((len(images), h, w))
+        return resample.blended(images[..., channel], h, w)
 
-    bound = F.struct(
-        values.alias("px"), _linear_taps(h_src, h).alias("rows"), _linear_taps(w_src, w).alias("cols")
-    )
-    out = let(bound, lambda b: F.flatten(F.transform(b["rows"], lambda r: row(b["px"], r, b["cols"]))))
-    return _check_image(h_src, w_src, c_src, out, 2)
+    sizes = tuple(map(_col, (h_src, w_src, c_src)))
+    return resample.checked(values, sizes, 2, resample.planes_of(make, h * w, 1, 2))
 
 
 def validity(
-    values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: Column | int, w: Column | int
+    values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: int, w: int
 ) -> Column:
     """1 where the nearest raw range value is positive, else 0, at ``h x w``."""
-    h_src, w_src, c_src, h, w = map(_col, (h_src, w_src, c_src, h, w))
-    bound = F.struct(
-        values.alias("px"), _nearest_taps(h_src, h).alias("rows"), _nearest_taps(w_src, w).alias("cols")
-    )
 
-    def cell(px: Column, y: Column, x: Column) -> Column:
-        raw = F.coalesce(F.get(px, (y * w_src + x) * c_src).cast("double"), F.lit(0.0))
-        return F.when(raw > 0, F.lit(1.0)).otherwise(F.lit(0.0))
+    def make(images: np.ndarray) -> np.ndarray:
+        return (~(resample.picked(images[..., 0], h, w) <= 0)).astype(np.float64)  # NaN ranks above all numbers
 
-    out = let(
-        bound,
-        lambda b: F.flatten(F.transform(b["rows"], lambda y: F.transform(b["cols"], lambda x: cell(b["px"], y, x)))),
-    )
-    return _check_image(h_src, w_src, c_src, out, 1)
+    sizes = tuple(map(_col, (h_src, w_src, c_src)))
+    return resample.checked(values, sizes, 1, resample.planes_of(make, h * w, 1, 1))
 
 
 def validity_stats(mask: Column) -> Column:
@@ -171,13 +120,30 @@ def range_chw(
     values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: int, w: int,
     channels: list[str], max_range: float = MAX_RANGE_METERS,
 ) -> Column:
-    """Planar range tensor in the configured channel order."""
-    parts = {
-        "range": lambda: clamp_scale(bilinear(values, h_src, w_src, c_src, h, w, 0), max_range),
-        "intensity": lambda: max_norm(bilinear(values, h_src, w_src, c_src, h, w, 1)),
-        "validity": lambda: validity(values, h_src, w_src, c_src, h, w),
-    }
-    return F.flatten(F.array(*[parts[c]() for c in channel_list(channels)]))
+    """Planar range tensor in the configured channel order, all planes from one reading of the image."""
+    names = channel_list(channels)
+
+    def scaled(v: np.ndarray, divisor: np.ndarray | float) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            part = v / divisor
+        return np.where(np.isnan(part), 1.0, np.clip(part, 0.0, 1.0))
+
+    def make(images: np.ndarray) -> np.ndarray:
+        planes = []
+        for name in names:
+            if name == "range":
+                planes.append(scaled(resample.blended(images[..., 0], h, w), max_range))
+            elif name == "intensity":
+                v = resample.blended(images[..., 1], h, w)
+                peak = v.max(axis=(1, 2), keepdims=True)
+                planes.append(np.where(peak <= 0, v, scaled(v, peak)))
+            else:
+                planes.append((~(resample.picked(images[..., 0], h, w) <= 0)).astype(np.float64))
+        return np.stack(planes, axis=1)
+
+    least = 1 if set(names) == {"validity"} else 2
+    sizes = tuple(map(_col, (h_src, w_src, c_src)))
+    return resample.checked(values, sizes, least, resample.planes_of(make, h * w, len(names), least))
 
 
 def plane(values: Column, channel: int, pixels: Column | int) -> Column:

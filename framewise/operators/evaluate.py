@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
 from framewise.functions.tensors import MAX_RANGE_METERS, plane
+from framewise.operators import partials
 
 
 def pair(pred: DataFrame, truth: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -117,9 +118,13 @@ def evaluate(
     pred: DataFrame, truth: DataFrame, rgb_hw: tuple[int, int] | None, range_hw: tuple[int, int] | None,
     validity_channel: int | None = None, max_range_m: float = MAX_RANGE_METERS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Per-sample metrics and split summaries of predictions ``sample_id, rgb_hat, range_hat``."""
-    rows = sample_metrics(pair(pred, truth), rgb_hw, range_hw, validity_channel, max_range_m)
-    return rows, summarize(rows)
+    """Per-sample metrics and split summaries of predictions ``sample_id, rgb_hat, range_hat``.
+
+    The summaries are summed where the tensors are read (``partials``); they do not read the per-sample rows.
+    """
+    pairs = pair(pred, truth)
+    rows = sample_metrics(pairs, rgb_hw, range_hw, validity_channel, max_range_m)
+    return rows, partials.split_means(pairs, rgb_hw, range_hw, validity_channel=validity_channel, max_range_m=max_range_m)
 
 
 def tensor_stats(df: DataFrame, col: str, pixels: int | None = None, channel: int = 0) -> list[Column]:

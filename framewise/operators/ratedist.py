@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions import int8
-from framewise.functions.metrics import depth_metrics, error_metrics, ssim
-from framewise.functions.tensors import pack_range_u8, pack_rgb_u8, unpack_u8
+from framewise.operators import partials
 from framewise.operators.evaluate import combine
 from framewise.operators.ordered import PIECE, POSITION, first_per_key, pieces_of, running
 from framewise.session import stage
@@ -52,14 +51,6 @@ def bpp(total_bytes: Column, samples: Column, pixels_per_sample: int) -> Column:
     )
 
 
-def _u8_rgb(c: Column) -> Column:
-    return unpack_u8(pack_rgb_u8(c), 3)
-
-
-def _u8_range(c: Column, pixels: int) -> Column:
-    return unpack_u8(pack_range_u8(c, pixels), 2)
-
-
 def operating_points(
     df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int], range_channels: int = 2, policy: str = "asymmetric"
 ) -> DataFrame:
@@ -69,48 +60,10 @@ def operating_points(
     Out: one row per point and modality, plus modality ``combined``.
     """
     rgb_px, range_px = rgb_hw[0] * rgb_hw[1], range_hw[0] * range_hw[1]
-    head = min(range_channels, 2) * range_px
-    q = quantized(df, policy=policy)
-
-    def entry(point: str, tail: str, modality: str, size: Column) -> Column:
-        return F.struct(
-            F.lit(point).alias("point"), F.lit(modality).alias("modality"), size.alias("bytes"),
-            F.col(f"{modality}_{tail}").cast("array<double>").alias("p"), F.col(modality).cast("array<double>").alias("t"),
-        )
-
-    # one row per point and modality first, so that every metric is written (and planned) once
-    sizes = {"raw": raw_bytes(F.col("embedding")), "quant": payload_bytes(F.col("codes"))}
-    entries = [
-        entry(point, tail, modality, sizes[tail])
-        for point, tail in (("raw_f32", "raw"), ("quantized", "quant")) for modality in ("rgb", "range")
-    ]
-    is_rgb = F.col("modality") == "rgb"
-
-    def u8(c: str) -> Column:
-        return F.when(is_rgb, _u8_rgb(F.col(c))).otherwise(_u8_range(F.col(c), range_px))
-
-    def measured(c: str) -> Column:
-        return F.when(is_rgb, F.col(c)).otherwise(F.slice(F.col(c), 1, head))
-
-    wide = q.select(F.inline(F.array(*entries))).select(
-        "point", "modality", "bytes", measured("p").alias("p"), measured("t").alias("t"), u8("p").alias("p8"), u8("t").alias("t8")
-    )
-
-    def rgb_ssim(p: str, t: str) -> Column:
-        return ssim(F.when(is_rgb, F.col(p)), F.when(is_rgb, F.col(t)), *rgb_hw)
-
-    long = wide.select(
-        "point", "modality", "bytes", error_metrics(F.col("p8"), F.col("t8")).alias("u8"), error_metrics(F.col("p"), F.col("t")).alias("f32"),
-        rgb_ssim("p8", "t8").alias("u8_ssim"), rgb_ssim("p", "t").alias("f32_ssim"),
-        F.when(~is_rgb, depth_metrics(F.col("p"), F.col("t"), range_px)["mae_m"]).alias("depth_mae_m"),
-    )
+    embedding = F.col("embedding")
+    means = partials.point_means(df, rgb_hw, range_hw, range_channels, raw_bytes(embedding), int8.payload_size(embedding, policy))
     # four rows, staged because they are read three times below
-    per_modality = stage(long.groupBy("point", "modality").agg(
-        F.count(F.lit(1)).alias("samples"), F.sum("bytes").alias("latent_bytes"),
-        F.avg("u8.mse").alias("mse"), F.avg("u8.psnr_db").alias("psnr_db"), F.avg("u8_ssim").alias("ssim"),
-        F.avg("f32.mse").alias("f32_mse"), F.avg("f32.psnr_db").alias("f32_psnr_db"), F.avg("f32_ssim").alias("f32_ssim"),
-        F.avg("depth_mae_m").alias("depth_mae_m"),
-    ))
+    per_modality = stage(means.select("point", "modality", "samples", F.col("bytes").alias("latent_bytes"), *partials.POINT_METRICS))
     totals = per_modality.groupBy("point").agg(
         F.max("samples").alias("samples"), F.max("latent_bytes").alias("latent_bytes"),
         F.avg("f32_mse").alias("f32_mse"), F.avg("f32_psnr_db").alias("f32_psnr_db"), F.avg("f32_ssim").alias("f32_ssim"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("frames", "files", "quality", "splitting", "tensor_ops", "evaluation", "probing", "curves", "run_tables")
+AREAS = ("frames", "files", "quality", "splitting", "tensor_ops", "evaluation", "full_frames", "probing", "curves", "run_tables")
 
 
 def _collect() -> tuple[dict, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewise.functions.metrics import depth_metrics, error_metrics, ssim
-from framewise.operators import evaluate, ratedist
+from framewise.operators import evaluate, partials, ratedist
 from framewise.plans import views
 from framewise.plans.registry import Registry, finite_or_null, r6
 from framewise.plans.tensor_ops import X, emb
@@ -135,14 +135,12 @@ SUMMARY_COLS = f"""count(*) AS n_samples,
   {', '.join(f'round(avg({c}) FILTER (has_range), 6) AS depth_{c}' for c in DEPTH_COLS)}"""
 
 
-def sample_eval(spark, d, finite: bool = True):
-    t = tens(spark, d)
-    rows = evaluate.sample_metrics(t.withColumn("split", F.col("split")), (4, 4), (4, 8))
-    if not finite:
-        return rows
-    return rows.withColumns(
-        {m: F.col(m).withField("psnr_db", finite_or_null(F.col(f"{m}.psnr_db"))) for m in ("rgb", "range")}
-    )
+def sample_eval(spark, d):
+    return evaluate.sample_metrics(tens(spark, d), (4, 4), (4, 8))
+
+
+def split_means(spark, d, with_all: bool = False):
+    return partials.split_means(tens(spark, d), (4, 4), (4, 8), with_all=with_all, finite=True)
 
 
 def _summary_columns(out):
@@ -156,7 +154,7 @@ def _summary_columns(out):
 
 @reg.add("split_summary", f"WITH {SAMPLE} SELECT split, {SUMMARY_COLS} FROM full_ GROUP BY split")
 def split_summary(spark, d):
-    out = evaluate.summarize(sample_eval(spark, d))
+    out = split_means(spark, d)
     return out.select("split", *_summary_columns(out))
 
 
@@ -165,7 +163,7 @@ def split_summary(spark, d):
     f"WITH {SAMPLE} SELECT split, {SUMMARY_COLS} FROM full_ GROUP BY split UNION ALL SELECT 'all', {SUMMARY_COLS} FROM full_",
 )
 def split_summary_rollup(spark, d):
-    out = evaluate.summarize(sample_eval(spark, d), with_all=True)
+    out = split_means(spark, d, with_all=True)
     return out.select("split", *_summary_columns(out))
 
 
@@ -175,7 +173,7 @@ def split_summary_rollup(spark, d):
 )
 def summary_with_infinity(spark, d):
     """One perfect prediction makes the mean PSNR of its split infinite."""
-    out = evaluate.summarize(sample_eval(spark, d, finite=False))
+    out = evaluate.summarize(sample_eval(spark, d))
     inf = F.lit(float("inf"))
     return out.select("split", (F.col("rgb.mean_psnr_db") == inf).alias("rgb_infinite"), (F.col("range.mean_psnr_db") == inf).alias("range_infinite"))
 
@@ -187,7 +185,7 @@ def summary_with_infinity(spark, d):
     SELECT split, round(avg(mse), 8) AS mse, round(avg(psnr_db), 6) AS psnr_db, round(avg(ssim), 6) AS ssim FROM m GROUP BY 1""",
 )
 def combined_summary(spark, d):
-    rows = evaluate.modality_rows(evaluate.summarize(sample_eval(spark, d)))
+    rows = evaluate.modality_rows(split_means(spark, d))
     out = evaluate.combine(rows, ["split"])
     return out.select("split", F.round("mse", 8).alias("mse"), r6("psnr_db"), r6("ssim"))
 
@@ -315,19 +313,28 @@ def _op_sql(point: str, hat: str, size: int) -> str:
     round(f32_mse, 8) AS f32_mse, round(f32_psnr_db, 5) AS f32_psnr_db, round(latent_bytes * 8.0::DOUBLE / (samples * 48), 6) AS rate_bpp FROM a""",
 )
 def operating_points(spark, d):
-    return points_of(spark, d).select(
+    return point_columns(points_of(spark, d))
+
+
+def point_columns(points):
+    return points.select(
         "point", "modality", "samples", "latent_bytes", F.round("mse", 8).alias("mse"), F.round("psnr_db", 5).alias("psnr_db"), r6("ssim"),
         F.round("f32_mse", 8).alias("f32_mse"), F.round("f32_psnr_db", 5).alias("f32_psnr_db"), r6("rate_bpp"),
     )
 
 
-def points_of(spark, d):
-    """Raw reconstructions are noisy, quantised ones come from the restored vectors."""
+def point_vectors(spark, d):
+    """``t``, its noisy copy ``r`` and ``q`` from the restored vectors."""
     unit = lambda c: F.transform(c, lambda e: (e.cast("double") + 1) / 2)
     q = ratedist.quantized(emb(spark, d))
-    rows = q.select("vec_id", "embedding", unit(F.col("embedding")).alias("t"), unit(F.col("restored")).alias("q")).select(
+    return q.select("vec_id", "embedding", unit(F.col("embedding")).alias("t"), unit(F.col("restored")).alias("q")).select(
         "vec_id", "embedding", "t", "q", F.transform("t", lambda v, i: v + F.sin(i.cast("double")) * 0.05).alias("r")
     )
+
+
+def points_of(spark, d):
+    """Raw reconstructions are noisy, quantised ones come from the restored vectors."""
+    rows = point_vectors(spark, d)
     head = lambda c: F.slice(c, 1, 48)
     ready = rows.select(
         F.col("vec_id").alias("sample_id"), "embedding", head("t").alias("rgb"), F.col("t").alias("range"), head("r").alias("rgb_raw"),

@@ -84,7 +84,7 @@ def raw_boxes(events: DataFrame) -> DataFrame:
 
 
 def tensors(embeddings: DataFrame) -> DataFrame:
-    """``vec_id, sample_id, split, label, x, rgb (3x4x4), range (2x4x8), rgb_hat, range_hat``."""
+    """``vec_id, sample_id, split, label, x, rgb (3x4x4), range (2x4x8), rgb_hat, range_hat``, ``hat``."""
     x = F.transform("embedding", lambda e: (e.cast("double") + 1) / 2)
     noisy = F.when(F.col("vec_id") % 7 == 0, F.col("x")).otherwise(
         F.transform("x", lambda v, i: v + F.sin(i.cast("double")) * 0.05)
@@ -97,7 +97,7 @@ def tensors(embeddings: DataFrame) -> DataFrame:
         )
         .withColumn("hat", noisy)
         .select(
-            "vec_id", "sample_id", "split", "label", "embedding", "x",
+            "vec_id", "sample_id", "split", "label", "embedding", "x", "hat",
             F.slice("x", 1, 48).alias("rgb"), F.col("x").alias("range"),
             # one in eleven samples has no RGB reconstruction, one in thirteen no range reconstruction
             F.when(F.col("vec_id") % 11 != 0, F.slice("hat", 1, 48)).alias("rgb_hat"),
