@@ -42,7 +42,7 @@ FILTER_BITS = 1 << 27
 #: Bytes of text counted together, and bytes of words a worker remembers.
 SLICE = 1 << 20
 FLUSH_BYTES = 8 << 20
-WORD_BYTES = 64 << 20
+WORD_BYTES = 32 << 20
 SEED = 42
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -91,7 +91,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for raw, _ in slices(text):
                 counts.setdefault(lang, Counter()).update(raw.split())
                 size += len(raw)
-            if size > 4 * FLUSH_BYTES:
+            if size > 2 * FLUSH_BYTES:
                 yield from flush()
                 size = 0
     yield from flush()
