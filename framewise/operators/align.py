@@ -6,13 +6,14 @@ Only these narrow key columns are shuffled; payload columns are joined back by (
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.operators.ordered import rank_by_seq, running, seq_bucket
-from framewise.session import stage
+from framewise.session import RoundLog, stage
 
 KEY = ["file_name", "segment", "timestamp_micros"]
 SCOPE = ["file_name", "segment"]
@@ -164,50 +165,34 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
     prefers earlier cameras. Each round all unplaced cameras propose to their next lidar time, and each time
     keeps its earliest cameras up to the number of lidars it holds. The result does not depend on round order. A camera
     whose next time is out of reach has no partner and leaves the state.
+
+    The state is a log with one folder per round, never rewritten: a round holds the cameras of the slots that were proposed to
+    in it, those that keep their place and those that must go on. Who sits at a slot is what its last round says, so a round
+    reads the settled cameras of contested slots only and writes nothing else.
     """
-    slots = places.where("lids > 0").select(
+    slots = stage(places.where("lids > 0").select(
         *SCOPE, F.col("lidar_pos").alias("pos"), F.col("timestamp_micros").alias("slot_time"), F.col("lids").alias("room")
-    )
-    state = stage(
-        camera.select(*KEY, "seq")
-        .join(places.select(*KEY, "lidar_pos"), KEY)
-        .select(
-            *KEY, "seq",
-            F.col("lidar_pos").alias("below"),
-            (F.col("lidar_pos") + 1).alias("above"),
-            F.lit(None).cast("bigint").alias("slot"),
-        )
-    )
-    waiting = F.col("slot").isNull()
-    while not state.where(waiting).isEmpty():
-        lower = slots.select(*SCOPE, F.col("pos").alias("below"), F.col("slot_time").alias("t_below"))
-        upper = slots.select(*SCOPE, F.col("pos").alias("above"), F.col("slot_time").alias("t_above"))
-        d_below = F.col("timestamp_micros") - F.col("t_below")
-        d_above = F.col("t_above") - F.col("timestamp_micros")
-        go_below = F.col("t_below").isNotNull() & (F.col("t_above").isNull() | (d_below <= d_above))
-        reach = F.when(go_below, d_below).otherwise(d_above)
-        proposed = (
-            state.where(waiting)
-            .join(lower, [*SCOPE, "below"], "left")
-            .join(upper, [*SCOPE, "above"], "left")
-            .where(reach <= F.lit(tolerance))
-            .withColumn("down", go_below)
-            .select(
-                *KEY, "seq",
-                F.when(F.col("down"), F.col("below") - 1).otherwise(F.col("below")).alias("below"),
-                F.when(~F.col("down"), F.col("above") + 1).otherwise(F.col("above")).alias("above"),
-                F.when(F.col("down"), F.col("below")).otherwise(F.col("above")).alias("slot"),
-            )
-        )
-        held = state.where(F.col("slot").isNotNull()).unionByName(proposed)
+    ))
+    log = RoundLog(camera.sparkSession)
+    below = F.col("lidar_pos").alias("below")
+    waiting = stage(camera.select(*KEY, "seq").join(places.select(*KEY, "lidar_pos"), KEY).select(*KEY, "seq", below, (F.col("lidar_pos") + 1).alias("above")))
+    for number in itertools.count():
+        proposed = stage(_proposals(waiting, slots, tolerance))
+        if proposed.isEmpty():
+            break
+        held = proposed
+        if number:
+            contested = proposed.select(*SCOPE, "slot").distinct()
+            held = held.unionByName(_seated(log.rows().join(contested, [*SCOPE, "slot"], "left_semi")))
         ranked = rank_by_seq(held, [*SCOPE, "slot"], "seq", "k")
         room = slots.select(*SCOPE, F.col("pos").alias("slot"), "room")
-        kept = ranked.join(room, [*SCOPE, "slot"]).withColumn(
-            "slot", F.when(F.col("k") <= F.col("room"), F.col("slot"))
-        )
-        state = stage(kept.select(*state.columns))
+        log.add(number, ranked.join(room, [*SCOPE, "slot"]).withColumn("stays", F.col("k") <= F.col("room")).drop("room", "k"))
+        waiting = log.rows(number).where(~F.col("stays")).drop("slot", "stays", "round")
 
-    placed = rank_by_seq(state.where(F.col("slot").isNotNull()), [*SCOPE, "slot"], "seq", "k").join(slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"])
+    placed = log.rows() if log.rounds else proposed.withColumns({"stays": F.lit(True), "round": F.lit(0)})
+    placed = rank_by_seq(_seated(placed), [*SCOPE, "slot"], "seq", "k").join(
+        slots.select(*SCOPE, F.col("pos").alias("slot"), "slot_time"), [*SCOPE, "slot"]
+    )
     lids = rank_by_seq(
         lidar.dropna(subset=KEY).select(*SCOPE, F.col("timestamp_micros").alias("slot_time"), F.col("seq").alias("lidar_seq")),
         [*SCOPE, "slot_time"], "lidar_seq", "k", descending=True,
@@ -218,6 +203,29 @@ def _propose(camera: DataFrame, lidar: DataFrame, places: DataFrame, tolerance:
     )
 
 
+def _proposals(waiting: DataFrame, slots: DataFrame, tolerance: int) -> DataFrame:
+    """The next slot of each waiting camera within reach, and what lies beyond it on both sides."""
+    lower = slots.select(*SCOPE, F.col("pos").alias("below"), F.col("slot_time").alias("t_below"))
+    upper = slots.select(*SCOPE, F.col("pos").alias("above"), F.col("slot_time").alias("t_above"))
+    d_below = F.col("timestamp_micros") - F.col("t_below")
+    d_above = F.col("t_above") - F.col("timestamp_micros")
+    go_below = F.col("t_below").isNotNull() & (F.col("t_above").isNull() | (d_below <= d_above))
+    reach = F.when(go_below, d_below).otherwise(d_above)
+    near = waiting.join(lower, [*SCOPE, "below"], "left").join(upper, [*SCOPE, "above"], "left")
+    return near.where(reach <= F.lit(tolerance)).withColumn("down", go_below).select(
+        *KEY, "seq",
+        F.when(F.col("down"), F.col("below") - 1).otherwise(F.col("below")).alias("below"),
+        F.when(~F.col("down"), F.col("above") + 1).otherwise(F.col("above")).alias("above"),
+        F.when(F.col("down"), F.col("below")).otherwise(F.col("above")).alias("slot"),
+    )
+
+
+def _seated(log: DataFrame) -> DataFrame:
+    """Per slot the cameras that stay in its last round."""
+    last = log.groupBy(*SCOPE, "slot").agg(F.max("round").alias("round"))
+    return log.where("stays").join(last, [*SCOPE, "slot", "round"]).select(*KEY, "seq", "below", "above", "slot")
+
+
 def stats(camera: DataFrame, lidar: DataFrame, pairs: DataFrame, by: Sequence[str] = ("file_name",)) -> DataFrame:
     """Per file: frame, match and unmatched counts, and the largest time difference over matches."""
     zero = F.lit(0).cast("bigint")

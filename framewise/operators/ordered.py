@@ -51,7 +51,7 @@ def running(
     """
     by = list(by)
     inner = list(order)
-    df = _keyed(df, by)
+    df = no_null_keys(df, by)
     if bucket is None:
         pieces, piece, inner = pieces_of(df, by, order), PIECE, [F.col(POSITION)]
     elif isinstance(bucket, str):
@@ -100,7 +100,7 @@ def seq_bucket(seq: str, descending: bool = False, width: int | None = None) ->
     return -piece if descending else piece
 
 
-def _keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
+def no_null_keys(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """The same rows; a null key raises, as the join with the totals would lose its rows."""
     if not by:
         return df

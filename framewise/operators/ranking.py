@@ -1,7 +1,7 @@
 """Ranking and regression metrics over long tables; undefined results are NULL with a reason.
 
-Scores: ``class, idx, label, score``. Ranks and running sums are computed in pieces, so a table with two
-classes, or with one score shared by most rows, still spreads over all tasks.
+Scores: ``class, idx, label, score``. Rows are laid out by leading digits of the score (``radix``), so a table with two
+classes, or with one score shared by most rows, still spreads over all tasks, and no sort of the whole table is needed.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.operators.ordered import running
+from framewise.operators.radix import ScoreTree, wins
 
 # Reasons for undefined metrics.
 NO_POSITIVE = "requires at least one positive label"
@@ -32,37 +32,44 @@ def check_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def average_precision(scores: DataFrame, by: str = "class") -> DataFrame:
+def score_tree(scores: DataFrame, by: str = "class", threshold: float = 0.5) -> ScoreTree:
+    """The scores in leaves of their order, with the predictions and hits at ``threshold`` counted on the way."""
+    on = (F.col("score") >= threshold).cast("int")
+    return ScoreTree(scores, by, {"on": on, "on_pos": on * F.col("label").cast("int")})
+
+
+def average_precision(scores: DataFrame | ScoreTree, by: str = "class") -> DataFrame:
     """Mean precision at the positives, score descending, ties by ``idx``."""
-    ranked = running(
-        scores.select(by, "idx", "label", "score"), [by], [F.col("score").desc(), F.col("idx")],
-        rank="rank", sums={"hits": F.col("label").cast("bigint")},
-    )
+    tree = scores if isinstance(scores, ScoreTree) else ScoreTree(check_scores(scores), by)
     hit = F.when(F.col("label") == 1, F.col("hits") / F.col("rank"))
-    out = ranked.groupBy(by).agg(F.avg(hit).alias("value"))
+    found = tree.ranked().groupBy(by).agg(F.avg(hit).alias("value"))
+    out = tree.nodes.select(by).distinct().join(found, by, "left")
     return out.withColumn("na_reason", F.when(F.col("value").isNull(), NO_POSITIVE))
 
 
-def auroc(scores: DataFrame, by: str = "class") -> DataFrame:
-    """Area under the ROC curve with average ranks for ties, over distinct scores only."""
-    levels = scores.groupBy(by, "score").agg(
-        F.sum("label").cast("bigint").alias("pos"), F.sum(1 - F.col("label")).cast("bigint").alias("neg")
-    )
-    summed = running(levels, [by], [F.col("score")], sums={"neg_through": F.col("neg")})
-    below = F.col("neg_through") - F.col("neg")
-    wins = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))
-    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
-    out = summed.groupBy(by).agg(F.try_divide(wins, pairs).alias("value"))
+def auroc(scores: DataFrame | ScoreTree, by: str = "class") -> DataFrame:
+    """Area under the ROC curve; tied pairs count half."""
+    won = wins(scores if isinstance(scores, ScoreTree) else ScoreTree(check_scores(scores), by))
+    pairs = F.col("pos").cast("double") * F.col("neg").cast("double")
+    out = won.select(by, F.try_divide("wins", pairs).alias("value"))
     return out.withColumn("na_reason", F.when(F.col("value").isNull(), NO_CONTRAST))
 
 
-def threshold_metrics(scores: DataFrame, threshold: float = 0.5, by: str = "class") -> DataFrame:
-    """``f1`` and ``balanced_accuracy`` at ``score >= threshold``, with reasons when undefined."""
-    on, is_pos = F.col("score") >= threshold, F.col("label") == 1
-    counted = scores.groupBy(by).agg(
-        F.count_if(is_pos & on).alias("tp"), F.count_if(~is_pos & ~on).alias("tn"),
-        F.count_if(~is_pos & on).alias("fp"), F.count_if(is_pos & ~on).alias("fn"),
-    )
+def threshold_metrics(scores: DataFrame | ScoreTree, threshold: float = 0.5, by: str = "class") -> DataFrame:
+    """``f1`` and ``balanced_accuracy`` at ``score >= threshold``, with reasons when undefined.
+
+    A tree knows the counts of the threshold it was made with.
+    """
+    if isinstance(scores, ScoreTree):
+        sums = scores.nodes.groupBy(by).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "on", "on_pos")])
+        tp, on, pos = F.col("on_pos"), F.col("on"), F.col("pos")
+        counted = sums.select(by, tp.alias("tp"), (F.col("n") - on - pos + tp).alias("tn"), (on - tp).alias("fp"), (pos - tp).alias("fn"))
+    else:
+        on, is_pos = F.col("score") >= threshold, F.col("label") == 1
+        counted = scores.groupBy(by).agg(
+            F.count_if(is_pos & on).alias("tp"), F.count_if(~is_pos & ~on).alias("tn"),
+            F.count_if(~is_pos & on).alias("fp"), F.count_if(is_pos & ~on).alias("fn"),
+        )
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     f1 = F.try_divide(tp * 2, tp * 2 + fp + fn)
     balanced = (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2
@@ -75,11 +82,11 @@ def threshold_metrics(scores: DataFrame, threshold: float = 0.5, by: str = "clas
 
 
 def per_class(scores: DataFrame, by: str = "class") -> DataFrame:
-    """Long rows ``class, metric, value, na_reason`` for the four classification metrics."""
-    checked = check_scores(scores)
-    ap = average_precision(checked, by).withColumn("metric", F.lit("average precision"))
-    au = auroc(checked, by).withColumn("metric", F.lit("auroc"))
-    th = threshold_metrics(checked, by=by)
+    """Long rows ``class, metric, value, na_reason`` for the four classification metrics, from one reading of the scores."""
+    tree = score_tree(check_scores(scores), by)
+    ap = average_precision(tree, by).withColumn("metric", F.lit("average precision"))
+    au = auroc(tree, by).withColumn("metric", F.lit("auroc"))
+    th = threshold_metrics(tree, by=by)
     rows = F.array(
         F.struct(F.lit("f1").alias("metric"), F.col("f1").alias("value"), F.col("f1_na_reason").alias("na_reason")),
         F.struct(

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.functions.hashing import split_hash
+from framewise.functions.permute import Permutation
 from framewise.operators.ordered import running
+from framewise.operators.radix import cut_keys
+from framewise.session import stage
 
 SPLITS = ("train", "val", "test")
 # Accepted spellings.
@@ -69,18 +72,26 @@ def _checked_count(ids: DataFrame, column: str) -> int:
 def assign(
     df: DataFrame, id_col: str, seed: int, ratios: tuple[float, float, float], check: bool = True
 ) -> DataFrame:
-    """``id, split``: ids ordered by seeded hash, the first rows train, the next val, the rest test."""
+    """``id, split``: ids ordered by seeded hash, the first rows train, the next val, the rest test.
+
+    The two cuts are found by counting hashes by their leading digits; no id is sorted or moved. Equal hashes go by id.
+    """
     ids = df.select(id_col)
     rows = _checked_count(ids, id_col) if check else ids.count()
-    hashed = ids.withColumn("__h", split_hash(F.col(id_col), seed))
-    flat = hashed.select(id_col, F.col("__h.hi").alias("__hi"), F.col("__h.lo").alias("__lo"))
-    ranked = running(flat, [], [F.col("__hi"), F.col("__lo"), F.col(id_col)], rank="__rank")
+    hashed = stage(ids.withColumn("__h", split_hash(F.col(id_col), seed)).select(id_col, F.col("__h.hi").alias("hi"), F.col("__h.lo").alias("lo")))
     sizes = split_sizes(rows, ratios)
-    edge = sizes["train"]
-    split = (
-        F.when(F.col("__rank") <= edge, "train").when(F.col("__rank") <= edge + sizes["val"], "val").otherwise("test")
-    )
-    return ranked.select(id_col, split.alias("split"))
+    train, val = cut_keys(hashed, id_col, [sizes["train"], sizes["train"] + sizes["val"]])
+    split = F.when(_upto(train, id_col), "train").when(_upto(val, id_col), "val").otherwise("test")
+    return hashed.select(id_col, split.alias("split"))
+
+
+def _upto(cut: tuple | None, id_col: str) -> Column:
+    """Keys up to and with the cut."""
+    if cut is None:
+        return F.lit(False)
+    hi, lo, last = cut
+    same_hi = F.col("hi") == hi
+    return (F.col("hi") < hi) | (same_hi & (F.col("lo") < lo)) | (same_hi & (F.col("lo") == lo) & (F.col(id_col) <= F.lit(last)))
 
 
 def enforce(samples: DataFrame, assignment: DataFrame, id_col: str = "sample_id") -> DataFrame:
@@ -146,33 +157,62 @@ def first_n(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
     return running(df, [], order, rank="__rank").where(F.col("__rank") <= n).orderBy("__rank").drop("__rank")
 
 
+def numbered(df: DataFrame, id_col: str, name: str = "row_number") -> DataFrame:
+    """The rows with their place, from 0, in the order of a unique id: ranked once, for any number of epochs.
+
+    Only ids are sorted, in pieces; the payload is joined once.
+    """
+    ranks = running(df.select(id_col), [], [F.col(id_col)], rank="__rank").select(id_col, (F.col("__rank") - 1).alias(name))
+    return ranks if df.columns == [id_col] else df.join(ranks, id_col)
+
+
+def shuffled(rows: DataFrame, n: int, size: int, seed: int, epoch: int = 0, drop_last: bool = False, number: str = "row_number") -> DataFrame:
+    """``batch_index`` and ``position`` of numbered rows in the shuffle of ``seed + epoch``: a column, no exchange and no sort."""
+    place = Permutation(n, seed + epoch).column(F.col(number))
+    out = _placed(rows.withColumn("__place", place), size)
+    return out.where(F.col("batch_index") < n // size) if drop_last else out
+
+
+def one_batch(rows: DataFrame, n: int, size: int, seed: int, epoch: int, batch_index: int, number: str = "row_number") -> DataFrame:
+    """The rows of one batch of ``shuffled``, found by their numbers: the permutation is turned back on the driver for ``size`` places.
+
+    A table that is sorted by its number is read in the files and row groups that hold them.
+    """
+    permutation = Permutation(n, seed + epoch)
+    places = range(batch_index * size, min(n, (batch_index + 1) * size))
+    numbers = {permutation.back(p): p for p in places}
+    if not numbers:
+        return _placed(rows.where("false").withColumn("__place", F.lit(0).cast("bigint")), size)
+    back = F.create_map(*[F.lit(x).cast("bigint") for pair in numbers.items() for x in pair])
+    return _placed(rows.where(F.col(number).isin(list(numbers))).withColumn("__place", F.element_at(back, F.col(number))), size)
+
+
+def _placed(df: DataFrame, size: int) -> DataFrame:
+    return df.withColumns(
+        {"batch_index": F.floor(F.col("__place") / size).cast("bigint"), "position": (F.col("__place") % size).cast("int")}
+    ).drop("__place")
+
+
 def batches(
     df: DataFrame, id_col: str, size: int, seed: int | None = None, epoch: int = 0, drop_last: bool = False,
     order: list[Column] | None = None,
 ) -> DataFrame:
-    """``batch_index`` and ``position`` of every row: input order, or a seeded shuffle (seed + epoch)."""
+    """``batch_index`` and ``position`` of every row: input order, or a seeded shuffle (seed + epoch) of the rows in id order.
+
+    For many epochs number the rows once (``numbered``) and take ``shuffled``.
+    """
     if size < 1:
         raise ValueError("batch size must be positive")
-    if seed is None:
-        keys, work = order or [F.col(id_col)], df
+    total = df.count() if seed is not None or drop_last else 0
+    if seed is not None:
+        return shuffled(numbered(df, id_col, "__number"), total, size, seed, epoch, drop_last, "__number").drop("__number")
+    keys = order or [F.col(id_col)]
+    if order is None:
+        ranked = numbered(df, id_col, "__place")
     else:
-        work = df.withColumn("__key", F.xxhash64(F.lit(seed + epoch).cast("bigint"), F.col(id_col)))
-        keys = [F.col("__key"), F.col(id_col)]
-    if order is None and df.columns != [id_col]:
-        # only ids are sorted; the payload is joined once to the ranks of its unique id
-        ranks = running(work.select(id_col, *(["__key"] if seed is not None else [])), [], keys, rank="__rank")
-        ranked = df.join(ranks.select(id_col, "__rank"), id_col)
-    else:
-        ranked = running(work, [], keys, rank="__rank")
-    ranked = ranked.withColumns(
-        {
-            "batch_index": F.floor((F.col("__rank") - 1) / size).cast("bigint"),
-            "position": ((F.col("__rank") - 1) % size).cast("int"),
-        }
-    )
-    if drop_last:
-        ranked = ranked.where(F.col("batch_index") < df.count() // size)
-    return ranked.drop("__rank", "__key")
+        ranked = running(df, [], keys, rank="__rank").withColumn("__place", F.col("__rank") - 1).drop("__rank")
+    out = _placed(ranked, size)
+    return out.where(F.col("batch_index") < total // size) if drop_last else out
 
 
 def assemble(batched: DataFrame, values: str, shape: str) -> DataFrame:

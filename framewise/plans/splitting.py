@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from framewise.functions.arrays import digest
 from framewise.functions.hashing import seed_state, split_hash
+from framewise.functions.permute import PRIME, Permutation
 from framewise.operators import splits
 from framewise.plans import views
 from framewise.plans.registry import Registry
+from framewise.session import stage
 
 reg = Registry()
 
@@ -151,6 +153,45 @@ def seeded_batches(spark, d):
     )
 
 
+def _rounds_sql(source: str, keys: list[tuple[int, int]]) -> str:
+    """One pass of the permutation: ``id, x`` of ``source`` to ``id, x``."""
+    out = f"SELECT id, x // b AS l, x % b AS r FROM {source}, size"
+    for i, (factor, summand) in enumerate(keys):
+        digit, other, whole = ("r", "l", "a") if i % 2 == 0 else ("l", "r", "b")
+        m = f"(({digit} % {PRIME}) * {factor} + {summand}) % {PRIME}"
+        moved = f"({other} + (xor({m}, ({m}) >> 15) * 48271) % {PRIME}) % {whole} AS {other}"
+        out = f"SELECT id, {moved}, {digit} FROM ({out}), size"
+    return f"SELECT id, l * b + r AS x FROM ({out}), size"
+
+
+EPOCHS = (1, 2)
+
+
+def _shuffle_sql(epoch: int) -> str:
+    keys = Permutation.round_keys(SEED + epoch)
+    return f"""(WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS a FROM documents)),
+      start AS (SELECT doc_id AS id, row_number() OVER (ORDER BY printf('sample_%06d', doc_id)) - 1 AS x FROM documents),
+      walk AS ({_rounds_sql('start', keys)} UNION ALL {_rounds_sql('(SELECT walk.* FROM walk, size WHERE x >= n)', keys)})
+      SELECT {epoch} AS epoch, id AS doc_id, x // 64 AS batch_index, (x % 64)::INT AS position FROM walk, size WHERE x < n)"""
+
+
+@reg.add("permuted_batches", " UNION ALL ".join(f"SELECT * FROM {_shuffle_sql(e)}" for e in EPOCHS))
+def permuted_batches(spark, d):
+    """Two epochs over rows that were numbered once."""
+    named = ids(spark, d).select("doc_id", "sample_id")
+    rows, n = stage(splits.numbered(named, "sample_id")), named.count()
+    epochs = [splits.shuffled(rows, n, 64, SEED, e).select(F.lit(e).alias("epoch"), "doc_id", "batch_index", "position") for e in EPOCHS]
+    return epochs[0].unionByName(epochs[1])
+
+
+@reg.add("one_batch", f"SELECT doc_id, batch_index, position FROM {_shuffle_sql(1)} WHERE batch_index = (SELECT count(*) // 128 FROM documents)")
+def one_batch(spark, d):
+    """The batch in the middle of an epoch, asked for alone."""
+    named = ids(spark, d).select("doc_id", "sample_id")
+    n = named.count()
+    return splits.one_batch(splits.numbered(named, "sample_id"), n, 64, SEED, 1, n // 128).select("doc_id", "batch_index", "position")
+
+
 @reg.add(
     "full_batches",
     """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY printf('sample_%06d', doc_id)) - 1 AS rn FROM documents)

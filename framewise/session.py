@@ -9,6 +9,8 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "framewise") -> SparkSession:
@@ -77,6 +79,25 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class RoundLog:
+    """A table that grows by one folder a round: rows are written once, and readers may ask for all rounds or for one."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rounds, self.columns = spark, [], None
+        self.path = remember(f"{shared_dir(spark).rstrip('/')}/rounds-{uuid.uuid4().hex}")
+
+    def add(self, number: int, df: DataFrame) -> None:
+        self.columns = df.schema
+        df.write.parquet(f"{self.path}/round={number}")
+        self.rounds.append(number)
+
+    def rows(self, number: int | None = None) -> DataFrame:
+        """All rows with their ``round``, or those of one round; the folder's name is the filter."""
+        whole = StructType([*self.columns.fields, StructField("round", IntegerType())])
+        df = self.spark.read.schema(whole).option("basePath", self.path).parquet(self.path)
+        return df if number is None else df.where(F.col("round") == number)
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables staged outside any scope; DataFrames built on them must no longer be used."""
     return _delete(spark, _staged)

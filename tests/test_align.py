@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from framewise import session
 from framewise.operators import align, ordered
 
 FRAME = "file_name string, segment string, timestamp_micros bigint, seq bigint"
@@ -52,6 +53,29 @@ def test_long_islands_by_rounds_match_sequential(spark, seed, span, tolerance):
     assert pairs(align.nearest(c, l, tolerance, max_fold_rows=4)) == sequential(cams, lids, tolerance)
 
 
+def test_rounds_write_only_what_is_contested(spark, monkeypatch):
+    rng = random.Random(12)
+    cams = [("f0", "s0", t, i) for i, t in enumerate(rng.sample(range(4000), 900))]
+    lids = [("f0", "s0", t + rng.randrange(-2, 3), i) for i, (_, _, t, _) in enumerate(cams)]
+    cams += [("f0", "s0", 2000 + rng.randrange(20), 900 + i) for i in range(25)]
+    logs = []
+    monkeypatch.setattr(align, "RoundLog", lambda s: logs.append(session.RoundLog(s)) or logs[-1])
+    c, l = spark.createDataFrame(cams, FRAME), spark.createDataFrame(lids, FRAME)
+    assert pairs(align.nearest(c, l, 60, max_fold_rows=4)) == sequential(cams, lids, 60)
+    (log,) = logs
+    written = [log.rows(n).count() for n in log.rounds]
+    assert len(written) > 5 and written[0] == len(cams)
+    assert written[-1] < written[0] / 10 and sum(written) < 3 * len(cams)
+
+
+def test_no_lidar_in_reach_of_a_long_island(spark):
+    cams = [("f0", "s0", 3 * i, i) for i in range(40)]
+    lids = [("f0", "s0", 1000, 0)]
+    assert pairs(align.nearest(spark.createDataFrame(cams, FRAME), spark.createDataFrame(lids, FRAME), 3, max_fold_rows=4)) == []
+    assert pairs(align._propose(spark.createDataFrame(cams, FRAME), spark.createDataFrame(lids, FRAME), spark.createDataFrame(
+        [("f0", "s0", 3 * i, 1, 0, 0, 0) for i in range(40)], "file_name string, segment string, timestamp_micros bigint, cams bigint, lids bigint, lidar_pos bigint, island bigint"), 3)) == []
+
+
 def test_exact_with_hot_keys(spark, monkeypatch):
     rng = random.Random(8)
     cams, lids = make(rng, 300, 4, 1), make(rng, 260, 4, 1)
