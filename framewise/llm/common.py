@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.session import shared_dir
+from framewise.operators.joins import HOT_PARTS, look_up  # noqa: F401  (shared by the text operators)
+from framewise.session import remember, shared_dir
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The six ASCII white-space characters as a regular-expression class body.
@@ -42,9 +43,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
 
 
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back; the path is for ``remove_table`` once it is not needed."""
+    """Writes ``df`` to the shared folder and reads it back; the path is for ``remove_table`` once it is not needed.
+
+    Like a staged table it is deleted by the scope that is open, or by ``release_staged``.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = remember(f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -52,25 +56,3 @@ def write_table(df: DataFrame) -> tuple[DataFrame, str]:
 def remove_table(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-#: A key is hot when it has more rows than this, and more than this part of all rows; so fewer than ``HOT_PARTS`` keys are hot.
-HOT_ROWS = 10_000
-HOT_PARTS = 1000
-
-
-def look_up(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame | None = None) -> DataFrame:
-    """Inner join of ``big`` with ``small``, which has one row for each key; hot keys of ``big`` spread over all tasks.
-
-    Rows of ``small`` whose key is hot in ``big`` are broadcast: there are fewer than ``HOT_PARTS`` of them, whatever the size
-    of the tables. All other keys meet in a plain join. ``counts`` may give ``on`` and ``n``, the rows of ``big`` for each key. Both
-    tables should be written ones, as they are read more than once. Null keys match nothing.
-    """
-    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")) if counts is None else counts
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(HOT_ROWS, total // HOT_PARTS)
-    if total <= limit:
-        return big.join(small, on)
-    hot = F.broadcast(counts.where(F.col("n") > limit).select(*on))
-    hot_small = F.broadcast(small.join(hot, on, "left_semi"))
-    return big.join(hot_small, on).unionByName(big.join(hot, on, "left_anti").join(small.join(hot, on, "left_anti"), on))

@@ -10,6 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import nasty
 from framewise.llm import common, line_dedup
+from framewise.operators import joins
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -67,8 +68,8 @@ def test_no_python_in_the_plan(spark):
 
 
 def test_look_up_spreads_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(common, "HOT_ROWS", 50)
-    monkeypatch.setattr(common, "HOT_PARTS", 4)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
+    monkeypatch.setattr(joins, "HOT_PARTS", 4)
     big = spark.createDataFrame([(1 if i % 2 else i, i) for i in range(400)] + [(None, -1)], "k long, v long")
     small = spark.createDataFrame([(i, f"s{i}") for i in range(0, 300)] + [(None, "none")], "k long, s string")
     joined = common.look_up(big, small, ["k"])
