@@ -22,10 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.bpe_ids import PATTERN, read_vocabulary, worker_encoder
+from framewise.llm.bpe_ids import CACHE_CHARS, PATTERN, read_vocabulary, worker_encoder
 from framewise.llm.common import keyed_texts, small_batches
 
-#: Documents (expected number, and longest) from which frequent pre-tokens are taken; entries of the broadcast table.
+#: Texts (most, and longest) from which frequent pre-tokens are taken, so at most 32 MB; entries of the broadcast table.
 SAMPLE_DOCUMENTS = 2000
 SAMPLE_TEXT_BYTES = 16 << 10
 TABLE_ENTRIES = 32768
@@ -75,9 +75,10 @@ class _Lengths(dict):
         n = self.table.get(pre_token.encode("utf-8", "surrogatepass"))
         if n < 0:
             n = len(self.encode(pre_token)) // 4
-        if len(self) >= CACHE_PRE_TOKENS:
-            self.clear()
-        self[pre_token] = n
+        if len(pre_token) <= CACHE_CHARS:
+            if len(self) >= CACHE_PRE_TOKENS:
+                self.clear()
+            self[pre_token] = n
         return n
 
 
@@ -86,11 +87,14 @@ _caches: dict[int, _Lengths] = {}
 
 
 def frequent_lengths(docs: DataFrame, vocabulary: bytes) -> LengthTable:
-    """Table of the most frequent pre-tokens of a bounded sample: documents drawn by a hash of id and text."""
-    df = keyed_texts(docs)
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    rows = df.where(drawn & (F.octet_length("text") <= SAMPLE_TEXT_BYTES)).select("text").collect()
+    """Table of the most frequent pre-tokens of a bounded sample: the different texts with the least hashes.
+
+    Hashes are reduced before anything moves, and of equal texts one is read, however many rows repeat it.
+    """
+    texts = keyed_texts(docs).where(F.octet_length("text") <= SAMPLE_TEXT_BYTES).select(F.xxhash64("text").alias("h"), "text")
+    drawn = texts.select("h").distinct().orderBy(F.xxhash64("h", F.lit("lengths")), "h").limit(SAMPLE_DOCUMENTS)
+    chosen = docs.sparkSession.createDataFrame(drawn.collect(), "h long")
+    rows = texts.join(F.broadcast(chosen), "h").groupBy("h").agg(F.min("text").alias("text")).collect()
     counts: Counter[str] = Counter()
     for row in rows:
         counts.update(_SPLIT.findall(row.text))
