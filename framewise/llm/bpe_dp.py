@@ -32,6 +32,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 CACHE_PIECES = 300_000
 CACHE_PAIRS = 1_000_000
+#: Longer words and pieces are not remembered, so that a memory has a bound in bytes too.
+CACHE_CHARS = 64
 NEVER = 1 << 60
 
 _WORD = regex.compile(WORD)
@@ -47,9 +49,10 @@ class _Grower(dict):
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) >= self.limit:
-            self.clear()
-        self[key] = value
+        if len(key) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -145,6 +148,8 @@ class PrefixBpe:
         last = self.last_tokens(symbols)
         ids, at = [], len(symbols)
         while at:
+            if not self._lengths[at]:
+                raise ValueError(f"the vocabulary has no token for a byte of {word[:40]!r}")
             ids.append(last[at])
             at -= self._lengths[at]
         return array("I", ids[::-1]).tobytes()

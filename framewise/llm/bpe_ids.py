@@ -21,6 +21,8 @@ from tokenizers import Tokenizer
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces a worker remembers; when there are more, it starts anew.
 CACHE_PIECES = 200_000
+#: Longer pieces are not remembered, so that the memory has a bound in bytes too.
+CACHE_CHARS = 64
 _UNSAFE = re.compile(r"\s \s")
 #: Characters on whose classes every splitter agrees: printable ASCII, Latin letters with marks, and line ends.
 _PLAIN = re.compile(r"[\x20-\x7e\n\tÀ-ÖØ-öø-ſ]*")
@@ -41,9 +43,11 @@ class _Pieces(dict):
         self.encode, self.limit = encode, limit
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self[piece] = self.encode(" " + piece)
+        ids = self.encode(" " + piece)
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[piece] = ids
         return ids
 
 
