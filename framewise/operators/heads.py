@@ -7,14 +7,17 @@ tasks are added by a shuffle, so the driver receives one vector whatever the num
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEMORY = 10
 DESCENT = 1e-4
+#: Entries of all Hessians that may come to the driver in a pass (32 MB), and products in one step beyond that.
+HESSIAN_VALUES = 1 << 22
+PRODUCTS = 20
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -61,11 +64,11 @@ def mapped(features: Column, df: DataFrame, weights: np.ndarray | None, centre:
 
 
 def moments(df: DataFrame, d: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and population deviation of each feature, summed around the first row to keep digits."""
-    first = df.select("features").first()
-    if first is None:
+    """Rows, mean and population deviation of each feature, summed around the least row to keep digits."""
+    least = df.agg(F.min("features")).first()[0]
+    if least is None:
         return 0, np.zeros(d), np.zeros(d)
-    origin = np.array([float(v) for v in first["features"]])
+    origin = np.array([float(v) for v in least])
 
     def part(batch: pa.RecordBatch) -> np.ndarray:
         x = matrix(batch.column("features")) - origin
@@ -111,90 +114,148 @@ def top_directions(df: DataFrame, d: int, k: int, mean: np.ndarray, rows: int, p
     return found
 
 
-def minimise(evaluate: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], start: np.ndarray, max_iter: int, tolerance: float = 1e-7) -> np.ndarray:
-    """Limited-memory quasi-Newton steps for many independent smooth problems at once, one per row of ``start``.
+@dataclass(frozen=True)
+class Losses:
+    """The loss of each head; heads are numbers of columns of ``y``. This is what tasks get."""
+
+    heads: np.ndarray
+    logistic: np.ndarray
+    huber: np.ndarray
+    delta: float
+
+    def only(self, which: np.ndarray) -> Losses:
+        return Losses(self.heads[which], self.logistic[which], self.huber[which], self.delta)
+
+    def rows(self, batch: pa.RecordBatch, w: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Features with a constant, and for each row and head the loss, its slope and its bend."""
+        x = matrix(batch.column("features"))
+        x = np.hstack([x, np.ones((len(x), 1))])
+        y = matrix(batch.column("y"))[:, self.heads]
+        z = x @ w.T
+        r = z - y
+        p = 0.5 * (1 + np.tanh(z / 2))
+        bent = np.clip(r, -self.delta, self.delta)
+        loss = np.where(self.logistic, np.logaddexp(0, z) - y * z, np.where(self.huber, bent * (r - bent / 2), r * r))
+        slope = np.where(self.logistic, p - y, np.where(self.huber, bent, 2 * r))
+        bend = np.where(self.logistic, p * (1 - p), np.where(self.huber, (np.abs(r) <= self.delta).astype(float), 2.0))
+        return x, loss, slope, bend
+
+
+class Curves:
+    """Values, gradients and curvature of many linear heads, all from one pass over the rows that are still needed.
+
+    Head ``heads[j]`` (a column of ``y``) has loss ``kinds[heads[j]]`` and penalty ``l2[j]``; the value is ``share`` times the mean of the
+    weighted loss plus half of ``l2`` times the squared weights and bias. While all Hessians together have at most
+    ``HESSIAN_VALUES`` entries a pass brings their upper halves; beyond that it brings their diagonals, and ``product`` is a pass that
+    multiplies every Hessian by a direction.
+    """
+
+    def __init__(self, train: DataFrame, d: int, kinds: list[str], heads: np.ndarray, weights: np.ndarray, l2: np.ndarray, share: np.ndarray, delta: float):
+        kind = np.array([kinds[h] for h in heads])
+        self.train, self.width, self.l2, self.losses = train, d + 1, l2, Losses(heads, kind == "logistic", kind == "huber", delta)
+        self.scale = share * weights / max(train.count(), 1)
+        self.dense = len(heads) * self.width * (self.width + 1) // 2 <= HESSIAN_VALUES
+        self.upper = np.triu_indices(self.width)
+
+    def _pass(self, size: int, part: Callable[[pa.RecordBatch, np.ndarray], np.ndarray], *sent: np.ndarray) -> np.ndarray:
+        shared = self.train.sparkSession.sparkContext.broadcast(sent)
+        total = summed(self.train, size, lambda batch: part(batch, *shared.value))
+        shared.unpersist()
+        return total
+
+    def evaluate(self, w: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature (whole matrices, or diagonals) of the heads in ``which`` at ``w``."""
+        k, width, dense, upper, losses = len(which), self.width, self.dense, self.upper, self.losses.only(which)
+        bends = len(upper[0]) if dense else width
+
+        def part(batch: pa.RecordBatch, w: np.ndarray) -> np.ndarray:
+            x, loss, slope, bend = losses.rows(batch, w)
+            if dense:
+                curve = np.stack([((x * bend[:, j : j + 1]).T @ x)[upper] for j in range(k)])
+            else:
+                curve = bend.T @ (x * x)
+            return np.concatenate([loss.sum(0), (slope.T @ x).ravel(), curve.ravel()])
+
+        total = self._pass(k * (1 + width + bends), part, w)
+        scale, l2 = self.scale[which], self.l2[which]
+        value = total[:k] * scale + 0.5 * l2 * (w * w).sum(1)
+        grad = total[k : k * (1 + width)].reshape(k, width) * scale[:, None] + l2[:, None] * w
+        curve = total[k * (1 + width) :].reshape(k, bends) * scale[:, None]
+        if not dense:
+            return value, grad, curve + l2[:, None]
+        full = np.zeros((k, width, width))
+        full[:, upper[0], upper[1]] = curve
+        full[:, upper[1], upper[0]] = curve
+        return value, grad, full + l2[:, None, None] * np.eye(width)
+
+    def product(self, w: np.ndarray, v: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Each head's Hessian at ``w`` times its row of ``v``."""
+        losses = self.losses.only(which)
+
+        def part(batch: pa.RecordBatch, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+            x, _, _, bend = losses.rows(batch, w)
+            return ((bend * (x @ v.T)).T @ x).ravel()
+
+        total = self._pass(v.size, part, w, v).reshape(v.shape)
+        return total * self.scale[which][:, None] + self.l2[which][:, None] * v
+
+    def step(self, w: np.ndarray, grad: np.ndarray, curve: np.ndarray, shift: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The Newton step, or what conjugate gradients have of it; ``shift`` is added to each diagonal."""
+        if self.dense:
+            damped = curve + shift[:, None, None] * np.eye(self.width)
+            tiny = 1e-13 * np.trace(damped, axis1=1, axis2=2) / self.width + 1e-300
+            return np.linalg.solve(damped + tiny[:, None, None] * np.eye(self.width), grad[:, :, None])[:, :, 0]
+        ease = 1.0 / np.maximum(curve + shift[:, None], 1e-12)
+        x, r = np.zeros_like(grad), grad.copy()
+        z = ease * r
+        v, rz = z.copy(), (r * z).sum(1)
+        goal = np.linalg.norm(grad, axis=1) * np.minimum(0.1, np.sqrt(np.linalg.norm(grad, axis=1)))
+        for _ in range(PRODUCTS):
+            left = np.linalg.norm(r, axis=1) > goal
+            if not left.any():
+                break
+            hv = self.product(w, v, which) + shift[:, None] * v
+            along = (v * hv).sum(1)
+            a = np.where(left & (along > 0), rz / np.where(along > 0, along, 1.0), 0.0)
+            x, r = x + a[:, None] * v, r - a[:, None] * hv
+            z = ease * r
+            now = (r * z).sum(1)
+            v, rz = z + np.where(left & (rz > 0), now / np.where(rz > 0, rz, 1.0), 0.0)[:, None] * v, now
+        return x
 
-    Every call of ``evaluate`` gives values and gradients of all problems, so they share each pass over the data.
+
+def minimise(curves: Curves, max_iter: int, tolerance: float = 1e-7) -> np.ndarray:
+    """Damped Newton steps for all heads at once; each trial of a step is one pass, and heads at their minimum leave it.
+
+    A step that does not lower the value enough is worked out again from the curvature at hand, with a larger shift.
     """
-    w = start.copy()
-    value, grad = evaluate(w)
-    history: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n = len(curves.l2)
+    w, shift = np.zeros((n, curves.width)), np.zeros(n)
+    value, grad, curve = curves.evaluate(w, np.arange(n))
+    stuck = np.zeros(n, bool)
     for _ in range(max_iter):
-        open_ = np.abs(grad).max(axis=1) > tolerance
-        if not open_.any():
+        which = np.flatnonzero((np.abs(grad).max(axis=1) > tolerance) & ~stuck)
+        if not len(which):
             break
-        q = grad.copy()
-        kept = []
-        for s, y, rho in reversed(history):
-            a = rho * (s * q).sum(1)
-            q -= a[:, None] * y
-            kept.append(a)
-        if history:
-            s, y, _ = history[-1]
-            yy = (y * y).sum(1)
-            q *= np.where(yy > 0, (s * y).sum(1) / np.where(yy > 0, yy, 1), 1.0)[:, None]
-        else:
-            q /= np.maximum(1.0, np.linalg.norm(grad, axis=1))[:, None]
-        for (s, y, rho), a in zip(history, reversed(kept)):
-            q += s * (a - rho * (y * q).sum(1))[:, None]
-        slope = -(q * grad).sum(1)
-        q = np.where((slope < 0)[:, None], q, grad)
-        slope = np.where(slope < 0, slope, -(grad * grad).sum(1))
-        step = np.where(open_, 1.0, 0.0)
-        new_w, new_value, new_grad = w.copy(), value.copy(), grad.copy()
-        waiting = open_.copy()
-        for _ in range(30):
-            trial = w - step[:, None] * q
-            f, g = evaluate(trial)
-            good = waiting & (f <= value + DESCENT * step * slope + 1e-15 * np.abs(value))
-            new_w[good], new_value[good], new_grad[good] = trial[good], f[good], g[good]
-            waiting &= ~good
-            if not waiting.any():
-                break
-            step = np.where(waiting, step / 2, step)
-        s, y = new_w - w, new_grad - grad
-        sy = (s * y).sum(1)
-        history.append((s, y, np.where(sy > 1e-14, 1.0 / np.where(sy > 1e-14, sy, 1.0), 0.0)))
-        del history[:-MEMORY]
-        stuck = waiting & open_
-        w, value, grad = new_w, new_value, np.where(stuck[:, None], 0.0, new_grad)
+        step = curves.step(w[which], grad[which], curve[which], shift[which], which)
+        slope = (step * grad[which]).sum(1)
+        trial = w[which] - step
+        f, g, c = curves.evaluate(trial, which)
+        good = (slope > 0) & (f <= value[which] - DESCENT * slope + 1e-15 * np.abs(value[which]))
+        kept, back = which[good], which[~good]
+        w[kept], value[kept], grad[kept], curve[kept] = trial[good], f[good], g[good], c[good]
+        shift[kept] = np.where(shift[kept] < 1e-8, 0.0, shift[kept] / 10)
+        diagonal = curve[back].diagonal(axis1=1, axis2=2) if curves.dense else curve[back]
+        shift[back] = np.maximum(10 * shift[back], 1e-3 * diagonal.max(axis=1) + 1e-12)
+        stuck[back] = shift[back] > 1e10 * (1 + diagonal.max(axis=1))
     return w
 
 
 def fit(
     train: DataFrame, d: int, kinds: list[str], heads: np.ndarray, weights: np.ndarray, l2: np.ndarray, share: np.ndarray, delta: float, max_iter: int
 ) -> np.ndarray:
-    """Weights and bias of each problem: head ``heads[j]`` (a column of ``y``) with penalty ``l2[j]``.
+    """Weights and bias of each problem of ``Curves``. ``train`` has ``features`` and ``y``, one entry for each head.
 
-    The value of a problem is ``share`` times the mean of its weighted loss plus half of ``l2`` times its squared weights.
-    ``train`` has ``features`` and ``y``, one entry for each head; ``kinds`` names each head's loss.
+    What reaches the driver in a pass is at most ``HESSIAN_VALUES`` curvatures and two values for each weight, added by a shuffle.
     """
-    problems = len(heads)
-    kind = np.array([kinds[h] for h in heads])
-    logistic, huber = kind == "logistic", kind == "huber"
-    rows = train.count()
-    context = train.sparkSession.sparkContext
-
-    def evaluate(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shared = context.broadcast(w)
-
-        def part(batch: pa.RecordBatch) -> np.ndarray:
-            w = shared.value
-            x = matrix(batch.column("features"))
-            x = np.hstack([x, np.ones((len(x), 1))])
-            y = matrix(batch.column("y"))[:, heads]
-            z = x @ w.T
-            r = z - y
-            p = 0.5 * (1 + np.tanh(z / 2))
-            bent = np.clip(r, -delta, delta)
-            loss = np.where(logistic, np.logaddexp(0, z) - y * z, np.where(huber, bent * (r - bent / 2), r * r))
-            slope = np.where(logistic, p - y, np.where(huber, bent, 2 * r))
-            return np.concatenate([loss.sum(0), (slope.T @ x).ravel()])
-
-        total = summed(train, problems * (d + 2), part)
-        shared.unpersist()
-        scale = share * weights / max(rows, 1)
-        value = total[:problems] * scale + 0.5 * l2 * (w * w).sum(1)
-        return value, total[problems:].reshape(problems, d + 1) * scale[:, None] + l2[:, None] * w
-
-    return minimise(evaluate, np.zeros((problems, d + 1)), max_iter)
+    return minimise(Curves(train, d, kinds, heads, weights, l2, share, delta), max_iter)

@@ -230,6 +230,49 @@ def ridge_probe(spark, d):
     return counts.select("idx", "part", (F.round("pred_log", 4) + F.lit(0.0)).alias("pred_log"))
 
 
+STEPS = 12
+
+
+def _newton_sql(y: str, slope: str, bend: str, l2: float, out: str, squares_first: bool = False) -> str:
+    """Newton steps for two features and a bias, one aggregate and a 3 x 3 system each; all weights are penalised.
+
+    With ``squares_first`` the first step is that of the squared loss, from which undamped steps settle.
+    """
+    parts = [f"WITH {TWO}, tr AS (SELECT a, b, {y} AS t FROM two WHERE part = 'train'), w0 AS (SELECT 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS wc)"]
+    for i in range(STEPS):
+        g, h = ("z - t", "1") if squares_first and i == 0 else (slope, bend)
+        parts.append(f"""r{i} AS (SELECT a, b, wa, wb, wc, wa * a + wb * b + wc AS z, t FROM tr, w{i}), s{i} AS (SELECT a, b, wa, wb, wc, {g} AS g, {h} AS h FROM r{i}),
+          m{i} AS (SELECT any_value(wa) AS wa, any_value(wb) AS wb, any_value(wc) AS wc, avg(h * a * a) + {l2} AS aa, avg(h * a * b) AS ab, avg(h * a) AS ac, avg(h * b * b) + {l2} AS bb, avg(h * b) AS bc, avg(h) + {l2} AS cc,
+            avg(g * a) + {l2} * any_value(wa) AS ga, avg(g * b) + {l2} * any_value(wb) AS gb, avg(g) + {l2} * any_value(wc) AS gc FROM s{i}),
+          d{i} AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM m{i}),
+          w{i + 1} AS (SELECT wa - (ga * (bb * cc - bc * bc) - ab * (gb * cc - bc * gc) + ac * (gb * bc - bb * gc)) / det AS wa,
+            wb - (aa * (gb * cc - bc * gc) - ga * (ab * cc - bc * ac) + ac * (ab * gc - gb * ac)) / det AS wb,
+            wc - (aa * (bb * gc - gb * bc) - ab * (ab * gc - gb * ac) + ga * (ab * bc - bb * ac)) / det AS wc FROM d{i})""")
+    return ", ".join(parts) + f" SELECT idx, part, round({out}, 5) + 0.0 AS value FROM two, w{STEPS} WHERE part IN ('train', 'eval')"
+
+
+@reg.add(
+    "logistic_probe",
+    _newton_sql("(y0 < 5)::INT", "1 / (1 + exp(-z)) - t", "1 / (1 + exp(-z)) * (1 - 1 / (1 + exp(-z)))", 0.01, "1 / (1 + exp(-(wa * a + wb * b + wc)))"),
+)
+def logistic_probe(spark, d):
+    """A logistic head on two features, against fixed Newton steps."""
+    one = two_features(spark, d).withColumn("presence", F.array(F.exists(F.slice("presence", 1, 5), lambda p: p == 1).cast("tinyint")))
+    scores, _ = probe.heads(one.withColumn("counts", F.lit(None).cast("array<double>")), probe.ProbeConfig(l2=0.01, standardize=False, balance_classes=False))
+    return scores.select("idx", "part", (F.round("score", 5) + F.lit(0.0)).alias("value"))
+
+
+@reg.add(
+    "huber_probe",
+    _newton_sql("y", "least(greatest(z - t, -0.7), 0.7)", "(abs(z - t) <= 0.7)::INT", 0.05, "wa * a + wb * b + wc", squares_first=True),
+)
+def huber_probe(spark, d):
+    """A Huber head on two features, against fixed Newton steps."""
+    one = two_features(spark, d).withColumn("presence", F.lit(None).cast("array<tinyint>")).withColumn("counts", F.slice("counts", 1, 1))
+    _, counts = probe.heads(one, probe.ProbeConfig(l2=0.05, standardize=False, huber_delta=0.7))
+    return counts.select("idx", "part", (F.round("pred_log", 5) + F.lit(0.0)).alias("value"))
+
+
 @reg.add(
     "pca_two_features",
     f"""WITH {TWO}, m AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab FROM two WHERE part = 'train'),

@@ -116,10 +116,12 @@ def test_class_weights_change_the_fit(spark):
     assert max(abs(a - b) for a, b in zip(*fits)) > 1e-4
 
 
-def test_heads_are_at_the_minimum(spark):
+@pytest.mark.parametrize("values", [1 << 22, 0])
+def test_heads_are_at_the_minimum(spark, monkeypatch, values):
     """Gradients of the stated value at the fitted weights, by differences in plain numpy."""
     from framewise.operators import heads as solver
 
+    monkeypatch.setattr(solver, "HESSIAN_VALUES", values)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(90, 3))
     y = np.column_stack([(x[:, 0] + rng.normal(size=90) > 0).astype(float), x[:, 1] * 2 + rng.standard_cauchy(90), x[:, 2]])
@@ -140,6 +142,25 @@ def test_heads_are_at_the_minimum(spark):
             assert abs(value(j, w[j] + e) - value(j, w[j] - e)) / 2e-5 < 1e-5
 
 
+def test_a_grid_takes_few_passes(spark, monkeypatch):
+    """Eight penalties of five heads: what one head needs, not a pass for each trial of each."""
+    from framewise.operators import heads as solver
+
+    passes = []
+    plain = solver.summed
+    monkeypatch.setattr(solver, "summed", lambda df, size, part: passes.append(size) or plain(df, size, part))
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6))
+    y = np.column_stack([(x[:, k] + rng.normal(size=200) > 0.5).astype(float) for k in range(3)] + [x[:, 3], np.abs(x[:, 4])])
+    df = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(x, y)], "features array<double>, y array<double>").repartition(3)
+    heads = np.tile(np.arange(5), len(probe.L2_GRID))
+    l2 = np.repeat(np.array(probe.L2_GRID), 5)
+    w = solver.fit(df, 6, ["logistic"] * 3 + ["huber"] * 2, heads, np.ones(40), l2, np.ones(40), 1.0, 200)
+    assert len(passes) <= 15 and passes[-1] < passes[0]
+    monkeypatch.setattr(solver, "HESSIAN_VALUES", 0)
+    assert np.allclose(solver.fit(df, 6, ["logistic"] * 3 + ["huber"] * 2, heads, np.ones(40), l2, np.ones(40), 1.0, 200), w, atol=1e-4)
+
+
 def test_moments_far_from_zero(spark):
     from framewise.operators.heads import moments
 
