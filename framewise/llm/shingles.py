@@ -2,11 +2,18 @@
 
 Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes of the set: two texts at 0.8 share none of them
 in about 2 of 10 000 cases. Texts under one key are compared in all pairs up to ``SMALL`` of them; a larger key compares
-each of its texts with its first and last one (in an order of its own), so a key costs no more than its members. Every
-candidate is checked on the whole sets of both texts, so no link is below the limit.
+each of its texts with its first and last one (in an order of its own). The links found so join the roots, and only large keys
+whose texts still have several roots are looked at again: up to ``CROWD`` texts are compared in one task by sketches of
+``SKETCH`` bytes, which pass pairs of two roots that look alike (two texts at 0.8 look less so in about 1 of 100 cases). Larger
+crowds are filed anew under ``FINE_BANDS`` keys of ``FINE_ROWS`` least hashes first; should such a key still hold more than ``CROWD``
+texts, which takes tens of thousands of half-alike texts, each is compared with the first and last. Every candidate is
+checked on the whole sets of both texts, so no link is below the limit.
+
+Texts stay where they are until candidates are known: keys and counts come first, and of equal texts one row is read. It is
+named by partition and number in it, so the input's partitions must be the same whenever they are read, as those of files are.
 
 Defined cases: a text with fewer words than a shingle is one shingle; a text without words has no links; null texts count
-as empty; equal texts are one node, named by the xxhash64 of the text.
+as empty; null ids do not matter; equal texts are one node, named by the xxhash64 of the text; an empty table has no links.
 """
 
 from __future__ import annotations
@@ -20,12 +27,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.common import keyed_texts, small_batches
+from framewise.llm.common import keyed_texts, look_up, small_batches
+from framewise.llm.components import components
 from framewise.session import stage
 
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 SMALL = 8
+FINE_BANDS, FINE_ROWS = 128, 12
+#: Least hashes of which each fine key takes ``FINE_ROWS``, and a sketch the lowest byte of the first ``SKETCH``.
+FINE_HASHES = 512
+CROWD, SKETCH = 1024, 256
+#: Share of equal sketch bytes from which a pair is checked: 0.8 less two and a half deviations of a sketch.
+LOOKS_ALIKE = 0.74
 SEED = 42
 SLICE = 1 << 12
 
@@ -34,6 +48,9 @@ _R = np.random.default_rng(SEED)
 _PLACE = _R.integers(0, 2**64, WIDTH, np.uint64) | np.uint64(1)
 _TURN = _R.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _ROW = _R.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_FINE_TURN = _R.integers(0, 2**64, (FINE_HASHES, 1), np.uint64) | np.uint64(1)
+_FINE_PICK = np.stack([_R.permutation(FINE_HASHES)[:FINE_ROWS] for _ in range(FINE_BANDS)])
+_FINE_ROW = _R.integers(0, 2**64, (FINE_BANDS, FINE_ROWS), np.uint64) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,16 +73,30 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def _least(shingles: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """The least hash of the set under each turn."""
+    least = np.full(len(turns), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(shingles), SLICE):
+        turned = shingles[None, at : at + SLICE] * turns
+        least = np.minimum(least, (turned ^ (turned >> np.uint64(32))).min(axis=1))
+    return least
+
+
 def band_keys(shingles: np.ndarray) -> list[int]:
     """Keys that the text is filed under; none without shingles."""
     if not len(shingles):
         return []
-    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(shingles), SLICE):
-        turned = shingles[None, at : at + SLICE] * _TURN
-        least = np.minimum(least, (turned ^ (turned >> np.uint64(32))).min(axis=1))
-    keys = _mixed((_mixed(least.reshape(BANDS, ROWS)) * _ROW).sum(axis=1, dtype=np.uint64))
-    return keys.view(np.int64).tolist()
+    least = _least(shingles, _TURN).reshape(BANDS, ROWS)
+    return _mixed((_mixed(least) * _ROW).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def crowd_keys(shingles: np.ndarray) -> tuple[bytes, list[int]]:
+    """A sketch that tells how alike two sets are, and the keys that part texts of a crowd."""
+    if not len(shingles):
+        return b"", []
+    least = _least(shingles, _FINE_TURN)
+    keys = _mixed((_mixed(least[_FINE_PICK]) * _FINE_ROW).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
+    return least[:SKETCH].astype(np.uint8).tobytes(), keys
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,9 +109,37 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches):
         sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
         columns = [
-            batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            batch.column("node"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()),
+            pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "n", "keys"])
+        yield pa.RecordBatch.from_arrays(columns, ["node", "row", "n", "keys"])
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, 128):
+        made = [crowd_keys(shingle_set(t)) for t in batch.column("text").to_pylist()]
+        columns = [batch.column("node"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["node", "sketch", "keys"])
+
+
+def _look_alike(least: float):
+    """Pairs of one key's members that have two roots, sizes that allow it, and sketches that look alike."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        a, b = [], []
+        for i in range(len(node) - 1):
+            rest = slice(i + 1, None)
+            alike = (sketch[rest] == sketch[i]).mean(axis=1) >= LOOKS_ALIKE
+            sizes = np.minimum(n[rest], n[i]) >= np.maximum(n[rest], n[i]) * least
+            found = np.flatnonzero(alike & sizes & (root[rest] != root[i])) + i + 1
+            a.append(np.full(len(found), i))
+            b.append(found)
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": node[a], "b": node[b], "root_a": root[a], "root_b": root[b]})
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,36 +158,76 @@ def _checked(least: float):
     return run
 
 
-def links(docs: DataFrame, rooted: DataFrame, least: float = LEAST) -> DataFrame:
-    """``a``, ``b``: links between the roots of similar texts; texts under one root already are not compared.
-
-    ``rooted`` has ``node`` (xxhash64 of each different text, once) and ``root``.
-    """
-    texts = keyed_texts(docs).select(F.xxhash64("text").alias("node"), "text")
-    filed = texts.mapInArrow(_filed, "node long, n long, keys array<long>").dropDuplicates(["node"]).join(rooted, "node")
-    member = F.struct("node", "root", "n")
-    under = stage(filed.select(F.explode("keys").alias("key"), member.alias("x")))
-    turn = F.xxhash64("key", "x.node")
-    first, last = F.min(F.struct(turn.alias("turn"), F.col("x").alias("x")))["x"], F.max(F.struct(turn.alias("turn"), F.col("x").alias("x")))["x"]
+def _candidates(under: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of members ``x`` (node, root, n) under one ``key`` that may be alike, and the members of large keys of several roots."""
+    turn = F.struct(F.xxhash64("key", "x.node").alias("turn"), F.col("x").alias("x"))
     keys = under.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), first.alias("first"), last.alias("last"),
+        F.count(F.lit(1)).alias("size"), F.min(turn)["x"].alias("first"), F.max(turn)["x"].alias("last"),
         (F.min("x.root") != F.max("x.root")).alias("apart"),
     ).where("apart").drop("apart")
-    placed = under.join(keys, "key")
-    ends = placed.where(F.col("size") > SMALL).select("x", F.explode(F.array("first", "last")).alias("y"))
+    keys = stage(keys)
+    placed = look_up(under, keys, ["key"], keys.select("key", F.col("size").alias("n")))
+    crowds = placed.where(F.col("size") > SMALL)
+    ends = crowds.select("x", F.explode(F.array("first", "last")).alias("y"))
     whole = placed.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list("x").alias("xs"))
     every = whole.select("xs", F.explode("xs").alias("x")).select("x", F.explode("xs").alias("y"))
     pairs = ends.union(every).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(
         (F.col("x.root") != F.col("y.root"))
         & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least))  # no pair of such sizes is more alike than their ratio
     )
-    pairs = stage(
+    return stage(
         pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b")).distinct()
-    )
+    ), crowds
+
+
+def _chosen(texts: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``node`` and ``text`` of the one row that stands for each of ``nodes``."""
+    return texts.join(rows.join(nodes, "node", "left_semi").select("row"), "row").select("node", "text")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """The roots ``a`` and ``b`` of the pairs whose whole sets are alike."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    found = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = stage(found.mapInArrow(_sets, "node long, shingles binary"))
+    sets = stage(_chosen(texts, needed, rows).mapInArrow(_sets, "node long, shingles binary"))
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     met = pairs.join(left, "a").join(right, "b").select("root_a", "root_b", "left", "right")
     return met.mapInArrow(_checked(least), "root_a long, root_b long").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+
+
+def links(docs: DataFrame, rooted: DataFrame, least: float = LEAST) -> DataFrame:
+    """``a``, ``b``: links between the roots of similar texts; texts under one root already are not compared.
+
+    ``rooted`` has ``node`` (xxhash64 of each different text, once) and ``root``.
+    """
+    texts = keyed_texts(docs).select(F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("node"), "text")
+    filed = texts.mapInArrow(_filed, "node long, row long, n long, keys array<long>").groupBy("node").agg(
+        F.min(F.struct("row", "n", "keys")).alias("one")
+    ).select("node", "one.*")
+    filed = stage(filed.join(rooted, "node"))
+    rows = filed.select("node", "row")
+    under = stage(filed.select(F.explode("keys").alias("key"), F.struct("node", "root", "n").alias("x")))
+    pairs, _ = _candidates(under, least)
+    found = stage(_alike(pairs, texts, rows, least))
+    joined = components(found).withColumnRenamed("root", "joined").withColumnRenamed("node", "old")
+    again = under.join(joined, F.col("x.root") == F.col("old"), "left").select(
+        "key", F.struct(F.col("x.node").alias("node"), F.coalesce("joined", F.col("x.root")).alias("root"), F.col("x.n").alias("n")).alias("x")
+    )
+    _, crowds = _candidates(stage(again), least)
+    crowds = stage(crowds.select("key", "size", "x.node", "x.root", "x.n"))
+    members = crowds.select("node").distinct()
+    sketches = stage(_chosen(texts, members, rows).mapInArrow(_sketched, "node long, sketch binary, keys array<long>"))
+    wide = crowds.where(F.col("size") > CROWD).select("node", "root", "n").distinct()
+    fine = stage(wide.join(sketches.select("node", F.explode("keys").alias("key")), "node"))
+    sizes = stage(fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    filed_fine = look_up(fine, sizes, ["key"], sizes.select("key", F.col("size").alias("n")))
+    near = crowds.unionByName(filed_fine.select(crowds.columns)).where(F.col("size") <= CROWD)
+    alike = near.drop("size").join(sketches.select("node", "sketch"), "node").groupBy("key").applyInArrow(
+        _look_alike(least), "a long, b long, root_a long, root_b long"
+    )
+    ends, _ = _candidates(filed_fine.where(F.col("size") > CROWD).select("key", F.struct("node", "root", "n").alias("x")), least)
+    pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "root_a", "root_b")).otherwise(
+        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b"))
+    )
+    more = stage(alike.select(pair.alias("p")).select("p.*").union(ends).distinct())
+    return found.union(_alike(more, texts, rows, least))

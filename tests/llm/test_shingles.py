@@ -53,3 +53,76 @@ def test_large_group_of_copies(spark, sf_dir):
     docs = nasty.plain(spark, [base] + [changed(base, 4, r) for _ in range(300)] + ["", "a b", None, "a b c"]).repartition(4)
     left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, sf_dir).collect()}
     assert left == {0, 301, 302, 304}
+
+
+def classes(texts, least=0.8):
+    """Classes of texts by all pairs."""
+    sets = [shingles.shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if shingles.similarity(sets[i], sets[j]) >= least:
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(texts))]
+
+
+def found_classes(spark, texts):
+    from pyspark.sql import functions as F
+
+    from framewise.llm.components import components
+
+    docs = nasty.plain(spark, texts).repartition(4)
+    rooted = docs.select(F.xxhash64("text").alias("node")).distinct().withColumn("root", F.col("node"))
+    roots = {r.node: r.root for r in components(shingles.links(docs, rooted)).collect()}
+    names = [r[0] for r in docs.orderBy("doc_id").select(F.xxhash64("text")).collect()]
+    return [roots.get(n, n) for n in names]
+
+
+def same_partition(a, b):
+    return len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_a_class_inside_a_crowd_is_whole(spark):
+    r = random.Random(11)
+    base = nasty.prose(300, 99)
+    texts = [changed(base, 3, r) for _ in range(15)] + [changed(base, 6, r) for _ in range(400)]
+    want, got = classes(texts), found_classes(spark, texts)
+    largest = max(set(want), key=want.count)
+    members = [i for i, c in enumerate(want) if c == largest]
+    assert len(members) >= 15 and len({got[i] for i in members}) == 1
+    linked = [i for i, c in enumerate(want) if want.count(c) > 1]
+    assert sum(got.count(got[i]) > 1 for i in linked) >= 0.97 * len(linked)
+
+
+@pytest.mark.parametrize("crowd", [shingles.CROWD, 40])
+def test_crowds_around_the_limit(spark, monkeypatch, crowd):
+    monkeypatch.setattr(shingles, "CROWD", crowd)
+    r = random.Random(12)
+    texts = []
+    for k in range(4):
+        base = nasty.prose(250, 500 + k)
+        texts += [changed(base, r.choice((2, 3, 4, 5, 7)), r) for _ in range(120)]
+    want, got = classes(texts), found_classes(spark, texts)
+    linked = [i for i, c in enumerate(want) if want.count(c) > 1]
+    assert len(linked) > 100 and sum(got.count(got[i]) > 1 for i in linked) >= (0.97 if crowd > 100 else 0.9) * len(linked)
+    assert all(len({want[i] for i in range(len(texts)) if got[i] == c}) == 1 for c in set(got))
+
+
+def test_empty_table_null_ids_and_repeated_rows(spark):
+    from pyspark.sql import functions as F
+
+    empty = nasty.plain(spark, [])
+    rooted = empty.select(F.xxhash64("text").alias("node"), F.xxhash64("text").alias("root"))
+    assert shingles.links(empty, rooted).collect() == []
+    base = nasty.prose(200, 4)
+    near = changed(base, 1, random.Random(1))
+    docs = spark.createDataFrame([(None, base, "en", "s", 0)] * 5 + [(None, near, "en", "s", 0)] * 4 + [(None, None, "en", "s", 0)], nasty.SCHEMA).repartition(3)
+    rooted = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")).distinct().withColumn("root", F.col("node"))
+    (link,) = shingles.links(docs, rooted).distinct().collect()
+    assert {link.a, link.b} == {r[0] for r in spark.createDataFrame([(base,), (near,)], "t string").select(F.xxhash64("t")).collect()}
