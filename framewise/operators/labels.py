@@ -52,8 +52,17 @@ def frame_validity(pairs: DataFrame, mask: str = "mask") -> DataFrame:
 
 def backfill(samples: DataFrame, boxes: DataFrame, validity: DataFrame, total_pixels: int, file_order: str = "file_name") -> DataFrame:
     """Labels of existing samples recomputed from the sources; a later file overwrites an earlier one per frame."""
+    return attach(samples, recomputed(boxes, validity, file_order), total_pixels)
+
+
+def recomputed(boxes: DataFrame, validity: DataFrame, file_order: str = "file_name") -> DataFrame:
+    """Counts and validity of each frame that the sources know; the last file wins."""
     per_file = box_counts(boxes, ["file_name", *FRAME])
     counts = first_per_key(per_file, FRAME, F.col(file_order), last=True).drop("file_name")
     valid = first_per_key(validity, FRAME, F.col(file_order), last=True).drop("file_name")
-    both = counts.join(valid, FRAME, "full_outer")
-    return attach(samples, both, total_pixels)
+    return counts.join(valid, FRAME, "full_outer")
+
+
+def label_table(frames: DataFrame, boxes: DataFrame, validity: DataFrame, total_pixels: int, file_order: str = "file_name") -> DataFrame:
+    """The narrow sister of a sample table: one row of labels for each frame key of ``frames``, without any tensor."""
+    return attach(frames.select(*FRAME).distinct(), recomputed(boxes, validity, file_order), total_pixels)

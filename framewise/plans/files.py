@@ -12,6 +12,7 @@ from framewise.functions.arrays import digest
 from framewise.plans import views
 from framewise.plans.registry import Registry
 from framewise.session import shared_dir, remember
+from framewise.sinks import layout
 from framewise.sources import filesets, tables
 
 reg = Registry()
@@ -96,20 +97,33 @@ def listing_parse_limited(spark, d):
     return filesets.listing(views.listing_lines(views.table(spark, d, "documents")), "training", limit=100, order="line_no")
 
 
-@reg.add(
-    "append_unique_files",
-    f"""WITH {FILES}, n AS (SELECT regexp_replace(uri, '_[0-9]+', '_' || (seq - seq % 2)) AS uri, seq FROM f WHERE seq % 5 <> 0)
-    SELECT uri, seq, false AS appended FROM f WHERE seq % 3 = 0
-    UNION ALL (SELECT uri, seq, true FROM n WHERE uri NOT IN (SELECT uri FROM f WHERE seq % 3 = 0)
-    QUALIFY row_number() OVER (PARTITION BY uri ORDER BY seq) = 1)""",
-)
-def append_unique_files(spark, d):
+APPENDED = f"""WITH {FILES}, k AS (SELECT uri, seq FROM f JOIN labels ON labels.doc_id = seq), n AS (SELECT regexp_replace(uri, '_[0-9]+', '_' || (seq - seq % 2)) AS uri, seq FROM f)
+    SELECT uri, seq, false AS appended FROM k
+    UNION ALL (SELECT uri, seq, true FROM n WHERE uri NOT IN (SELECT uri FROM k) QUALIFY row_number() OVER (PARTITION BY uri ORDER BY seq) = 1)"""
+
+
+def _known_and_found(spark, d):
+    """The files of all labelled documents are known; found are those of all documents, two names in one."""
     every = files(spark, d).select("uri", "seq")
-    known = every.where("seq % 3 = 0")
-    found = every.where("seq % 5 <> 0").select(
+    known = every.join(views.table(spark, d, "labels").select(F.col("doc_id").alias("seq")), "seq").select("uri", "seq")
+    found = every.select(
         F.regexp_replace("uri", F.lit("_[0-9]+"), F.concat(F.lit("_"), (F.col("seq") - F.col("seq") % 2).cast("string"))).alias("uri"), "seq"
     )
-    return filesets.append_unique(known, found)
+    return known, found
+
+
+@reg.add("append_unique_all_files", APPENDED)
+def append_unique_all_files(spark, d):
+    return filesets.append_unique(*_known_and_found(spark, d))
+
+
+@reg.add("append_unique_buckets", f"SELECT uri, seq FROM ({APPENDED})")
+def append_unique_buckets(spark, d):
+    """The same list as a table in buckets of the name, to which new files are added and nothing is rewritten."""
+    known, found = _known_and_found(spark, d)
+    table = layout.BucketTable.create(known, _scratch(spark), "uri", buckets=16)
+    table.append_unique(found, "seq")
+    return table.rows().select("uri", "seq")
 
 
 @reg.add(

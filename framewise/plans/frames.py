@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from framewise.operators import align, labels, splits
 from framewise.plans import views
 from framewise.plans.prepare import align_report
 from framewise.plans.registry import Registry
+from framewise.session import remember, shared_dir
+from framewise.sinks import layout
 from framewise.sources import scan
 
 reg = Registry()
@@ -205,9 +209,7 @@ def label_attach(spark, d):
     return labels.attach(pairs, labels.box_counts(boxes(spark, d)))
 
 
-@reg.add(
-    "label_backfill",
-    f"""WITH {CAM}, {LID}, {PAIRS}, {BOX},
+BACKFILL = f"""WITH {CAM}, {LID}, {PAIRS}, {BOX},
     last AS (SELECT segment, timestamp_micros,
        count(*) FILTER (type = 1) AS vehicle_count, count(*) FILTER (type = 2) AS pedestrian_count,
        count(*) FILTER (type = 3) AS sign_count, count(*) FILTER (type = 4) AS cyclist_count
@@ -218,17 +220,34 @@ def label_attach(spark, d):
     SELECT *, {PRESENT} FROM (SELECT c.seq, c.segment, c.timestamp_micros, {FILLED},
        coalesce(valid_pixels, 0) AS valid_pixels, 2::BIGINT AS total_pixels,
        (CASE WHEN valid_pixels = 1 THEN 0.5 ELSE 0.0 END)::DOUBLE AS valid_fraction
-       FROM cam c LEFT JOIN last USING (segment, timestamp_micros) LEFT JOIN v USING (segment, timestamp_micros))""",
-)
+       FROM cam c LEFT JOIN last USING (segment, timestamp_micros) LEFT JOIN v USING (segment, timestamp_micros))"""
+
+
+@reg.add("label_backfill", BACKFILL)
 def label_backfill(spark, d):
     """Boxes are spread over three source files; the last file that knows a frame wins."""
+    samples, raw, valid = _backfill_sources(spark, d)
+    return labels.backfill(samples, raw, valid, total_pixels=2)
+
+
+def _backfill_sources(spark, d):
     cam, lid = camera(spark, d), lidar(spark, d)
     raw = views.raw_boxes(events(spark, d)).withColumn("file_name", F.format_string("part-%02d", F.col("seq") % 3))
     pairs = align.exact(cam, lid).where("lidar_seq % 7 <> 0").select(
         "file_name", "segment", "timestamp_micros", F.array(F.lit(1.0), F.lit(0.0)).alias("mask")
     )
-    samples = cam.select("seq", "segment", "timestamp_micros")
-    return labels.backfill(samples, scan.box_rows(raw), labels.frame_validity(pairs), total_pixels=2)
+    return cam.select("seq", "segment", "timestamp_micros"), scan.box_rows(raw), labels.frame_validity(pairs)
+
+
+@reg.add("label_backfill_bucketed", BACKFILL)
+def label_backfill_bucketed(spark, d):
+    """The same labels from a sister table: samples are bucketed once, a backfill rewrites labels only."""
+    samples, raw, valid = _backfill_sources(spark, d)
+    names = {n: f"framewise_{n}_{uuid.uuid4().hex}" for n in ("samples", "labels")}
+    paths = {n: remember(f"{shared_dir(spark).rstrip('/')}/{t}") for n, t in names.items()}
+    layout.write_bucketed(samples, names["samples"], paths["samples"], labels.FRAME, 8)
+    layout.write_bucketed(labels.label_table(spark.table(names["samples"]), raw, valid, 2), names["labels"], paths["labels"], labels.FRAME, 8)
+    return layout.labelled(spark, names["samples"], names["labels"], labels.FRAME)
 
 
 @reg.add(

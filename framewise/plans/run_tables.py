@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framewise.operators import runs
 from framewise.plans import views
 from framewise.plans.registry import Registry, r6
+from framewise.session import remember, shared_dir
+from framewise.sinks import layout
 
 reg = Registry()
 
@@ -105,17 +109,32 @@ def epoch_curve_buckets(spark, d):
     return out.select("run_name", F.array_join(F.transform("buckets", lambda b: b.cast("string")), ",").alias("buckets"))
 
 
-@reg.add(
-    "run_index_upsert",
-    """WITH n AS (SELECT 'run-' || o_custkey AS run_id, o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0
+UPSERTED = """WITH n AS (SELECT 'run-' || o_custkey AS run_id, o_orderkey, o_orderstatus AS status FROM orders
       QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-    SELECT * FROM n UNION ALL SELECT 'run-' || c_custkey, 0, 'old' FROM customer WHERE 'run-' || c_custkey NOT IN (SELECT run_id FROM n)""",
-)
-def run_index_upsert(spark, d):
+    SELECT * FROM n UNION ALL SELECT 'run-' || c_custkey, 0, 'old' FROM customer WHERE 'run-' || c_custkey NOT IN (SELECT run_id FROM n)"""
+
+
+def _run_index(spark, d):
+    """An index with every customer as an old run, and every order as a new one."""
     old = views.table(spark, d, "customer").select(
         F.concat(F.lit("run-"), F.col("c_custkey").cast("string")).alias("run_id"), F.lit(0).cast("bigint").alias("o_orderkey"), F.lit("old").alias("status")
     )
-    new = views.table(spark, d, "orders").where("o_orderkey % 2 = 0").select(
+    new = views.table(spark, d, "orders").select(
         F.concat(F.lit("run-"), F.col("o_custkey").cast("string")).alias("run_id"), "o_orderkey", F.col("o_orderstatus").alias("status")
     )
-    return runs.upsert(old, new, order="o_orderkey")
+    return old, new
+
+
+@reg.add("run_index_upsert_all", UPSERTED)
+def run_index_upsert_all(spark, d):
+    return runs.upsert(*_run_index(spark, d), order="o_orderkey")
+
+
+@reg.add("run_index_buckets", UPSERTED)
+def run_index_buckets(spark, d):
+    """The same upsert into an index in buckets of the run id, of which only those that new runs hit are rewritten."""
+    old, new = _run_index(spark, d)
+    path = remember(f"{shared_dir(spark).rstrip('/')}/runs-{uuid.uuid4().hex}")
+    index = layout.BucketTable.create(old, path, "run_id", buckets=16)
+    index.upsert(new, "o_orderkey")
+    return index.rows()

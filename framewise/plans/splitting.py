@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framewise.functions.arrays import digest
@@ -10,7 +12,8 @@ from framewise.functions.permute import PRIME, Permutation
 from framewise.operators import splits
 from framewise.plans import views
 from framewise.plans.registry import Registry
-from framewise.session import stage
+from framewise.session import remember, shared_dir, stage
+from framewise.sinks import layout
 
 reg = Registry()
 
@@ -211,6 +214,16 @@ def sample_by_id(spark, d):
     return splits.by_id(named, wanted).select("doc_id", "source")
 
 
+@reg.add("sample_by_id_sorted", "SELECT doc_id, source FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def sample_by_id_sorted(spark, d):
+    """The same look-up in a table sorted by id, whose statistics and Bloom filters name the row groups to read."""
+    named = views.table(spark, d, "documents").select("doc_id", "source", F.format_string("sample_%06d", "doc_id").alias("sample_id"))
+    path = remember(f"{shared_dir(spark).rstrip('/')}/samples-{uuid.uuid4().hex}")
+    layout.write_by_id(named, path)
+    wanted = spark.read.parquet(path).agg(F.max("sample_id")).first()[0]
+    return layout.find(spark, path, wanted).select("doc_id", "source")
+
+
 @reg.add(
     "batch_assembly",
     """WITH r AS (SELECT *, row_number() OVER (ORDER BY printf('sample_%06d', vec_id)) - 1 AS rn FROM embeddings),
