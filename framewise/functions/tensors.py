@@ -99,12 +99,12 @@ def max_norm(values: Column) -> Column:
 def channel_list(channels: list[str]) -> list[str]:
     """Canonical channel names; unknown names or an empty list are errors."""
     if not channels:
-        raise ValueError("at least one range channel is required")
+        raise ValueError("no range channel is named")
     out = []
     for name in channels:
         key = name.strip().lower()
         if key not in CHANNEL_NAMES:
-            raise ValueError(f"unknown range channel: {name}")
+            raise ValueError(f"{name} is no range channel")
         out.append(CHANNEL_NAMES[key])
     return out
 

@@ -44,10 +44,10 @@ def payload_sizes(df: DataFrame, col: str = "embedding", policy: str = "asymmetr
 def bpp(total_bytes: Column, samples: Column, pixels_per_sample: int) -> Column:
     """Bits per pixel; a zero denominator is an error."""
     if pixels_per_sample <= 0:
-        raise ValueError("bpp denominator cannot be zero")
+        raise ValueError("there is no pixel to spread the bytes over")
     pixels = samples * F.lit(pixels_per_sample)
     return F.when(pixels > 0, F.try_divide(total_bytes * 8.0, pixels.cast("double"))).otherwise(
-        F.raise_error(F.lit("bpp denominator cannot be zero"))
+        F.raise_error(F.lit("there is no pixel to spread the bytes over"))
     )
 
 

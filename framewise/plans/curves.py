@@ -90,3 +90,18 @@ def matched_to_own_points(spark, d):
     return out.select(
         "curve", *five, F.round("rate", 4).alias("rate"), "nearest_psnr_db", "quality_control", r6("raw_rate_bpp"), r6("quantized_rate_bpp")
     )
+
+
+@reg.add(
+    "rd_summary_own_points",
+    f"""WITH {OWN}, {OWN_POINTS}, {RATED.replace(TGT, "tg AS (SELECT p AS target FROM own WHERE point = 'raw_f32' OR abs(p - (SELECT p FROM own WHERE point = 'raw_f32')) > 1e-4)")}, {NEAR}
+    SELECT 'latent-' || point AS method, 'intra' AS mode, '-' AS quality, round(max(latent_bytes) * 8.0::DOUBLE / (max(samples) * 48), 4) AS rate_bpp,
+      round(avg(psnr_db), 5) AS psnr_db, round(avg(mse), 8) AS mse FROM o GROUP BY point
+    UNION ALL SELECT p_brand, p_type, p_size::VARCHAR, round(p_retailprice, 4), p_size, round(1.0::DOUBLE / (p_size + 1), 8) FROM part
+    UNION ALL SELECT curve, 'matched', 'interp@psnr=' || printf('%.2f', target), round(ra.rate, 4), ne.psnr_db, NULL FROM ra JOIN ne USING (curve, target) WHERE reason IS NULL""",
+)
+def rd_summary_own_points(spark, d):
+    """The summary at the quality that the raw and quantised points reach themselves."""
+    own, pts = points_of(spark, d), points(spark, d)
+    out = ratedist.summary_rows(own, pts, ratedist.matched_to(own, pts))
+    return out.select("method", "mode", "quality", F.round("rate_bpp", 4).alias("rate_bpp"), F.round("psnr_db", 5).alias("psnr_db"), F.round("mse", 8).alias("mse"))

@@ -151,8 +151,8 @@ def split_shortfall(spark, d):
       CASE WHEN seq % 8 <> 0 THEN size_bytes + CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END END AS length FROM f)
     SELECT target_path, CASE WHEN length IS NULL THEN 'failed' WHEN size_bytes IS NULL THEN 'downloaded'
       WHEN size_bytes = length THEN 'verified' ELSE 'failed' END AS status,
-      CASE WHEN length IS NULL THEN 'missing file: ' || file_name
-      WHEN size_bytes <> length THEN 'downloaded size mismatch for ' || file_name || ': expected ' || size_bytes || ' bytes, got ' || length END AS error
+      CASE WHEN length IS NULL THEN 'file is not there: ' || file_name
+      WHEN size_bytes <> length THEN file_name || ' has ' || length || ' bytes instead of ' || size_bytes END AS error
     FROM e""",
 )
 def reconcile_sizes(spark, d):
@@ -193,8 +193,8 @@ def fetch_plan_targets(spark, d):
 @reg.add(
     "fetch_plan_warnings",
     f"""WITH {FILES} SELECT NULL::VARCHAR AS split, NULL::BIGINT AS requested, 0::BIGINT AS available,
-      'skipped raw file with unrecognized split prefix: ' || object_path AS message FROM f WHERE split = 'other'
-    UNION ALL SELECT 'val', 100000, count(*), 'requested 100000 val file(s), but only ' || count(*) || ' available'
+      'no split in the path, left out: ' || object_path AS message FROM f WHERE split = 'other'
+    UNION ALL SELECT 'val', 100000, count(*), 'val: 100000 files asked for, ' || count(*) || ' found'
     FROM f WHERE split = 'validation' HAVING count(*) < 100000""",
 )
 def fetch_plan_warnings(spark, d):
@@ -238,14 +238,8 @@ def epoch_metrics_scan(spark, d):
     return tables.epoch_metrics(spark, path, "epoch int, train_loss double, samples bigint")
 
 
-@reg.add(
-    "corrupt_record_report",
-    """SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' ELSE 'version_mismatch' END AS kind, 'part-' || event_id AS location,
-    CASE WHEN event_id % 50 = 0 THEN 'record is not valid JSON for this table'
-    ELSE 'expected schema version 1, found ' || CASE WHEN event_id % 50 = 1 THEN '2' ELSE 'none' END END AS message
-    FROM events WHERE event_id % 50 < 3""",
-)
-def corrupt_record_report(spark, d):
+def _damaged_lines(events):
+    """JSON lines of which some are cut short, or carry another version or none."""
     i = F.col("event_id")
     body = F.concat(F.lit('{"event_id": '), i.cast("string"), F.lit(', "schema_version": '))
     text = (
@@ -254,7 +248,18 @@ def corrupt_record_report(spark, d):
         .when(i % 50 == 2, F.concat(F.lit('{"event_id": '), i.cast("string"), F.lit("}")))
         .otherwise(F.concat(body, F.lit("1}")))
     )
-    raw = views.table(spark, d, "events").select(text.alias("value"), F.concat(F.lit("part-"), i.cast("string")).alias("file_name"))
+    return events.select(text.alias("value"), F.concat(F.lit("part-"), i.cast("string")).alias("file_name"))
+
+
+@reg.add(
+    "corrupt_record_report",
+    """SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' ELSE 'version_mismatch' END AS kind, 'part-' || event_id AS location,
+    CASE WHEN event_id % 50 = 0 THEN 'record is not valid JSON for this table'
+    ELSE 'expected schema version 1, found ' || CASE WHEN event_id % 50 = 1 THEN '2' ELSE 'none' END END AS message
+    FROM events WHERE event_id % 50 < 3""",
+)
+def corrupt_record_report(spark, d):
+    raw = _damaged_lines(views.table(spark, d, "events"))
     parsed = raw.withColumn(
         "r",
         F.from_json(
@@ -265,6 +270,47 @@ def corrupt_record_report(spark, d):
     return tables.corruption_diagnostics(parsed, 1).select("kind", "location", "message")
 
 
+@reg.add(
+    "corrupt_files_report",
+    """SELECT CASE WHEN event_id % 50 = 0 THEN 'malformed' ELSE 'version_mismatch' END AS kind,
+    CASE WHEN event_id % 50 = 0 THEN 'record is not valid JSON for this table'
+    ELSE 'expected schema version 1, found ' || CASE WHEN event_id % 50 = 1 THEN '2' ELSE 'none' END END AS message, count(*) AS n, true AS named
+    FROM events WHERE event_id % 50 < 3 GROUP BY ALL""",
+)
+def corrupt_files_report(spark, d):
+    """Files with broken lines, blank lines and rows of other versions, read back as diagnostics."""
+    path = _scratch(spark)
+    lines = _damaged_lines(views.table(spark, d, "events")).select("value")
+    lines.unionByName(lines.select(F.lit("  ").alias("value"))).write.text(path)
+    found = tables.corrupt_rows(spark, path, "event_id bigint, schema_version int", 1)
+    return found.groupBy("kind", "message").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("location").startswith("part-")).alias("named"))
+
+
+@reg.add(
+    "tensor_bytes_decode_small",
+    """WITH k AS (SELECT vec_id, list_transform(embedding, lambda e: least(greatest(floor((e::DOUBLE + 1) / 2 * 255), 0), 255)) AS k FROM embeddings)
+    SELECT vec_id, 'u8' AS dtype, len(k) AS n, round(list_sum(k), 6) + 0.0 AS total, round(list_sum(list_transform(k, lambda e, i: e * i)), 5) + 0.0 AS weighted FROM k
+    UNION ALL SELECT vec_id, 'f16', len(k), round(list_sum(k) / 256, 6) + 0.0, round(list_sum(list_transform(k, lambda e, i: e * i / 256)), 5) + 0.0 FROM k""",
+)
+def tensor_bytes_decode_small(spark, d):
+    """Vectors as bytes and as half-precision floats, decoded by the scan; both hold these values exactly."""
+
+    def packed(dtype: str, divisor: int):
+        @F.pandas_udf("binary")
+        def pack(v: pd.Series) -> pd.Series:
+            return v.map(lambda a: (np.clip(np.floor((np.asarray(a, np.float64) + 1) / 2 * 255), 0, 255) / divisor).astype(tables.DTYPES[dtype]).tobytes())
+
+        return pack
+
+    vectors = views.table(spark, d, "embeddings")
+    parts = []
+    for dtype, divisor in (("u8", 1), ("f16", 256)):
+        raw = vectors.select("vec_id", packed(dtype, divisor)("embedding").alias("content"))
+        decoded = raw.select("vec_id", F.lit(dtype).alias("dtype"), tables.decode(F.col("content"), dtype).alias("values"))
+        parts.append(decoded.select("vec_id", "dtype", *digest(F.col("values"))))
+    return parts[0].unionByName(parts[1])
+
+
 @reg.add(
     "sample_table_write",
     """SELECT CASE vec_id % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split, count(*) AS n,

@@ -192,13 +192,13 @@ def fetch_plan(
         F.lit(None).cast("string").alias("split"),
         F.lit(None).cast("bigint").alias("requested"),
         F.lit(0).cast("bigint").alias("available"),
-        F.concat(F.lit("skipped raw file with unrecognized split prefix: "), "object_path").alias("message"),
+        F.concat(F.lit("no split in the path, left out: "), "object_path").alias("message"),
     )
     missing = budget.where(F.col("requested") > F.col("available")).select(
         "split", "requested", "available",
         F.concat(
-            F.lit("requested "), F.col("requested").cast("string"), F.lit(" "), F.col("split"),
-            F.lit(" file(s), but only "), F.col("available").cast("string"), F.lit(" available"),
+            F.col("split"), F.lit(": "), F.col("requested").cast("string"), F.lit(" files asked for, "),
+            F.col("available").cast("string"), F.lit(" found"),
         ).alias("message"),
     )
     return plan, unknown.unionByName(missing)
@@ -218,12 +218,9 @@ def reconcile_sizes(expected: DataFrame, actual: DataFrame) -> DataFrame:
         )
         .withColumn(
             "error",
-            F.when(have.isNull(), F.concat(F.lit("missing file: "), "file_name")).when(
+            F.when(have.isNull(), F.concat(F.lit("file is not there: "), "file_name")).when(
                 want != have,
-                F.concat(
-                    F.lit("downloaded size mismatch for "), "file_name", F.lit(": expected "), want.cast("string"),
-                    F.lit(" bytes, got "), have.cast("string"),
-                ),
+                F.concat("file_name", F.lit(" has "), have.cast("string"), F.lit(" bytes instead of "), want.cast("string")),
             ),
         )
     )
