@@ -11,7 +11,7 @@ component's first member for each fingerprint; links of all files meet in distri
 Defined cases: null and empty texts have fingerprint zero and link like any other; equal texts and repeated rows share a
 fingerprint, hence a component; a null ``doc_id`` never names a component unless it is alone in it; an empty table gives
 an empty table. Only ``doc_id`` and ``text`` are read, so other columns never clash. A file with over ``HOT_FILE``
-members is split under four blocks of the 48 remaining bits, which keeps every link for the same reason.
+members is split under four blocks of the 48 remaining bits, and again while it is too full; links stay for the same reason.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm import shingles
@@ -35,6 +35,8 @@ SEED = 42
 MAX_BITS = 3
 #: Members of one file beyond which it is split again. It changes the plan, never the links.
 HOT_FILE = 200_000
+#: Names of hot files that may be broadcast (8 MB).
+HOT_NAMES = 1 << 20
 #: Pairs of nodes that are expanded together; bounds memory.
 BLOCK = 1 << 20
 
@@ -223,28 +225,57 @@ def _task_links(max_bits: int):
     return run
 
 
+def _split(files: DataFrame, width: int) -> DataFrame:
+    """Members of files that agree on all but ``width`` bits (``rest``), filed under each of four blocks of those.
+
+    Two members within three bits agree on one of the four, as they did before.
+    """
+    size = width // 4
+
+    def under(k: int) -> Column:
+        low = width - size * (k + 1)
+        value = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
+        above = F.shiftleft(F.shiftrightunsigned("rest", low + size), low)
+        rest = above.bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << low) - 1)))
+        return F.struct(F.xxhash64("file", F.lit(k), value).alias("file"), rest.alias("rest"))
+
+    return files.select("turn", "code", F.explode(F.array(*[under(k) for k in range(4)])).alias("x")).select("turn", "code", "x.file", "x.rest")
+
+
+def _files(fps: DataFrame, hot_file: int) -> DataFrame:
+    """``turn``, ``code`` (the fingerprint turned by it) and ``file``: four files for each fingerprint, and four for each again while
+    its file holds more than ``hot_file``.
+
+    A file is named by a hash of the blocks its members share; two files of one name would only be compared too. After five
+    splits fewer than sixteen bits are left, so a file holds fewer than 65536 different codes and none is hot.
+    """
+    turned = fps.select(
+        F.explode(F.array(*[F.struct(F.lit(16 * k).cast("long").alias("turn"), _rotated(F.col("fp"), 16 * k).alias("code")) for k in range(4)])).alias("x")
+    ).select("x.turn", "x.code")
+    now = turned.select(
+        "turn", "code", F.xxhash64("turn", F.shiftrightunsigned("code", 48)).alias("file"), F.col("code").bitwiseAND(F.lit((1 << 48) - 1)).alias("rest")
+    )
+    width, done = 48, None
+    while True:
+        hot = stage(now.groupBy("file").count().where(F.col("count") > hot_file).select("file"))
+        n = hot.count() if width >= 8 else 0
+        if n:
+            hot = F.broadcast(hot) if n <= HOT_NAMES else hot
+            cool = now.join(hot, "file", "left_anti")
+            now, width = stage(_split(now.join(hot, "file", "left_semi"), width)), width - width // 4
+        else:
+            cool = now
+        cool = cool.select("file", "turn", "code")
+        done = cool if done is None else done.unionByName(cool)
+        if not n:
+            return done
+
+
 def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_file: int = HOT_FILE) -> DataFrame:
     """``a``, ``b``: links whose components are those of all pairs of distinct ``fp`` within ``max_bits`` bits."""
     if max_bits > 3:
         raise ValueError("four blocks prove at most three differing bits")
-    turned = fps.select(
-        F.explode(F.array(*[F.struct(F.lit(16 * k).alias("turn"), _rotated(F.col("fp"), 16 * k).alias("code")) for k in range(4)])).alias("x")
-    ).select("x.turn", "x.code")
-    block = F.shiftrightunsigned("code", 48)
-    filed = turned.select("turn", "code", F.shiftleft((F.col("turn") / 16).cast("long"), 16).bitwiseOR(block).alias("top"))
-    # There are 4 * 65536 tops at most, so this table is small at any input size.
-    hot = filed.groupBy("top").count().where(F.col("count") > hot_file).select("top", F.lit(True).alias("hot"))
-    marked = filed.join(F.broadcast(hot), "top", "left")
-    sub = F.array(
-        *[
-            (F.lit(1 + k) * 4096 + F.shiftrightunsigned("code", 36 - 12 * k).bitwiseAND(F.lit(4095))).cast("long")
-            for k in range(4)
-        ]
-    )
-    split = marked.withColumn("sub", F.explode(F.when(F.col("hot"), sub).otherwise(F.array(F.lit(0).cast("long")))))
-    placed = split.select(
-        (F.col("top") * 32768 + F.col("sub")).alias("file"), F.col("turn").cast("long").alias("turn"), _gray_rank(F.col("code")).alias("rank")
-    )
+    placed = _files(fps, hot_file).select("file", "turn", _gray_rank(F.col("code")).alias("rank"))
     spread = placed.repartition(F.col("file")).sortWithinPartitions("file", "rank")
     return spread.mapInArrow(_task_links(max_bits), "a long, b long")
 

@@ -321,7 +321,7 @@ def test_fingerprint_and_components(spark, docs, awkward):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("hot", [5, 200_000])
+@pytest.mark.parametrize("hot", [5, 200_000, 6])
 def test_links_equal_all_pairs(spark, hot):
     r = random.Random(9)
     centres = [r.getrandbits(64) for _ in range(25)]
@@ -444,3 +444,19 @@ def test_native_plans_run_no_python(spark, docs):
     for df in (line_rules.judge(docs), line_rules.clean(docs), sharding.shard(docs)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hot_files_are_split_until_they_are_not(spark):
+    """Fingerprints that agree on 40 bits: two splits do not part them."""
+    r = random.Random(31)
+    head = r.getrandbits(40) << 24
+    values = sorted({head | r.getrandbits(24) for _ in range(3000)})
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    fps = spark.createDataFrame(signed, "fp long")
+    files = simhash._files(fps, 150)
+    sizes = [row["count"] for row in files.groupBy("file").count().collect()]
+    assert max(sizes) <= 150
+    links = simhash.links(fps, hot_file=150)
+    root = {row.node: row.root for row in components.components(links).collect()}
+    got, groups = [root.get(s, s) for (s,) in signed], brute_groups(values)
+    assert len(set(zip(got, groups))) == len(set(got)) == len(set(groups))
