@@ -34,10 +34,10 @@ from framewise.session import stage
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 SMALL = 8
-FINE_BANDS, FINE_ROWS = 128, 12
+FINE_BANDS, FINE_ROWS = 32, 8
 #: Least hashes of which each fine key takes ``FINE_ROWS``, and a sketch the lowest byte of the first ``SKETCH``.
 FINE_HASHES = 512
-CROWD, SKETCH = 1024, 256
+CROWD, SKETCH = 2048, 256
 #: Share of equal sketch bytes from which a pair is checked: 0.8 less two and a half deviations of a sketch.
 LOOKS_ALIKE = 0.74
 SEED = 42
@@ -219,7 +219,8 @@ def links(docs: DataFrame, rooted: DataFrame, least: float = LEAST) -> DataFrame
     sketches = stage(_chosen(texts, members, rows).mapInArrow(_sketched, "node long, sketch binary, keys array<long>"))
     wide = crowds.where(F.col("size") > CROWD).select("node", "root", "n").distinct()
     fine = stage(wide.join(sketches.select("node", F.explode("keys").alias("key")), "node"))
-    sizes = stage(fine.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    apart = F.min("root") != F.max("root")
+    sizes = stage(fine.groupBy("key").agg(F.count(F.lit(1)).alias("size"), apart.alias("apart")).where("apart").drop("apart"))
     filed_fine = look_up(fine, sizes, ["key"], sizes.select("key", F.col("size").alias("n")))
     near = crowds.unionByName(filed_fine.select(crowds.columns)).where(F.col("size") <= CROWD)
     alike = near.drop("size").join(sketches.select("node", "sketch"), "node").groupBy("key").applyInArrow(
