@@ -47,6 +47,29 @@ def round_half_away(x: Column) -> Column:
     return F.signum(d) * F.floor(F.abs(d) + F.lit(0.5)).cast("double")
 
 
+def fixed6(x: Column) -> Column:
+    """Six decimals of the exact binary value, halves to even, as C's ``%.6f``; ``format_string`` rounds halves of the shortest text up.
+
+    The fraction is cut at 38 bits: the upper part times a million is exact, the lower part only decides which half it lies in.
+    NaN, infinities and values of 2^63 and above are left to ``format_string``.
+    """
+    d = x.cast("double")
+    size = F.abs(d)
+    whole = F.floor(size)
+    fraction = size - whole.cast("double")
+    upper = F.floor(fraction * F.lit(float(1 << 38))).cast("double") / F.lit(float(1 << 38))
+    scaled = upper * F.lit(1e6)
+    steps = F.floor(scaled)
+    to_half, lower = F.lit(0.5) - (scaled - steps.cast("double")), (fraction - upper) * F.lit(1e6)
+    up = (lower > to_half) | ((lower == to_half) & (steps % 2 == 1))
+    millionths = steps + up.cast("long")
+    over = millionths == 1_000_000
+    sign = F.when(F.startswith(d.cast("string"), F.lit("-")), "-").otherwise("")
+    digits = F.lpad(F.when(over, F.lit(0)).otherwise(millionths).cast("string"), 6, "0")
+    text = F.concat(sign, (whole + over.cast("long")).cast("string"), F.lit("."), digits)
+    return F.when(size < F.lit(float(1 << 63)), text).otherwise(F.format_string("%.6f", d))
+
+
 def is_finite(x: Column) -> Column:
     d = x.cast("double")
     return ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))

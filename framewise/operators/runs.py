@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import let, positions, round_half_away
+from framewise.functions.arrays import fixed6, let, positions, round_half_away
 from framewise.operators.ordered import first_per_key, running
 
 EVAL_PRIORITY = ("val", "test", "train")
@@ -48,7 +48,7 @@ def _fixed(value: Column) -> Column:
     return (
         F.when(value.isNull(), "-")
         .when(value == F.lit(float("inf")), "inf")
-        .otherwise(F.format_string("%.6f", value.cast("double")))
+        .otherwise(fixed6(value))
     )
 
 
