@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewise.functions.arrays import fixed6
 from framewise.functions.tensors import MAX_RANGE_METERS, RANGE_HEIGHT, RANGE_WIDTH, channel_list
 from framewise.operators.labels import BENCHMARKABLE, CLASSES
 
@@ -58,9 +59,6 @@ def write_eval_csv(sample_eval: DataFrame, path: str) -> None:
 def eval_summary_rows(summary: DataFrame) -> DataFrame:
     """Markdown table lines per split and modality; a split without any modality has one ``None`` line."""
 
-    def fixed(c: str) -> Column:
-        return F.format_string("%.6f", F.col(c))
-
     def text(c: str) -> Column:
         return F.coalesce(metric_text(F.col(c)), F.lit("-"))
 
@@ -68,8 +66,8 @@ def eval_summary_rows(summary: DataFrame) -> DataFrame:
 
     def line(label: str, m: str, depth: list[Column]) -> Column:
         cells = [
-            F.lit(label), fixed(f"{m}.mean_mse"), fixed(f"{m}.mean_mae"), fixed(f"{m}.mean_rmse"),
-            text(f"{m}.mean_psnr_db"), text(f"{m}.mean_ssim"), *depth, fixed(f"{m}.std_mse"),
+            F.lit(label), fixed6(F.col(f"{m}.mean_mse")), fixed6(F.col(f"{m}.mean_mae")), fixed6(F.col(f"{m}.mean_rmse")),
+            text(f"{m}.mean_psnr_db"), text(f"{m}.mean_ssim"), *depth, fixed6(F.col(f"{m}.std_mse")),
         ]
         return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
 

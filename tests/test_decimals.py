@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from framewise.functions.arrays import fixed6
 from framewise.operators import runs
+from framewise.sinks import writers
 
 TIES = {0.0078125: "0.007812", 0.0234375: "0.023438", 83.4375: "83.437500", 83.8515625: "83.851562", 0.6953125: "0.695312"}
 
@@ -37,3 +38,17 @@ def test_comparison_rounds_halves_to_even(spark):
     got = runs.comparison(table, _evals(spark)).orderBy("run_order").collect()
     for r, text in zip(got, TIES.values()):
         assert (r.final_train_loss, r.rgb_mse, r.range_psnr, r.range_valid_frac) == (text,) * 4
+
+
+def test_report_rows_round_halves_to_even(spark):
+    got = {(r.run_name, r.modality): r for r in runs.report_rows(_evals(spark)).collect()}
+    for k, text in enumerate(TIES.values()):
+        assert got[f"r{k}", "RGB"].mean_ssim == text and got[f"r{k}", "Range"].mean_depth_mae_m == text
+
+
+def test_summary_lines_round_halves_to_even(spark):
+    means = "struct<mean_mse:double,mean_mae:double,mean_rmse:double,mean_psnr_db:double,mean_ssim:double,std_mse:double>"
+    depth = "struct<mean_mae_m:double,mean_rmse_m:double,mean_d125:double,mean_d125_sq:double,mean_valid_fraction:double>"
+    df = spark.createDataFrame([("val", 3, (0.6953125, 0.0078125, 83.8515625, None, None, 0.0234375), None, None)], f"split string, n_samples long, rgb {means}, range {means}, depth {depth}")
+    line = writers.eval_summary_rows(df).collect()[0].line
+    assert line.split(" | ")[1:4] == ["0.695312", "0.007812", "83.851562"] and line.endswith("| 0.023438 |")
