@@ -82,17 +82,21 @@ def _planes(out: np.ndarray) -> pa.Array:
 def planes_of(make: Callable[[np.ndarray], np.ndarray], pixels: int, planes: int, least_channels: int):
     """An Arrow function of values and three sizes that lays out the planes that ``make`` gives for images ``[n, H, W, C]``.
 
-    Rows without an image give zeros.
+    Rows without an image give zeros. Results leave the worker a few rows at a time, as one may be a thousand times its input.
     """
 
+    step = max(1, CHUNK_VALUES // max(1, planes * pixels))
+
     @F.arrow_udf("array<double>")
-    def resampled(values: pa.Array, h: pa.Array, w: pa.Array, c: pa.Array) -> pa.Array:
-        out = np.zeros((len(values), planes * pixels))
-        for rows, images in _images(values, h, w, c):
-            if images.shape[3] >= least_channels:
-                for part in np.array_split(np.arange(len(rows)), max(1, -(-len(rows) * pixels * planes // CHUNK_VALUES))):
-                    out[rows[part]] = make(images[part]).reshape(len(part), -1)
-        return _planes(out)
+    def resampled(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for at in range(0, len(batch[0]), step):
+                part = [column.slice(at, step) for column in batch]
+                out = np.zeros((len(part[0]), planes * pixels))
+                for rows, images in _images(*part):
+                    if images.shape[3] >= least_channels:
+                        out[rows] = make(images).reshape(len(rows), -1)
+                yield _planes(out)
 
     return resampled.asNondeterministic()
 
