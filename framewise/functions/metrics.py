@@ -18,13 +18,14 @@ SSIM_C1, SSIM_C2 = 1e-4, 9e-4
 LUMA_WEIGHTS = (0.299, 0.587, 0.114)
 DELTA = 1.25
 #: Values of one column that are worked on together; bounds memory.
-CHUNK_VALUES = 1 << 21
+CHUNK_VALUES = 1 << 19
 
 
-def shaped(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def shaped(*columns: pa.Array, places: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Rows where every column is there, by shape: their numbers, and one matrix per column.
 
     Rows of one length are handled together, so a table of frames is one matrix a batch. NaN ranks above all numbers.
+    With ``places``, a row stands for the frame that holds its value of that number at each pixel.
     """
     there = np.ones(len(columns[0]), bool)
     for c in columns:
@@ -34,9 +35,13 @@ def shaped(*columns: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
         if (shape != shape[0]).any() or shape[0] < 1:
             raise ValueError("tensors must be non-empty and of equal length")
         rows = np.flatnonzero(there & (lengths == shape).all(axis=1))
-        for part in np.array_split(rows, -(-len(rows) * int(shape[0]) // CHUNK_VALUES)):
+        if places is not None and int(places.max()) >= shape[0]:
+            raise ValueError("a frame has pixels beyond its vector")
+        size = int(shape[0]) if places is None else len(places)
+        for part in np.array_split(rows, -(-len(rows) * size // CHUNK_VALUES)):
             at = pa.array(part)
-            yield part, [c.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1) for c in columns]
+            made = [c.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(part), -1) for c in columns]
+            yield part, made if places is None else [m.take(places, axis=1) for m in made]
 
 
 def _structs(out: np.ndarray, names: tuple[str, ...]) -> pa.Array:
@@ -118,7 +123,8 @@ def window_starts(length: int, window: int, step: int = SSIM_STEP) -> list[int]:
 def ssim_scores(h: int, w: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Similarity of each row of two matrices of planar RGB frames of ``h x w``, on luma.
 
-    A full frame visits every pixel four times in overlapping windows; window sums come from running totals.
+    A full frame visits every pixel four times in overlapping windows; window sums come from blocks of ``SSIM_STEP`` pixels
+    a side where windows are made of those, else from running totals.
     """
     if h <= SSIM_WINDOW and w <= SSIM_WINDOW:
         win_h, win_w, rows, cols = h, w, [0], [0]
@@ -126,9 +132,14 @@ def ssim_scores(h: int, w: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray
         side = min(SSIM_WINDOW, h, w)
         win_h, win_w, rows, cols = side, side, window_starts(h, side), window_starts(w, side)
     rows_at, cols_at = np.array(rows), np.array(cols)
-    weights = np.array(LUMA_WEIGHTS)
+    blocks = win_h == win_w == SSIM_WINDOW == 2 * SSIM_STEP and h % SSIM_STEP == 0 and w % SSIM_STEP == 0
 
     def window_means(v: np.ndarray) -> np.ndarray:
+        if blocks:
+            narrow = sum(v[:, :, k::SSIM_STEP] for k in range(1, SSIM_STEP)) + v[:, :, ::SSIM_STEP]
+            small = sum(narrow[:, k::SSIM_STEP] for k in range(1, SSIM_STEP)) + narrow[:, ::SSIM_STEP]
+            pairs = small[:, 1:] + small[:, :-1]
+            return (pairs[:, :, 1:] + pairs[:, :, :-1]) / (win_h * win_w)
         sums = np.zeros((len(v), h + 1, w + 1))
         np.cumsum(np.cumsum(v, axis=1), axis=2, out=sums[:, 1:, 1:])
         low_r, low_c = rows_at[:, None], cols_at[None, :]
@@ -137,7 +148,11 @@ def ssim_scores(h: int, w: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray
         return inside / (win_h * win_w)
 
     def luma(values: np.ndarray) -> np.ndarray:
-        return np.tensordot(values.reshape(-1, 3, h, w), weights, axes=(1, 0))
+        planes = values.reshape(-1, 3, h, w)
+        out = planes[:, 0] * LUMA_WEIGHTS[0]
+        for k in (1, 2):
+            out += planes[:, k] * LUMA_WEIGHTS[k]
+        return out
 
     def scores(p: np.ndarray, t: np.ndarray) -> np.ndarray:
         if p.shape[1] != 3 * h * w:

@@ -70,6 +70,20 @@ def validity(
     return resample.checked(values, sizes, 1, resample.planes_of(make, h * w, 1, 1))
 
 
+def bilinear_and_validity(
+    values: Column, h_src: Column | int, w_src: Column | int, c_src: Column | int, h: int, w: int, channel: int,
+) -> Column:
+    """The planes of ``bilinear`` and of ``validity``, from one reading of the image."""
+
+    def make(images: np.ndarray) -> np.ndarray:
+        there = channel < images.shape[3]
+        first = resample.blended(images[..., channel], h, w) if there else np.zeros((len(images), h, w))
+        return np.stack([first, ~(resample.picked(images[..., 0], h, w) <= 0)], axis=1)
+
+    sizes = tuple(map(_col, (h_src, w_src, c_src)))
+    return resample.checked(values, sizes, 2, resample.planes_of(make, h * w, 2, 2))
+
+
 def validity_stats(mask: Column) -> Column:
     """``struct(valid_pixels, total_pixels, valid_fraction)``; an empty mask has fraction 0."""
     valid = F.size(F.filter(mask, lambda v: v > 0)).cast("bigint")

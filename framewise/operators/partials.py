@@ -90,15 +90,23 @@ def _summed(df: DataFrame, sums: Callable[[], _Sums], measure: Callable[[pa.Reco
 
 def as_u8(values: np.ndarray) -> np.ndarray:
     """Values as an 8-bit file gives them back: clamped, rounded half up to 255 steps."""
-    with np.errstate(invalid="ignore"):
-        return np.floor(np.where(np.isnan(values), 1.0, np.clip(values, 0.0, 1.0)) * 255.0 + 0.5) / 255.0
+    out = np.maximum(np.fmin(values, 1.0), 0.0)  # NaN counts as 1
+    out *= 255.0
+    out += 0.5
+    np.floor(out, out=out)
+    out /= 255.0
+    return out
 
 
-def point_means(df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int], range_channels: int, raw: Column, quant: Column) -> DataFrame:
+def point_means(
+    df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int], range_channels: int, raw: Column, quant: Column, places: dict[str, np.ndarray] | None = None,
+) -> DataFrame:
     """Per point and modality: samples, bytes and the means of ``POINT_METRICS``.
 
     In: ``rgb, range`` and ``rgb_raw, range_raw, rgb_quant, range_quant``; ``raw`` and ``quant`` are a row's sizes in bytes.
+    ``places`` as for ``split_means``.
     """
+    places = places or {}
     pixels = range_hw[0] * range_hw[1]
     head = min(range_channels, 2) * pixels
     similar = ssim_scores(*rgb_hw)
@@ -112,7 +120,7 @@ def point_means(df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int
         for tail, point in points.items():
             for modality in ("rgb", "range"):
                 out = np.full((batch.num_rows, len(POINT_METRICS)), np.nan)
-                for rows, (p, t) in shaped(batch.column(f"{modality}_{tail}"), batch.column(modality)):
+                for rows, (p, t) in shaped(batch.column(f"{modality}_{tail}"), batch.column(modality), places=places.get(modality)):
                     if modality == "rgb":
                         p8, t8 = as_u8(p), as_u8(t)
                         out[rows, 2], out[rows, 5] = similar(p8, t8), similar(p, t)
@@ -132,21 +140,24 @@ def point_means(df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int
 def split_means(
     pairs: DataFrame, rgb_hw: tuple[int, int] | None, range_hw: tuple[int, int] | None, *, by: str = "split", with_all: bool = False,
     validity_channel: int | None = None, max_range_m: float = MAX_RANGE_METERS, range_channels: int = 1, finite: bool = False,
+    places: dict[str, np.ndarray] | None = None,
 ) -> DataFrame:
     """What ``evaluate.summarize`` gives for the per-sample metrics of ``pairs``, without making those rows.
 
-    ``finite`` leaves the PSNR of perfect predictions out of its mean.
+    ``finite`` leaves the PSNR of perfect predictions out of its mean. Where ``rgb`` or ``range`` has ``places``, its columns hold
+    short vectors, and the task lays out the frames: pixel k is value ``places[k]``. So frames are not sent to it.
     """
+    places = places or {}
     similar = ssim_scores(*rgb_hw) if rgb_hw else None
     pixels = range_hw[0] * range_hw[1] if range_hw else 0
 
     def measure(batch: pa.RecordBatch, sums: _Sums) -> None:
         out = np.full((batch.num_rows, len(SUMMARY_METRICS)), np.nan)
         if similar is not None:
-            for rows, (p, t) in shaped(batch.column("rgb_hat"), batch.column("rgb")):
+            for rows, (p, t) in shaped(batch.column("rgb_hat"), batch.column("rgb"), places=places.get("rgb")):
                 out[rows, :4], out[rows, 4] = error_rows(p, t), similar(p, t)
         if pixels:
-            for rows, (p, t) in shaped(batch.column("range_hat"), batch.column("range")):
+            for rows, (p, t) in shaped(batch.column("range_hat"), batch.column("range"), places=places.get("range")):
                 out[rows, 5:9] = error_rows(p[:, : pixels * range_channels], t[:, : pixels * range_channels])
                 out[rows, 10:15] = depth_rows(p, t, pixels, validity_channel, max_range_m)
         if finite:

@@ -52,16 +52,17 @@ def bpp(total_bytes: Column, samples: Column, pixels_per_sample: int) -> Column:
 
 
 def operating_points(
-    df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int], range_channels: int = 2, policy: str = "asymmetric"
+    df: DataFrame, rgb_hw: tuple[int, int], range_hw: tuple[int, int], range_channels: int = 2, policy: str = "asymmetric",
+    places: dict | None = None,
 ) -> DataFrame:
     """Raw and quantised points: bytes, bpp, modality and combined metrics in the 8-bit domain, and float notes.
 
     In: ``sample_id, embedding, rgb, range`` and reconstructions ``rgb_raw, range_raw, rgb_quant, range_quant``.
-    Out: one row per point and modality, plus modality ``combined``.
+    Out: one row per point and modality, plus modality ``combined``. ``places`` as for ``partials.split_means``.
     """
     rgb_px, range_px = rgb_hw[0] * rgb_hw[1], range_hw[0] * range_hw[1]
     embedding = F.col("embedding")
-    means = partials.point_means(df, rgb_hw, range_hw, range_channels, raw_bytes(embedding), int8.payload_size(embedding, policy))
+    means = partials.point_means(df, rgb_hw, range_hw, range_channels, raw_bytes(embedding), int8.payload_size(embedding, policy), places)
     # four rows, staged because they are read three times below
     per_modality = stage(means.select("point", "modality", "samples", F.col("bytes").alias("latent_bytes"), *partials.POINT_METRICS))
     totals = per_modality.groupBy("point").agg(
