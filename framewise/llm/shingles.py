@@ -2,12 +2,11 @@
 
 Candidates share one of ``BANDS`` keys, each made of ``ROWS`` least hashes of the set: two texts at 0.8 share none of them
 in about 2 of 10 000 cases. Texts under one key are compared in all pairs up to ``SMALL`` of them; a larger key compares
-each of its texts with its first and last one (in an order of its own). The links found so join the roots, and only large keys
-whose texts still have several roots are looked at again: up to ``CROWD`` texts are compared in one task by sketches of
-``SKETCH`` bytes, which pass pairs of two roots that look alike (two texts at 0.8 look less so in about 1 of 100 cases). Larger
-crowds are filed anew under ``FINE_BANDS`` keys of ``FINE_ROWS`` least hashes first; should such a key still hold more than ``CROWD``
-texts, which takes tens of thousands of half-alike texts, each is compared with the first and last. Every candidate is
-checked on the whole sets of both texts, so no link is below the limit.
+each of its texts with its first and last one (in an order of its own). The links found so join the roots, and every key
+whose texts still have several roots is looked at again as a whole: all its pairs of two roots are compared on their whole sets.
+Up to ``CROWD`` texts meet in one group. A larger crowd is dealt into blocks, and each pair of blocks is a group, but for
+pairs of blocks that hold its largest root only; so no pair is left out, a group stays small, and the work beyond the largest root's is
+spread. A group gives at most one link fewer than it has texts, those of a spanning forest, so no count grows with the square of a crowd.
 
 Texts stay where they are until candidates are known: keys and counts come first, and of equal texts one row is read. It is
 named by partition and number in it, so the input's partitions must be the same whenever they are read, as those of files are.
@@ -34,23 +33,18 @@ from framewise.session import stage
 WIDTH, LEAST = 5, 0.8
 BANDS, ROWS = 16, 4
 SMALL = 8
-FINE_BANDS, FINE_ROWS = 32, 8
-#: Least hashes of which each fine key takes ``FINE_ROWS``, and a sketch the lowest byte of the first ``SKETCH``.
-FINE_HASHES = 512
-CROWD, SKETCH = 2048, 256
-#: Share of equal sketch bytes from which a pair is checked: 0.8 less two and a half deviations of a sketch.
-LOOKS_ALIKE = 0.74
+#: Texts that meet in one group, and different shingles, on average, that a block of them may hold.
+CROWD, CROWD_SHINGLES = 2048, 1 << 20
 SEED = 42
 SLICE = 1 << 12
+#: Shingles of a text whose holders are counted together.
+TERMS = 512
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _R = np.random.default_rng(SEED)
 _PLACE = _R.integers(0, 2**64, WIDTH, np.uint64) | np.uint64(1)
 _TURN = _R.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 _ROW = _R.integers(0, 2**64, (BANDS, ROWS), np.uint64) | np.uint64(1)
-_FINE_TURN = _R.integers(0, 2**64, (FINE_HASHES, 1), np.uint64) | np.uint64(1)
-_FINE_PICK = np.stack([_R.permutation(FINE_HASHES)[:FINE_ROWS] for _ in range(FINE_BANDS)])
-_FINE_ROW = _R.integers(0, 2**64, (FINE_BANDS, FINE_ROWS), np.uint64) | np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -90,15 +84,6 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return _mixed((_mixed(least) * _ROW).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
 
 
-def crowd_keys(shingles: np.ndarray) -> tuple[bytes, list[int]]:
-    """A sketch that tells how alike two sets are, and the keys that part texts of a crowd."""
-    if not len(shingles):
-        return b"", []
-    least = _least(shingles, _FINE_TURN)
-    keys = _mixed((_mixed(least[_FINE_PICK]) * _FINE_ROW).sum(axis=1, dtype=np.uint64)).view(np.int64).tolist()
-    return least[:SKETCH].astype(np.uint8).tobytes(), keys
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets, each without repeats."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -115,31 +100,66 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["node", "row", "n", "keys"])
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, 128):
-        made = [crowd_keys(shingle_set(t)) for t in batch.column("text").to_pylist()]
-        columns = [batch.column("node"), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["node", "sketch", "keys"])
+def crowd_links(root: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Members of a crowd that join its roots, as pairs whose sets are at least so similar: a spanning forest of all such links."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    holder = np.repeat(np.arange(len(sets)), sizes)[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    joined = np.unique(root, return_inverse=True)[1]
+    found = []
+    # Of two members of two roots, one at least has another root than the most frequent one.
+    for i in np.flatnonzero((joined != np.bincount(joined).argmax()) & (sizes > 0)):
+        if (joined == joined[i]).all():
+            continue
+        both = np.zeros(len(sets), np.int64)
+        for at in range(starts[i], starts[i + 1], TERMS):
+            held = [holder[first[t] : first[t + 1]] for t in term[at : min(at + TERMS, starts[i + 1])]]
+            both += np.bincount(np.concatenate(held), minlength=len(sets))
+        near = both / np.maximum(1, sizes + sizes[i] - both) >= least
+        for j in np.flatnonzero(near & (joined != joined[i])):
+            if joined[j] != joined[i]:
+                found.append((int(i), int(j)))
+                joined[joined == joined[j]] = joined[i]
+    return found
+
+
+def _crowd(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        root = table.column("root").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        pairs = np.array(crowd_links(root, sets, least), np.int64).reshape(-1, 2)
+        return pa.table({"a": root[pairs[:, 0]], "b": root[pairs[:, 1]]})
 
+    return run
 
-def _look_alike(least: float):
-    """Pairs of one key's members that have two roots, sizes that allow it, and sketches that look alike."""
 
-    def run(table: pa.Table) -> pa.Table:
-        node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        a, b = [], []
-        for i in range(len(node) - 1):
-            rest = slice(i + 1, None)
-            alike = (sketch[rest] == sketch[i]).mean(axis=1) >= LOOKS_ALIKE
-            sizes = np.minimum(n[rest], n[i]) >= np.maximum(n[rest], n[i]) * least
-            found = np.flatnonzero(alike & sizes & (root[rest] != root[i])) + i + 1
-            a.append(np.full(len(found), i))
-            b.append(found)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": node[a], "b": node[b], "root_a": root[a], "root_b": root[b]})
+def _dealt(crowds: DataFrame, most: int, shingles: int) -> DataFrame:
+    """Members of keys (``key, node, root, n``) under ``low`` and ``high``, the blocks that meet: every two members of two roots meet.
 
-    return run
+    The largest root of a large key has blocks of its own, which do not meet each other.
+    """
+    crowds = stage(crowds)
+    per_root = crowds.groupBy("key", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    per_key = stage(per_root.groupBy("key").agg(
+        F.sum("m").alias("size"), F.sum("s").alias("held"), F.max(F.struct("m", "root", "s")).alias("top")
+    ))
+    blocks = lambda m, s: F.ceil(F.greatest(m / F.lit(most / 2), s / F.lit(float(shingles)))).cast("int")
+    small = (F.col("size") <= most) & (F.col("held") <= 2 * shingles)
+    keys = stage(per_key.select(
+        "key", F.col("top.root").alias("top"), F.when(small, 0).otherwise(blocks(F.col("top.m"), F.col("top.s"))).alias("tops"),
+        F.when(small, 1).otherwise(blocks(F.col("size") - F.col("top.m"), F.col("held") - F.col("top.s"))).alias("others"),
+    ))
+    placed = look_up(crowds, keys, ["key"], per_key.select("key", F.col("size").alias("n")))
+    turn = F.xxhash64("node", F.lit(1))
+    bulk = (F.col("tops") > 0) & (F.col("root") == F.col("top"))
+    own = F.when(bulk, F.pmod(turn, F.greatest("tops", F.lit(1)))).otherwise(F.col("tops") + F.pmod(turn, F.col("others"))).cast("int")
+    last = F.col("tops") + F.col("others") - 1
+    met = F.when(F.col("own") < F.col("tops"), F.sequence(F.col("tops"), last)).otherwise(F.sequence(F.lit(0), last))
+    spread = placed.withColumn("own", own).withColumn("other", F.explode(met))
+    return spread.select("key", "node", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,21 +234,8 @@ def links(docs: DataFrame, rooted: DataFrame, least: float = LEAST) -> DataFrame
         "key", F.struct(F.col("x.node").alias("node"), F.coalesce("joined", F.col("x.root")).alias("root"), F.col("x.n").alias("n")).alias("x")
     )
     _, crowds = _candidates(stage(again), least)
-    crowds = stage(crowds.select("key", "size", "x.node", "x.root", "x.n"))
+    crowds = _dealt(crowds.select("key", "x.node", "x.root", "x.n"), CROWD, CROWD_SHINGLES)
     members = crowds.select("node").distinct()
-    sketches = stage(_chosen(texts, members, rows).mapInArrow(_sketched, "node long, sketch binary, keys array<long>"))
-    wide = crowds.where(F.col("size") > CROWD).select("node", "root", "n").distinct()
-    fine = stage(wide.join(sketches.select("node", F.explode("keys").alias("key")), "node"))
-    apart = F.min("root") != F.max("root")
-    sizes = stage(fine.groupBy("key").agg(F.count(F.lit(1)).alias("size"), apart.alias("apart")).where("apart").drop("apart"))
-    filed_fine = look_up(fine, sizes, ["key"], sizes.select("key", F.col("size").alias("n")))
-    near = crowds.unionByName(filed_fine.select(crowds.columns)).where(F.col("size") <= CROWD)
-    alike = near.drop("size").join(sketches.select("node", "sketch"), "node").groupBy("key").applyInArrow(
-        _look_alike(least), "a long, b long, root_a long, root_b long"
-    )
-    ends, _ = _candidates(filed_fine.where(F.col("size") > CROWD).select("key", F.struct("node", "root", "n").alias("x")), least)
-    pair = F.when(F.col("a") < F.col("b"), F.struct("a", "b", "root_a", "root_b")).otherwise(
-        F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("root_b").alias("root_a"), F.col("root_a").alias("root_b"))
-    )
-    more = stage(alike.select(pair.alias("p")).select("p.*").union(ends).distinct())
-    return found.union(_alike(more, texts, rows, least))
+    sets = stage(_chosen(texts, members, rows).mapInArrow(_sets, "node long, shingles binary"))
+    met = crowds.join(sets, "node").groupBy("key", "low", "high").applyInArrow(_crowd(least), "a long, b long")
+    return found.union(stage(met.distinct()))

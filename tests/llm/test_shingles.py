@@ -4,6 +4,7 @@ import os
 import random
 import sys
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -126,3 +127,43 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     rooted = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("node")).distinct().withColumn("root", F.col("node"))
     (link,) = shingles.links(docs, rooted).distinct().collect()
     assert {link.a, link.b} == {r[0] for r in spark.createDataFrame([(base,), (near,)], "t string").select(F.xxhash64("t")).collect()}
+
+
+def crowded(n=4, each=60):
+    r = random.Random(13)
+    bases = [nasty.prose(250, 700 + k) for k in range(n)]
+    return [changed(base, r.choice((4, 5, 6, 7)), r) for base in bases for _ in range(each)]
+
+
+def test_a_crowd_in_blocks_has_the_links_of_a_whole_one(spark, monkeypatch):
+    """Crowds above the limit used to be compared under finer keys, and above it there with two members only."""
+    texts = crowded()
+    whole = found_classes(spark, texts)
+    for most, shingle_limit in ((6, 1 << 20), (2048, 700)):
+        monkeypatch.setattr(shingles, "CROWD", most)
+        monkeypatch.setattr(shingles, "CROWD_SHINGLES", shingle_limit)
+        assert same_partition(found_classes(spark, texts), whole)
+
+
+def test_members_of_two_roots_meet_in_small_groups(spark):
+    """A crowd of 100 with a largest root of 60: groups of a few members, in which all pairs of two roots meet."""
+    members = [(7, i, 0 if i < 60 else i % 7 + 1, 10) for i in range(100)] + [(8, i, i % 2, 10) for i in range(9)]
+    dealt = shingles._dealt(spark.createDataFrame(members, "key long, node long, root long, n long"), 10, 1 << 20).collect()
+    groups = {}
+    for r in dealt:
+        groups.setdefault((r.key, r.low, r.high), []).append(r)
+    met = {(key, a.node, b.node) for (key, _, _), g in groups.items() for a in g for b in g}
+    assert all((k, i, j) in met for k, i, p, _ in members for m, j, q, _ in members if k == m and p != q)
+    assert max(map(len, groups.values())) < 40 and len([g for g in groups if g[0] == 8]) == 1
+
+
+def test_a_group_gives_a_spanning_forest():
+    texts = crowded(2, 40)
+    sets = [shingles.shingle_set(t) for t in texts]
+    found = shingles.crowd_links(np.arange(len(texts)), sets, 0.75)
+    assert 0 < len(found) < len(texts) and all(shingles.similarity(sets[i], sets[j]) >= 0.75 for i, j in found)
+    root = list(range(len(texts)))
+    for i, j in found:
+        assert root[i] != root[j]
+        root = [root[i] if x == root[j] else x for x in root]
+    assert same_partition(root, classes(texts, 0.75))
