@@ -188,11 +188,23 @@ def rate_at(points: DataFrame, targets: list[float], by: str = "curve") -> DataF
 
 
 def nearest(points: DataFrame, targets: list[float], by: str = "curve") -> DataFrame:
-    """The point closest to each target PSNR; ties go to the lower rate, then the lower ``idx``."""
+    """The point closest to each target PSNR; ties go to the lower rate, then the lower ``idx``.
+
+    The least distance and then the least rate are found first, so that only their ties are sorted.
+    """
+    key = [by, "target"]
     exploded = points.withColumn("target", F.explode(_target_array(targets)))
-    keep = [by, "target", *[c for c in points.columns if c != by]]
-    order = F.struct(F.abs(F.col("psnr_db") - F.col("target")), F.col("rate"), F.col("idx"))
-    return first_per_key(exploded.select(*keep), [by, "target"], order)
+    keep = [*key, *[c for c in points.columns if c != by]]
+    far = F.abs(F.col("psnr_db") - F.col("target"))
+    order = F.struct(far, F.col("rate"), F.col("idx"))
+    # Nulls come first in the order; numbers of fixed width are aggregated without a sort, wide rows are not.
+    steps = {"__far": F.coalesce(far.cast("double"), F.lit(-1.0)), "__rate": F.coalesce(F.col("rate").cast("double"), F.lit(float("-inf")))}
+    left = exploded.select(*keep)
+    for name, value in steps.items():
+        least = left.groupBy(*[F.col(c).alias(f"__{c}") for c in key]).agg(F.min(value).alias(name))
+        on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+        left = left.join(least, [*on, value.eqNullSafe(F.col(name))], "left_semi")
+    return first_per_key(left, key, order)
 
 
 def matched_targets(raw_psnr: float, quantized_psnr: float) -> list[float]:
