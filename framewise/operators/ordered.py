@@ -19,6 +19,8 @@ PIECE = "__piece"
 POSITION = "__position"
 SEQ_WIDTH = 1 << 17
 GROUP_LIMIT = 1000  # Spark prunes rank <= k before the shuffle up to this k
+TASK_ROWS = 1 << 20  # rows that one task of first_few sorts, about
+KEY_BUCKETS = 1 << 16
 
 
 def pieces_of(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -130,6 +132,33 @@ def first_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, r
     return ranked.where(F.col(rank) <= k)
 
 
+def first_few(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
+    """``first_k`` for keys that are mostly different, where a sort before the shuffle drops nothing and holds all rows of a scan task.
+
+    Rows are counted by ``KEY_BUCKETS`` hashes of their key, in a job that runs here; the count says how many tasks to deal them
+    to, unsorted, at about ``TASK_ROWS`` each. Keys whose bucket alone exceeds that are dealt in parts by a hash of
+    ``order``, and the first ``k`` of their parts once more. A table of up to ``TASK_ROWS`` is left to ``first_k``.
+    """
+    limit, bucket, part = TASK_ROWS, "__bucket", "__part"
+    placed = df.withColumn(bucket, F.pmod(F.xxhash64(*by), F.lit(KEY_BUCKETS)))
+    counts = placed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    parts = F.when(F.col("n") > limit, F.struct(bucket, F.ceil(F.col("n") / limit).alias("parts")))
+    total, full = counts.agg(F.sum("n"), F.collect_list(parts)).first()
+    if (total or 0) <= limit:
+        return first_k(df, by, order, k, rank)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // limit))
+
+    def dealt(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return first_k(rows.repartition(tasks, *keys), keys, order, k, rank)
+
+    if not full:
+        return dealt(df, by)
+    hot = F.broadcast(df.sparkSession.createDataFrame(full, f"{bucket} bigint, parts bigint"))
+    cut = placed.join(hot, bucket).withColumn(part, F.pmod(F.xxhash64(*order), F.col("parts")))
+    some = dealt(cut, [*by, part]).select(*df.columns)
+    return dealt(placed.join(hot, bucket, "left_anti").select(*df.columns), by).unionByName(first_k(some, by, order, k, rank))
+
+
 def first_per_key(df: DataFrame, key: Sequence[str], order: Column, last: bool = False) -> DataFrame:
     """Keep the first (or last) row of each key: a map-side combined aggregate, so hot keys stay cheap."""
     rest = [c for c in df.columns if c not in key]
