@@ -167,14 +167,17 @@ def ssim_scores(h: int, w: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray
     return scores
 
 
-def ssim(pred: Column, truth: Column, h: int, w: int) -> Column:
-    """Mean windowed structural similarity of planar RGB tensors on luma."""
+def ssim(pred: Column, truth: Column, h: int, w: int, places: np.ndarray | None = None) -> Column:
+    """Mean windowed structural similarity of planar RGB tensors on luma.
+
+    With ``places`` the columns hold short vectors, and the task lays out the tensors: pixel k is value ``places[k]``.
+    """
     scores = ssim_scores(h, w)
 
     @F.arrow_udf("double")
     def similarity(p: pa.Array, t: pa.Array) -> pa.Array:
         out = np.full(len(p), np.nan)
-        for rows, (x, y) in shaped(p, t):
+        for rows, (x, y) in shaped(p, t, places=places):
             out[rows] = scores(x, y)
         return pa.array(out, mask=np.isnan(out))
 

@@ -106,8 +106,9 @@ def ssim_single_window(spark, d):
     FROM w GROUP BY vec_id""",
 )
 def ssim_windows(spark, d):
-    rows = views.tiled(tens(spark, d))
-    return rows.select("vec_id", r6(ssim(F.col("p"), F.col("t"), views.TILE_H, views.TILE_W), "ssim"))
+    """The vectors are sent, and the task tiles them."""
+    rows = tens(spark, d).where(F.col("range_hat").isNotNull())
+    return rows.select("vec_id", r6(ssim(F.col("range_hat"), F.col("x"), views.TILE_H, views.TILE_W, views.TILE), "ssim"))
 
 
 @reg.add(

@@ -7,11 +7,10 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import positions
-
 DAY_MICROS = 86_400_000_000
 FILES = 16
 
@@ -107,15 +106,8 @@ def tensors(embeddings: DataFrame) -> DataFrame:
 
 
 TILE_H, TILE_W = 12, 16
-
-
-def tiled(tens: DataFrame) -> DataFrame:
-    """Larger RGB tensors ``3 x 12 x 16``, repeating the 64 values out of step."""
-
-    def spread(c: str) -> Column:
-        return F.transform(positions(3 * TILE_H * TILE_W), lambda i: F.get(F.col(c), (i * 7) % 64))
-
-    return tens.where(F.col("range_hat").isNotNull()).select("vec_id", spread("range_hat").alias("p"), spread("x").alias("t"))
+#: Larger RGB tensors ``3 x 12 x 16`` repeat the 64 values out of step: the number of the value at each pixel.
+TILE = np.arange(3 * TILE_H * TILE_W) * 7 % 64
 
 
 def raw_range(embeddings: DataFrame) -> DataFrame:
