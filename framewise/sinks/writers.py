@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewise.functions.arrays import fixed6
+from framewise.functions.arrays import fixed6, let
 from framewise.functions.tensors import MAX_RANGE_METERS, RANGE_HEIGHT, RANGE_WIDTH, channel_list
 from framewise.operators.labels import BENCHMARKABLE, CLASSES
 
@@ -24,16 +24,29 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 
 def metric_text(value: Column) -> Column:
-    """Shortest single-precision decimal text, never in exponent form; NULL stays NULL, +inf is ``inf``."""
+    """Shortest single-precision decimal text, never in exponent form; NULL stays NULL, +inf is ``inf``.
+
+    What metrics usually are takes a short path. The rest is a lambda: written out for each column, a row of the CSV is one
+    method of twice the size that the JVM compiles, and runs interpreted.
+    """
     f = value.cast("float")
+    whole, size = f.cast("int"), F.abs(f.cast("double"))
+    return (
+        F.when(f.isNull(), F.lit(None).cast("string"))
+        .when((size >= 1e-3) & (size < 1e7), F.when(whole.cast("float") == f, whole.cast("string")).otherwise(f.cast("string")))
+        .when(f == 0, F.substring_index(f.cast("string"), ".", 1))
+        .otherwise(let(f, _unusual_text))
+    )
+
+
+def _unusual_text(f: Column) -> Column:
+    """Text of what Java writes with an exponent or a word."""
     text, size = f.cast("string"), F.abs(f.cast("double"))
     small = F.rtrim(text.try_cast("decimal(38,37)").cast("string"), F.lit("0"))
     return (
         F.when(F.isnan(f) | (size == F.lit(float("inf"))), F.when(f > 0, "inf").otherwise(text))
-        .when((size < 1e-3) & (size > 0), small)
-        .when(size >= 1e7, text.try_cast("decimal(38,0)").cast("string"))
-        .when(text.endswith(".0"), F.substring_index(text, ".", 1))
-        .otherwise(text)
+        .when(size < 1e-3, small)
+        .otherwise(text.try_cast("decimal(38,0)").cast("string"))
     )
 
 

@@ -53,6 +53,22 @@ def test_metric_text_never_uses_exponents(spark):
     assert got == ["0.0001", "0.00000015", "20000000", "1.25", "3", "0", "-0.0005", None, "inf"]
 
 
+def test_metric_text_of_both_paths(spark):
+    texts = {
+        -0.0: "-0", 1e-3: "0.001", 0.00099: "0.00099", 9999999.0: "9999999", 1e7: "10000000", -12.0: "-12", 8388607.5: "8388607.5", 0.1: "0.1",
+        1.00000001: "1", -1e7: "-10000000", 1e20: "100000000000000000000",
+    }
+    df = spark.createDataFrame([(v,) for v in texts], "v double")
+    assert [r[0] for r in df.select(writers.metric_text(F.col("v"))).collect()] == list(texts.values())
+
+
+def test_csv_rows_run_compiled(spark):
+    """The JVM leaves methods of over 8000 bytes of code to its interpreter."""
+    stages = writers.eval_csv_rows(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    assert max(sizes, default=0) <= 8000
+
+
 def scores(spark, cls, labels, values):
     rows = [(cls, i, int(l), float(s)) for i, (l, s) in enumerate(zip(labels, values))]
     return spark.createDataFrame(rows, "class string, idx bigint, label int, score double")
