@@ -1,12 +1,15 @@
 """Frames laid out in the tasks."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewise.functions import tensors
-from framewise.functions.metrics import ssim_scores
+from framewise.functions.metrics import shaped, ssim_scores
 from framewise.operators import partials
-from framewise.plans import full_frames
+from framewise.plans import evaluation, full_frames, views
 
 
 def test_places_give_the_frames(spark):
@@ -53,6 +56,26 @@ def test_similarity_from_blocks_is_that_of_every_window():
         np.testing.assert_allclose(ssim_scores(h, w)(x, y), want / (len(starts[0]) * len(starts[1])), rtol=1e-9)
 
 
+def test_similarity_of_a_full_batch_works_on_small_parts():
+    """All frames of a batch at once take 92 MB for both columns, before any of the sums."""
+    n, size = 10_000, 64
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(np.random.default_rng(3).random(n * size)))
+    scores, done = ssim_scores(views.TILE_H, views.TILE_W), 0
+    tracemalloc.start()
+    for rows, (x, y) in shaped(vectors, vectors, places=views.TILE):
+        np.testing.assert_allclose(scores(x, y), 1)
+        done += len(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == n and peak < 24 << 20
+
+
+def test_windows_are_tiled_in_the_task(spark, sf_dir):
+    """What enters the Arrow pass has the vector's 64 values, not the frame's 576."""
+    plan = evaluation.ssim_windows(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 64)" not in plan and "similarity(" in plan
+
+
 def test_both_planes_are_those_of_each_function(spark):
     df = spark.createDataFrame([(i, [float((i * k) % 7 - 2) for k in range(24)]) for i in range(200)], "i int, v array<double>")
     dims = (F.lit(3), F.lit(4), F.lit(2))
