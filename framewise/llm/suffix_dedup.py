@@ -288,7 +288,9 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     packed = docs.select(
         F.struct("*").alias("row"), text_or_empty().alias("text"), _doc_key(F.col("doc_id").cast("long"), text_or_empty()).alias("doc")
     )
-    joined = packed.join(spans, packed.doc == spans.cut_doc, "left").select("row", "spans", without("text", "spans").alias("new_text"))
+    # Not deterministic, so that the filter below is not pushed into it: each text would be cut twice, by two workers of a task.
+    cut = without.asNondeterministic()(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans"))
+    joined = packed.join(spans, packed.doc == spans.cut_doc, "left").select("row", "spans", cut.alias("new_text"))
     left = joined.where(F.col("spans").isNull() | F.col("new_text").rlike(r"[^\x20\x09-\x0D]"))
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.col("new_text"))
     return left.select(*[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import nasty
 from framewise import session
-from framewise.llm import bpe_dp, bpe_ids, common, token_counts
+from framewise.llm import bpe_dp, bpe_ids, common, suffix_dedup, token_counts
 from framewise.llm.queries import vocabulary
 
 
@@ -52,3 +52,13 @@ def test_written_tables_are_released(spark, tmp_path):
         _, path = common.write_table(nasty.plain(spark, ["a", "b"]))
         assert os.path.isdir(path.removeprefix("file:"))
     assert not os.path.isdir(path.removeprefix("file:"))
+
+
+def test_texts_are_cut_by_one_worker_of_a_task(spark):
+    """A second pass over the texts takes a second Python worker of each task, which later stages fill as well."""
+    passage = " ".join(f"word{i}" for i in range(60))
+    docs = nasty.plain(spark, [f"a {passage} b", f"c {passage} d", passage, "no passage", "", None])
+    cut = suffix_dedup.cut_repeats(docs)
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("without(") and sum("ArrowEvalPython [without(" in line for line in plan.split("\n")) == 1
+    assert sorted(r.text or "" for r in cut.collect()) == ["", "", f"a {passage} b", "c d", "no passage"]
